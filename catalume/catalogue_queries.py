@@ -1,0 +1,11 @@
+"""The registered queries of the catalogue operators."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
