@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm import ann, decontamination, language_id, licenses, ngram_join, packing, secrets, token_counts
+from catalume.llm import ann, decontamination, language_id, licenses, ngram_join, packing, secrets, suffix_dedup, token_counts
 from catalume.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), BYTE_BPE, 512)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf_dir)))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(documents(spark, sf_dir))
 
