@@ -24,8 +24,10 @@ CLASSES = 32
 FEATURES = 1 << 14
 #: Rounds of updates; each sees its share of the training texts.
 ROUNDS = 3
-RATE = 0.25
-BATCH_TOKENS = 50_000
+#: Adaptive step size in the first round; round r takes the (r + 1)-th part. Squared gradients start at DAMPING, so that rare features move little.
+RATE = 0.15
+DAMPING = 1.0
+BATCH_TOKENS = 20_000
 #: Bytes of text in a group, which one task scores at a time.
 GROUP_BYTES = 4 << 20
 #: Rows of weights that are averaged together.
@@ -78,7 +80,7 @@ def class_log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train_step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> None:
+def train_step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, kind: np.ndarray, rate: float = RATE) -> None:
     """One adaptive gradient update from a batch of tokens."""
     p = np.exp(class_log_probabilities(weights, rows))
     p[np.arange(len(kind)), kind] -= 1
@@ -87,20 +89,20 @@ def train_step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows:
     for c in range(CLASSES):
         gradient[:, c] = np.bincount(flat, np.tile(p[:, c], len(rows)), FEATURES)
     squares += gradient * gradient
-    weights -= RATE * gradient / (np.sqrt(squares) + 1e-6)
+    weights -= rate * gradient / np.sqrt(squares)
     seen += np.bincount(flat, minlength=FEATURES)
 
 
-def _trainer(weights):
+def _trainer(weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = weights.value
-        own, squares, seen = start.copy(), np.full_like(start, 1e-8), np.zeros(FEATURES, np.int64)
+        own, squares, seen = start.copy(), np.full_like(start, DAMPING), np.zeros(FEATURES, np.int64)
         for batch in batches:
             for _, _, data, offsets in K.slices(batch.column(0)):
                 hashes, kind, bounds = tokens(data, offsets)
                 rows = features(hashes, kind, bounds)
                 for lo in range(0, len(kind), BATCH_TOKENS):
-                    train_step(own, squares, seen, rows[:, lo : lo + BATCH_TOKENS], kind[lo : lo + BATCH_TOKENS])
+                    train_step(own, squares, seen, rows[:, lo : lo + BATCH_TOKENS], kind[lo : lo + BATCH_TOKENS], rate)
         if seen.any():
             change = (own - start).astype(np.float16)
             blocks = range(0, FEATURES, ROWS)
@@ -128,7 +130,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     weights = np.zeros((FEATURES, CLASSES), np.float32)
     for r in range(rounds):
         kept = spark.sparkContext.broadcast(weights)
-        changes = texts.where(F.col("round") == r).select("text").mapInArrow(_trainer(kept), "block int, payload binary")
+        changes = texts.where(F.col("round") == r).select("text").mapInArrow(_trainer(kept, RATE / (r + 1)), "block int, payload binary")
         parts = min(FEATURES // ROWS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         merged = changes.repartition(parts, "block").mapInArrow(_average, "block int, payload binary")
         weights = weights.copy()
