@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,13 +30,13 @@ def l2_normalised(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x / n).cast("float"))).otherwise(a)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(v: pd.Series) -> pd.Series:
     """float32 little-endian bytes."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4").tolist())
 

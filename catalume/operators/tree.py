@@ -78,7 +78,8 @@ def roots(folders: DataFrame, tree: DataFrame, assets: DataFrame) -> DataFrame:
     own = keyed(tree)
     at_root = own.where(F.col("parent_key") == _key(F.col("folder_id"), F.lit("root"), F.lit(""), F.lit(""), F.lit(""))).groupBy("folder_id").agg(F.count("*").alias("child_count"))
     count = assets.groupBy("folder_id").agg(F.count("*").alias("asset_count"))
-    out = folders.where("status = 'active'").join(count.withColumnRenamed("folder_id", "id"), "id", "left").join(at_root.withColumnRenamed("folder_id", "id"), "id", "left")
+    active = folders.where("status = 'active'").select("id", "label", "path")
+    out = active.join(count.withColumnRenamed("folder_id", "id"), "id", "left").join(at_root.withColumnRenamed("folder_id", "id"), "id", "left")
     zero = F.lit(0)
     return out.select("id", paths.root_name(F.col("label"), F.col("path")).alias("name"), F.coalesce("asset_count", zero).alias("asset_count"), F.coalesce("child_count", zero).alias("child_count")).orderBy(F.lower("name"), "name", "id")
 

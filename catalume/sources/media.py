@@ -9,6 +9,7 @@ import wave
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def image_size(data: bytes) -> tuple[int, int] | None:
@@ -49,7 +50,7 @@ def audio_properties(data: bytes) -> tuple[int, int, int] | None:
         return None
 
 
-@F.pandas_udf("width int, height int, error string")
+@F.pandas_udf(T.StructType().add("width", "integer").add("height", "integer").add("error", "string"))
 def probe_image(data: pd.Series) -> pd.DataFrame:
     rows = []
     for x in data:
@@ -58,7 +59,7 @@ def probe_image(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["width", "height", "error"]).astype({"width": "Int32", "height": "Int32"})
 
 
-@F.pandas_udf("duration_ms bigint, sample_rate int, channels int, error string")
+@F.pandas_udf(T.StructType().add("duration_ms", "long").add("sample_rate", "integer").add("channels", "integer").add("error", "string"))
 def probe_audio(data: pd.Series) -> pd.DataFrame:
     rows = []
     for x in data:
@@ -67,7 +68,7 @@ def probe_audio(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["duration_ms", "sample_rate", "channels", "error"]).astype({"duration_ms": "Int64", "sample_rate": "Int32", "channels": "Int32"})
 
 
-@F.pandas_udf("cell_width int, cell_height int")
+@F.pandas_udf(T.StructType().add("cell_width", "integer").add("cell_height", "integer"))
 def sprite_grid(pixels: pd.Series, width: pd.Series) -> pd.DataFrame:
     """The period of a sprite sheet along both axes, from the spectra of the column and row means of grey pixels; null without a period."""
 

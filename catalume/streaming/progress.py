@@ -22,22 +22,27 @@ def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark on ts, for which it has to be a timestamp with a time zone; tables need none."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(start, end, event_type, n, total) by event-time windows; what is later than `late` is dropped on streams."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _marked(events, late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, n) of runs of a user's events without a longer gap."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    out = _marked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def distinct_requests(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Requests with each id once within the watermark."""
-    return requests.withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    return _marked(requests, late).dropDuplicatesWithinWatermark(["id"]) if requests.isStreaming else requests.dropDuplicates(["id"])
 
 
 def ewma_stream(ticks: DataFrame, key: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
