@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from catalume.llm import kernels as K
 
 #: Labelled documents a language from which the model is fitted: the bound on what comes to the driver.
-SAMPLE_DOCS = 300
+SAMPLE_DOCS = 150
 ROUNDS = 3
 #: Bytes of the longest vocabulary piece in use, and of the longest word scored in one go.
 PIECE_BYTES = 16

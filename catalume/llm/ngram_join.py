@@ -167,7 +167,7 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
     reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "representatives")
     banded = reps.select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    clusters = components(banded.join(shared.select("band", "least"), "band").select("rep", "least"))
+    clusters = components(banded.join(shared.select("band", "least").hint("merge"), "band").select("rep", "least"))
     roots = clusters.select("root").distinct()
     members = clusters.union(roots.select("root", "root")).toDF("node", "cluster")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -187,7 +187,8 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
             yield {c: batch.column(i).take(rows) for i, c in ((3, "cluster"), (4, "blocks"), (5, "node"), (6, "copies"))} | {"shingles": pa.array(raw, pa.binary())}
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
-    own = docs.select(F.col("doc_id").alias("node"), "text").join(members, "node")
+    # The members grow with the corpus, so the texts meet them by a shuffle at every size.
+    own = docs.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node")
     own = K.map_batches(own, ["text", "s1", "s2", "cluster", "blocks", "node", "copies"], sets, f"cluster {id_kind}, blocks int, node {id_kind}, copies bigint, shingles binary")
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("pair", F.col("block") != F.col("other")).withColumn("task", F.concat_ws(":", F.col("cluster").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
@@ -209,7 +210,7 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
     counted = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     ranked = signed.drop("bands").withColumn("counted", counted)
     alone = ranked.where("not counted").select("doc_id", "n_shingles", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return ranked.where("counted").join(final, key).select("doc_id", "n_shingles", F.col("rep").alias("rep_id"), F.col("root").alias("class_id"), F.col("links").alias("n_links")).union(alone)
+    return ranked.where("counted").join(final.hint("merge"), key).select("doc_id", "n_shingles", F.col("rep").alias("rep_id"), F.col("root").alias("class_id"), F.col("links").alias("n_links")).union(alone)
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -217,7 +218,7 @@ def keep_one(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, re
     classes = near_copies(docs, n, similarity, recall)
     keep = written(classes.where("doc_id = class_id").select("doc_id"), "kept")
     repeated = keep.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    stay = docs.join(keep.distinct() if repeated else keep, "doc_id", "left_semi")
+    stay = docs.join((keep.distinct() if repeated else keep).hint("merge"), "doc_id", "left_semi")
     if repeated:
         stay = stay.dropDuplicates(["doc_id"])
     return stay.select(*docs.columns).union(docs.where("doc_id is null"))
