@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Guesses (log10) from which a value in a credential context counts as a secret, and its least length.
 GUESS_LOG10 = 9.0
 GUESS_LENGTH = 8
+#: The same for a value that reads as one word (letters alone, in one case or capitalised): prose names the context too.
+WORD_GUESS_LOG10 = 20.0
 
 #: Words that guessers try first, most common first.
 COMMON = (
@@ -97,7 +99,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     out += [("hex", *m.span()) for m in _HEX.finditer(text) if m.end() - m.start() >= 16]
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
-        if len(value) >= GUESS_LENGTH and guess_cost(value) >= GUESS_LOG10:
+        wordlike = value.isalpha() and (value[1:].islower() or value.isupper())
+        if len(value) >= GUESS_LENGTH and guess_cost(value) >= (WORD_GUESS_LOG10 if wordlike else GUESS_LOG10):
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
