@@ -389,7 +389,7 @@ def test_guess_costs_find_structure():
     assert cost("") == 0 and cost("password") < 2 and cost("p4ssw0rd") < 3
     assert cost("aaaaaaaaaaaa") < 4 and cost("qwertyuiop") < 5 and cost("1999-12-31") < 6
     assert cost("password1999") < cost("passvord1999") and cost("xK9vLq2rTz7w") > 12
-    assert secrets.spans("the secret is interesting, the token: Configuration") == []
+    assert secrets.spans("the secret is interesting, my pwd: Configuration") == []
     assert [k for k, _, _ in secrets.spans("passphrase is correcthorsebatterystaple")] == ["guess"]
     assert cost("x" * 3) == min(cost("x" * 3), 3 * math.log10(26))
 
