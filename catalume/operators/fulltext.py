@@ -50,15 +50,20 @@ def bm25(texts: DataFrame, query: str, column: str = "text", id_column: str = "i
 
 
 def phrase(tokens: Column, words: list[str]) -> Column:
-    """The words stand consecutively."""
-    n = len(words)
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.slice(tokens, i, n) == F.array(*[F.lit(w) for w in words])) if n else F.lit(False)
+    """The words stand consecutively: one scan of the tokens, joined by the space that no token holds."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(f" {' '.join(words)} ") if words else F.lit(False)
 
 
 def near(tokens: Column, a: str, b: str, distance: int) -> Column:
-    """Both words stand with at most `distance` words between them."""
-    places = lambda w: F.filter(F.transform(tokens, lambda t, i: F.when(t == w, i)), lambda i: i.isNotNull())
-    return F.exists(places(a), lambda i: F.exists(places(b), lambda j: F.abs(i - j) <= distance + 1))
+    """Both words stand with at most `distance` words between them: one pass that keeps the last place of each."""
+
+    def step(s: Column, t: Column) -> Column:
+        i = s["i"] + 1
+        x, y = F.when(t == a, i).otherwise(s["x"]), F.when(t == b, i).otherwise(s["y"])
+        return F.struct(i.alias("i"), x.alias("x"), y.alias("y"), (s["hit"] | F.coalesce(F.abs(x - y) <= distance + 1, F.lit(False))).alias("hit"))
+
+    none = F.lit(None).cast("int")
+    return F.aggregate(tokens, F.struct(F.lit(0).alias("i"), none.alias("x"), none.alias("y"), F.lit(False).alias("hit")), step, lambda s: s["hit"])
 
 
 def boolean_condition(query: str, tokens: Column) -> Column:
