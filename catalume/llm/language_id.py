@@ -27,6 +27,8 @@ WORD_BYTES = 128
 #: Every piece's probability is scaled by this to the power of its length, against underflow.
 SCALE = 16.0
 CACHE_WORDS = 400_000
+#: Words of one block of the fit: what bounds the driver's memory.
+LEARN_WORDS = 8_000
 _BITS = 20
 
 _SOLID = ~K.SPACE
@@ -113,25 +115,35 @@ class Model:
         return out
 
     def learn(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> None:
-        """Expectation maximisation from the words' counts in each language."""
-        word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        edges, scale = self.edges(data, offsets), SCALE ** np.arange(PIECE_BYTES + 1)
-        total = offsets[1:] + np.arange(len(offsets) - 1)
+        """Expectation maximisation from the words' counts in each language, by blocks of words of like length."""
+        size = np.diff(offsets)
+        order = np.argsort(size, kind="stable")
+        data, counts = data[K.ranges(offsets[:-1][order], size[order])], counts[order]
+        offsets = np.concatenate(([0], np.cumsum(size[order])))
         for _ in range(rounds):
-            alpha = self.forward(data, offsets, edges)
-            beta = np.zeros_like(alpha)
-            beta[total] = counts / np.maximum(alpha[total], 1e-300)
             expected = np.full_like(self.probability, 1e-2)
-            for end, length, piece in reversed(edges):
-                if len(end):
-                    row = end + word[end - 1]
-                    weight = self.probability[piece] * scale[length][:, None]
-                    back = beta[row] * weight
-                    for k in range(len(self.languages)):
-                        expected[:, k] += np.bincount(piece, alpha[row - length, k] * back[:, k], len(expected))
-                        beta[:, k] += np.bincount(row - length, back[:, k], len(beta))
+            for lo in range(0, len(order), LEARN_WORDS):
+                hi = min(len(order), lo + LEARN_WORDS)
+                self.expect(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], counts[lo:hi], expected)
             self.probability = expected / expected.sum(0)
 
+    def expect(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, expected: np.ndarray) -> None:
+        """Adds the expected counts of all pieces in a block of words: a forward and a backward pass."""
+        word, scale = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), SCALE ** np.arange(PIECE_BYTES + 1)
+        edges = self.edges(data, offsets)
+        total = offsets[1:] + np.arange(len(offsets) - 1)
+        alpha = self.forward(data, offsets, edges)
+        beta = np.zeros_like(alpha)
+        beta[total] = counts / np.maximum(alpha[total], 1e-300)
+        for end, length, piece in reversed(edges):
+            if len(end):
+                row = end + word[end - 1]
+                back = beta[row] * (self.probability[piece] * scale[length][:, None])
+                used, at = np.unique(piece, return_inverse=True)
+                for k in range(len(self.languages)):
+                    expected[used, k] += np.bincount(at, alpha[row - length, k] * back[:, k], len(used))
+                    beta[:, k] += np.bincount(row - length, back[:, k], len(beta))
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log-probability of each whole text in each language; each distinct word is scored once for as long as it is remembered."""
         if len(self.cache) > CACHE_WORDS:
