@@ -117,10 +117,8 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             at = text.find(hint, int(offsets[k + 1]))
     hexed = np.zeros(256, bool)
     hexed[48:58] = hexed[97:103] = True
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], hexed[data].view(np.int8), [0]))))
-    long = edge[::2][edge[1::2] - edge[::2] >= 16]
-    for shift in (0, 15):  # a run over two texts' border suspects both
-        out[np.searchsorted(offsets, np.minimum(long + shift, max(0, len(data) - 1)), "right") - 1] = True
+    starts, ends, first = K.words(data, offsets, hexed)  # runs end where their text ends
+    out[np.searchsorted(first, np.flatnonzero(ends - starts >= 16), "right") - 1] = True
     return out
 
 

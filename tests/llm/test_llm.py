@@ -384,6 +384,18 @@ def test_secrets(spark, real):
     assert secrets.mask_secrets(df.limit(0)).count() == 0
 
 
+def test_hex_runs_of_neighbours(spark):
+    """Texts that end and begin in hexadecimal digits are each scanned, whatever stands beside them in the batch."""
+    digest = "0123456789abcdef"
+    texts = [digest, digest, "", digest * 2, "x " + digest, digest + " y", None, "abc", digest, "0123456789", "abcdef", digest + "0", "z"]
+    assert secrets.suspects(*K.flat(pa.array(texts))).tolist() == [digest in (t or "") for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in secrets.secret_spans(df).collect():
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in r.spans] == brute_secrets(texts[r.doc_id]), r.doc_id
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df).collect()}
+    assert masked[1] == masked[3] == masked[11] == "<SECRET>" and masked[4] == "x <SECRET>" and masked[9] == "0123456789"
+
+
 def test_guess_costs_find_structure():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 2 and cost("p4ssw0rd") < 3
