@@ -9,6 +9,9 @@ core does.
 Documents are dealt into groups of GROUP_BYTES. Each group sends the hashes of its cores,
 learns which ones other groups hold too, sorts the suffixes of such units, settles what
 repeats inside the group, and sends the rest as sorted, front-coded runs dealt by core.
+A core that HOT_GROUPS groups hold (a common line in ever new surroundings) is not enough
+to propose: the hashes of its whole strings are exchanged as well, and the strings that
+other groups hold too are dealt by these hashes, so that no bucket grows with the core.
 Runs are merged by a loser tree that carries common-prefix lengths; strings are equal
 where the merged prefix lengths and the bytes to the left agree. Marks go back to the groups.
 The hash of a core only proposes: what is removed has been compared byte by byte.
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
+from catalume.llm.common import written
 
 SPAN = 100
 GRAM = 20
@@ -33,6 +37,8 @@ BLOCK = 41
 CORE = SPAN - BLOCK + 1
 #: Bytes of text in a group, which one task holds at a time.
 GROUP_BYTES = 4 << 20
+#: Groups that hold a core from which its strings are looked at one by one.
+HOT_GROUPS = 64
 
 _PLACE = 24
 _CHUNK = 1 << 22
@@ -278,38 +284,77 @@ class Group:
         copies = np.frombuffer(b"".join(p for k, p in zip(kind, payload) if k == 0), np.int64)
         self.copy = np.isin(self.number, copies) & ids.take(pa.array(order, pa.int64())).is_valid().to_numpy(zero_copy_only=False)
         self.messages = [p for k, p in zip(kind, payload) if k == 1]
+        #: Cores that many groups hold, and the hashes of their strings that other groups hold too.
+        self.hot, self.strings = (np.sort(np.frombuffer(b"".join(p for k, p in zip(kind, payload) if k == own), np.uint64)) for own in (2, 3))
         self.rows = np.flatnonzero(~self.copy)
         kept = [self.body[i] for i in self.rows.tolist()]
         self.data = np.frombuffer(b"".join(kept), np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in kept]))).astype(np.int64)
 
 
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _string_hashes(data: np.ndarray, place: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the unit, bit, hash of the whole string) of every string of the units' masks."""
+    unit, bit = np.nonzero((mask[:, None] >> np.arange(BLOCK, dtype=np.uint64)) & np.uint64(1))
+    start = place[unit] - bit
+    return unit, bit, K.span_hashes(K.prefix_hashes(data), start, start + SPAN)
+
+
+def _dealt(hashes: np.ndarray, buckets: int, g: int) -> pa.Table:
+    """One row for each bucket that gets some of the group's hashes."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    hashes, bucket = hashes[order], bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(bucket))
+    return pa.table({"bucket": pa.array(bucket[first].astype(np.int32)), "g": pa.array(np.full(len(first), g, np.int32)), "payload": pa.array([hashes[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
+
+
+def _hot_strings(buckets: int):
+    """The hashes of all strings around a group's hot cores."""
+
+    def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = np.zeros(0, np.uint64)
+        if left.num_rows and 2 in right.column("kind").to_pylist():
+            group = Group(left, right)
+            place, least, most, core = units(group.data, group.offsets)
+            own = _among(group.hot, core)
+            hashes = np.unique(_string_hashes(group.data, place[own], _bits(least[own], most[own]))[2])
+        return _dealt(hashes, buckets, key[0].as_py())
+
+    return send
+
+
 def _core_lists(buckets: int):
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
         group = Group(left, right)
-        cores = np.unique(units(group.data, group.offsets)[3])
-        bucket = (cores % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cores, bucket = cores[order], bucket[order]
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(bucket))
-        return pa.table({"bucket": pa.array(bucket[first].astype(np.int32)), "g": pa.array(np.full(len(first), key[0].as_py(), np.int32)), "payload": pa.array([cores[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())})
+        return _dealt(np.unique(units(group.data, group.offsets)[3]), buckets, key[0].as_py())
 
     return send
 
 
-def _common_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group of a bucket the cores that another group holds too."""
-    for table in K.groups(batches, "bucket"):
-        lists = [(g, np.frombuffer(p, np.uint64)) for g, p in zip(table.column("g").to_pylist(), table.column("payload").to_pylist())]
-        every = np.sort(np.concatenate([x for _, x in lists]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        if len(twice):
-            found = [(g, x[twice[np.minimum(np.searchsorted(twice, x), len(twice) - 1)] == x]) for g, x in lists]
-            found = [(g, x) for g, x in found if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array([1] * len(found), pa.int32()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["g", "kind", "payload"])
+def _common(kind: int, hot_groups: int | None = None):
+    """For each group of a bucket the hashes that another group holds too, as messages of a kind; kind 2 names those that many hold."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.groups(batches, "bucket"):
+            lists = [(g, np.frombuffer(p, np.uint64)) for g, p in zip(table.column("g").to_pylist(), table.column("payload").to_pylist())]
+            every, times = np.unique(np.concatenate([x for _, x in lists]), return_counts=True)
+            out = []
+            for own, least in ((kind, 2), *([(2, hot_groups)] if hot_groups else [])):
+                shared = every[times >= least]
+                out += [(g, own, x[_among(shared, x)].tobytes()) for g, x in lists]
+            out = [r for r in out if r[2]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], ["g", "kind", "payload"])
+
+    return find
 
 
 _RUN_SCHEMA = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -322,7 +367,7 @@ def _sorted_runs(buckets: int):
             group, g = Group(left, right), key[0].as_py()
             place, least, most, core = units(group.data, group.offsets)
             known = np.sort(np.frombuffer(b"".join(group.messages), np.uint64))
-            elsewhere = known[np.minimum(np.searchsorted(known, core), len(known) - 1)] == core if len(known) else np.zeros(len(core), bool)
+            elsewhere = _among(known, core)
             _, inverse, times = np.unique(core, return_inverse=True, return_counts=True)
             here = elsewhere | (times[inverse] > 1)
             place, least, most, core, elsewhere = place[here], least[here], most[here], core[here], elsewhere[here]
@@ -338,14 +383,24 @@ def _sorted_runs(buckets: int):
             if own.any():
                 out.append((g % buckets, g, 1, marks(row[own], inside[own], repeated[own])))
             rest = mask & ~repeated
-            send_on = np.flatnonzero(elsewhere & (rest > 0))
-            bucket = (core[send_on] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            send_on, bucket = send_on[by], bucket[by]
+            hot = _among(group.hot, core)
+            send_on = np.flatnonzero(elsewhere & ~hot & (rest > 0))
+            bucket, part = (core[send_on] % np.uint64(buckets)).astype(np.int64), rest[send_on]
+            hot = np.flatnonzero(hot & (rest > 0))
+            if len(hot):
+                unit, bit, string = _string_hashes(group.data, place[hot], rest[hot])
+                shared = _among(group.strings, string)
+                # One row for each unit and bucket, with the unit's strings that go there.
+                pair, row_of = np.unique(hot[unit[shared]] * buckets + (string[shared] % np.uint64(buckets)).astype(np.int64), return_inverse=True)
+                bits = np.zeros(len(pair), np.uint64)
+                np.bitwise_or.at(bits, row_of, np.uint64(1) << bit[shared].astype(np.uint64))
+                send_on, bucket, part = np.concatenate((send_on, pair // buckets)), np.concatenate((bucket, pair % buckets)), np.concatenate((part, bits))
+            by = np.lexsort((send_on, bucket))
+            send_on, bucket, part = send_on[by], bucket[by], part[by]
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
             for a, b in zip(first.tolist(), np.append(first[1:], len(bucket)).tolist()):
                 i = send_on[a:b]
-                out.append((int(bucket[a]), g, 0, front_coded(right_bytes[i], size[i], left_bytes[i], most[i], group.number[row[i]], inside[i], row[i], rest[i])))
+                out.append((int(bucket[a]), g, 0, front_coded(right_bytes[i], size[i], left_bytes[i], most[i], group.number[row[i]], inside[i], row[i], part[a:b])))
         return pa.table([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_RUN_SCHEMA)], schema=_RUN_SCHEMA)
 
     return send
@@ -393,7 +448,7 @@ def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64())} | {c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")} | {"kept": pa.array(out["kept"], pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, hot_groups: int = HOT_GROUPS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document.
 
     A byte goes if a string of SPAN bytes covers it that also starts earlier: in a document
@@ -421,8 +476,9 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame
 
     messages = "g int, kind int, payload binary"
     cores = exchange(copies, _core_lists(count), "bucket int, g int, payload binary")
-    common = by_bucket(cores, _common_cores, messages)
-    runs = exchange(copies.union(common), _sorted_runs(count), "bucket int, g int, kind int, payload binary")
+    common = written(by_bucket(cores, _common(1, hot_groups), messages), "suffix-cores")
+    strings = by_bucket(exchange(copies.union(common), _hot_strings(count), "bucket int, g int, payload binary"), _common(3), messages)
+    runs = exchange(copies.union(common).union(strings), _sorted_runs(count), "bucket int, g int, kind int, payload binary")
     found = by_bucket(runs, _merged, messages)
     return exchange(copies.union(found), _cut, _CUT_SCHEMA)
 

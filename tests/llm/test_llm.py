@@ -327,6 +327,39 @@ def test_suffix_dedup_of_low_entropy(spark):
         assert sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(df, size)).collect())) == brute_repeats(pairs)
 
 
+def test_suffix_dedup_of_a_common_line(spark, monkeypatch, tmp_path):
+    """A line that all documents hold, each in its own surroundings, does not gather them in one bucket."""
+    draw = np.random.default_rng(12)
+
+    def prose(n):
+        return "".join(draw.choice(list("abcdefgh "), n))
+
+    line, texts = prose(75), [prose(int(draw.integers(60, 200))) for _ in range(400)]
+    texts = [t + line + texts[(k * 7 + k // 200) % 200] for k, t in enumerate(texts)] + [texts[3] + line + "!" + texts[4], texts[9] * 2]
+    pairs = list(enumerate(texts))
+    merged, folder = suffix_dedup._merged, str(tmp_path)
+
+    def counted(batches):
+        import uuid
+
+        batches = list(batches)
+        for table in K.groups(iter(batches), "bucket"):
+            kinds, raws = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(sum(int(np.frombuffer(p, np.int64, 1)[0]) for k, p in zip(kinds, raws) if k == 0)))
+        yield from merged(iter(batches))
+
+    monkeypatch.setattr(suffix_dedup, "_merged", counted)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(df, 1300)).collect())) == brute_repeats(pairs)
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) < 200
+
+
+def test_suffix_dedup_by_strings(spark, docs, rows):
+    """The same results where every shared core counts as common."""
+    assert sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(docs, 2000, 2)).collect())) == brute_repeats([(r[0], r[1]) for r in rows])
+
+
 def test_merge_keeps_order_and_prefixes():
     draw = np.random.default_rng(4)
 
