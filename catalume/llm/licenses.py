@@ -39,6 +39,8 @@ TEMPLATES = {
 
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Words of a window for each word of the template: room for a few words of a comment's frame.
+WINDOW = 1.25
 
 
 def _words(text: str) -> list[bytes]:
@@ -99,23 +101,25 @@ class TemplateIndex:
                 least = ceil(containment * len(tokens) - 1e-9)
                 for place, w in enumerate(tokens[: len(tokens) - least + 1]):
                     prefixes.setdefault(_hash(w), []).append((len(self.entries), place))
-                self.entries.append((label, np.sort(np.array([_hash(w) for w in tokens], np.uint64)), frozenset(tokens), least))
+                self.entries.append((label, np.sort(np.array([_hash(w) for w in tokens], np.uint64)), frozenset(tokens), least, ceil(WINDOW * len(_words(text)))))
         self.prefixes = prefixes
         self.known = np.array(sorted(prefixes), np.uint64)
 
-    def match(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, block: np.ndarray) -> list[tuple[int, str, float]]:
-        """(first word of the block, label, containment) of every block and template that meet the threshold."""
+    def match(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, block: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
+        """(a word of the block, label, containment) of every template and line that meet the threshold, and of every region with such windows."""
         out: list[tuple[int, str, float]] = []
         if not len(hashes):
             return out
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         places: dict[tuple[int, int], int] = {}
+        near: dict[int, list[int]] = {}
         for i in np.flatnonzero(self.known[at] == hashes).tolist():
             for entry, place in self.prefixes[int(hashes[i])]:
                 key = (int(block[i]), entry)
                 places[key] = min(places.get(key, place), place)
+                near.setdefault(entry, []).append(i)
         for (b, entry), place in places.items():
-            label, _, tokens, least = self.entries[entry]
+            label, _, tokens, least, _ = self.entries[entry]
             lo, hi = (int(x) for x in np.searchsorted(block, (b, b + 1)))
             # Length and position: too few words here, or too few template words from its first prefix word on.
             if hi - lo < least or len(tokens) - place < least:
@@ -124,13 +128,45 @@ class TemplateIndex:
             shared = len(tokens & have)
             if shared >= least:
                 out.append((lo, label, shared / len(tokens)))
+        for entry, found in near.items():
+            label, known, tokens, least, width = self.entries[entry]
+            at = np.array(found)
+            text = np.searchsorted(first, at, "right") - 1
+            lo, hi = np.maximum(at - width + 1, first[text]), np.minimum(at + width, first[text + 1])
+            fresh = np.concatenate(([True], lo[1:] >= hi[:-1]))
+            lo, hi = lo[fresh], hi[np.append(np.flatnonzero(fresh)[1:] - 1, len(hi) - 1)]
+            # Inside one line the line holds what any window does.
+            several = block[lo] != block[hi - 1]
+            lo, hi = lo[several], hi[several]
+            enough = K.sums(np.isin(hashes[K.ranges(lo, hi - lo)], known), np.concatenate(([0], np.cumsum(hi - lo)))) >= least
+            for a, b in zip(lo[enough].tolist(), hi[enough].tolist()):
+                shared = _most_shared([low[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())], tokens, width)
+                if shared >= least:
+                    out.append((a, label, shared / len(tokens)))
         return out
 
 
+def _most_shared(words: list[bytes], tokens: frozenset[bytes], width: int) -> int:
+    """The most distinct tokens in any window of `width` consecutive words."""
+    have: dict[bytes, int] = {}
+    best = 0
+    for k, w in enumerate(words):
+        if w in tokens:
+            have[w] = have.get(w, 0) + 1
+        gone = words[k - width] if k >= width else None
+        if gone in tokens:
+            have[gone] -= 1
+            if not have[gone]:
+                del have[gone]
+        best = max(best, len(have))
+    return best
+
+
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every whole text.
 
-    A block is a line. It carries a template's label if it holds at least `containment` of
+    A block is a line, or a window of consecutive words, over line ends, of WINDOW times the
+    template's length. It carries a template's label if it holds at least `containment` of
     the template's distinct words; prefix words by global frequency propose, and the length
     and position filters prune before the sets are compared, so every such block is found.
     score is the best containment, 1 where a base phrase stands. Null or empty text has no
@@ -162,7 +198,7 @@ def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None,
                         place[doc].append(i - int(first[doc]))
                         base_labels[doc].add(label)
                         score[doc] = 1.0
-            for i, label, share in index.match(low, starts, ends, hashes, block):
+            for i, label, share in index.match(low, starts, ends, hashes, block, first):
                 doc = int(np.searchsorted(first, i, "right")) - 1
                 more[doc].add(label)
                 score[doc] = max(score[doc], share)

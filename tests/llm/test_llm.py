@@ -474,6 +474,37 @@ def test_licenses(spark, docs, none, real, rows):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Statements wrapped over lines, with comment frames, get their labels; so does what brute force over all windows finds."""
+    import textwrap
+
+    statements = [(label, t) for label, group in licenses.TEMPLATES.items() for t in group]
+    texts = []
+    for n, (label, t) in enumerate(statements):
+        for width, frame in ((24, ""), (40, "# "), (72, " * ")):
+            texts.append("Copyright 2020 someone\n" + "\n".join(frame + x for x in textwrap.wrap(t, width)) + "\nend of it")
+    scattered = licenses.TEMPLATES["bsd"][0].split()
+    texts += ["\n".join(w + " x" * 12 for w in scattered), "\n".join(scattered[:9]), None, ""]
+    draw = np.random.default_rng(6)
+    pool = sorted({w for _, t in statements for w in words(t)})
+    texts += ["".join(w + str(draw.choice([" ", "\n"])) for w in draw.choice(pool[:40], 60)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in licenses.license_scan(df).collect()}
+    for n, (label, _) in enumerate(statements):
+        assert all(label in got[3 * n + k].labels.split(",") for k in range(3)), label
+    assert got[3 * len(statements)].labels == "" and got[3 * len(statements) + 1].labels == ""
+    for i, text in enumerate(texts):
+        w, blocks = words(text), [set(words(x)) for x in (text or "").split("\n")]
+        want, score = set(brute_license(text)[4].split(",")) - {""}, 1.0 if brute_license(text)[1] else 0.0
+        for label, t in statements:
+            tokens, size = set(words(t)), math.ceil(licenses.WINDOW * len(words(t)))
+            share = max(len(tokens & b) for b in blocks + [set(w[k : k + size]) for k in range(len(w))]) / len(tokens)
+            if share >= licenses.CONTAINMENT - 1e-9:
+                want.add(label)
+                score = max(score, share)
+        assert (got[i].labels, got[i].score) == (",".join(sorted(want)), pytest.approx(score)), i
+
+
 # --- 10 ----------------------------------------------------------------------------------
 
 
