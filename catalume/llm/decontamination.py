@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
+from catalume.llm.common import written
 
 #: Bytes of benchmark text up to which its windows are broadcast; larger sets are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 _TABLE_BITS = 20
+#: Column of the key that tells rows apart in the shuffled way.
+_ROW = "__decontamination_row"
 
 
 def item_windows(text: str | None, n: int) -> list[tuple[bytes, ...]]:
@@ -130,35 +133,81 @@ def window_rows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool,
     return K.map_batches(df, [key, "text"], scan, f"key {kind}, n_words bigint, at bigint, size bigint, h1 bigint, h2 bigint")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row; written, so that the key is the same wherever it is read."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontamination-rows")
+
+
+def _hits(keyed: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n_words) of every row, and (key, item_ids, spans) of the rows that hold a window of an item."""
+    sizes = list(range(1, n + 1))
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("None")).alias("item_id"), "text")
+    items = window_rows(named, "item_id", sizes, True, n).where("size > 0").groupBy("size", "h1", "h2").agg(F.collect_set("key").alias("items"))
+    own = window_rows(keyed, _ROW, sizes, False, n)
+    hits = own.where("size > 0").join(items, ["size", "h1", "h2"]).groupBy("key").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"), F.collect_set(F.struct("at", "size")).alias("spans"))
+    return own.where("size = 0").select("key", "n_words"), hits
+
+
 def by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """`contamination` for a benchmark too large to broadcast: an equi-join on 128-bit window hashes.
 
-    A hit window's words are equal up to a 128-bit collision. Rows of one doc_id are told
-    apart by nothing else here, so doc_id has to be unique.
+    A hit window's words are equal up to a 128-bit collision. Every row has a key of its
+    own, so null and repeated doc_ids are rows like all others.
     """
-    sizes = list(range(1, n + 1))
-    items = window_rows(benchmark, "item_id", sizes, True, n).where("size > 0").select(F.col("key").cast("string").alias("item"), "size", "h1", "h2").distinct()
-    own = window_rows(docs, "doc_id", sizes, False, n)
-    hits = own.where("size > 0").join(items, ["size", "h1", "h2"]).groupBy("key").agg(
-        F.array_sort(F.collect_set("item")).alias("item_ids"), F.collect_set(F.struct("at", "size")).alias("spans"))
+    keyed = _keyed(docs.select("doc_id", "text"))
+    own, hits = _hits(keyed, benchmark, n)
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1)))))
-    return own.where("size = 0").select("key", "n_words").join(hits, "key", "left").select(
-        F.col("key").alias("doc_id"), "n_words", F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_hit"),
+    return keyed.select(F.col(_ROW).alias("key"), "doc_id").join(own, "key").join(hits, "key", "left").select(
+        "doc_id", "n_words", F.when(F.col("spans").isNull(), 0).otherwise(covered).cast("bigint").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.col("item_ids").isNotNull().alias("contaminated"))
 
 
+def _without_hits(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The texts without everything from a run's first hit byte to its last."""
+    keep = np.ones(len(data) + 1, np.int64)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        for i in range(len(offsets) - 1):
+            x, y = max(a, first[i]), min(b, first[i + 1])
+            if x < y:
+                keep[starts[x] : ends[y - 1]] = 0
+    return [data[a:b][keep[a:b] > 0].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _remove_by_shuffle(docs: DataFrame, benchmark: DataFrame, n: int, remove: str) -> DataFrame:
+    keyed, columns, found = _keyed(docs), docs.columns, f"{_ROW}_spans"
+    hits = _hits(keyed.select(_ROW, "text"), benchmark, n)[1].withColumnRenamed("key", _ROW)
+    if remove == "documents":
+        return keyed.join(hits, _ROW, "left_anti").select(*columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, texts = batch.schema.get_field_index("text"), []
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            for lo, hi, data, offsets in K.slices(batch.column(where)):
+                starts, ends, first = K.words(K.LOWER[data], offsets)
+                hit = np.zeros(len(starts), bool)
+                for k in range(lo, hi):
+                    for s in spans[k] or ():
+                        hit[first[k - lo] + s["at"] : first[k - lo] + s["at"] + s["size"]] = True
+                texts += _without_hits(data, offsets, first, hit, starts, ends)
+            texts = [t if valid else None for t, valid in zip(texts, batch.column(where).is_valid().to_pylist())]
+            batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
+            yield batch.select(columns)
+
+    return keyed.join(hits.select(_ROW, F.col("spans").alias(found)), _ROW, "left").select(*columns, found).mapInArrow(cut, docs.schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """docs, with all their columns, without the contaminated documents or (remove="spans") without the hit words' spans.
 
     With "spans" a text loses everything from a run's first hit byte to its last; null
-    stays null. A benchmark beyond BROADCAST_BYTES takes the shuffled way for "documents".
+    stays null. A benchmark beyond BROADCAST_BYTES takes the shuffled way.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > BROADCAST_BYTES:
-        if remove != "documents":
-            raise ValueError("spans can be removed for benchmarks up to BROADCAST_BYTES")
-        dirty = by_shuffle(docs, benchmark, n).where("contaminated").select("doc_id")
-        return docs.join(dirty, "doc_id", "left_anti")
+        return _remove_by_shuffle(docs, benchmark, n, remove)
     kept = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()], n))
 
     def clean(column: pa.Array) -> np.ndarray:
@@ -176,14 +225,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
             where, texts = batch.schema.get_field_index("text"), []
             for lo, hi, data, offsets in K.slices(batch.column(batch.schema.get_field_index("text"))):
                 first, hit, _, (starts, ends) = kept.value.find(data, offsets)
-                keep = np.ones(len(data) + 1, np.int64)
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    for i in range(hi - lo):
-                        x, y = max(a, first[i]), min(b, first[i + 1])
-                        if x < y:
-                            keep[starts[x] : ends[y - 1]] = 0
-                texts += [data[a:b][keep[a:b] > 0].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                texts += _without_hits(data, offsets, first, hit, starts, ends)
             texts = [t if valid else None for t, valid in zip(texts, batch.column(where).is_valid().to_pylist())]
             yield batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
 

@@ -204,6 +204,19 @@ def test_decontamination(spark, docs, none, real, rows):
         assert found[r.doc_id] == (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest())
 
 
+def test_decontamination_is_the_same_at_every_size(docs, spark, rows, monkeypatch):
+    """Null and repeated doc_ids, null item ids and removed spans do not depend on how large the benchmark is."""
+    more = [(None, rows[5][1] + " a"), (None, "clean text"), (5, "a clean row of a used id"), (77, rows[5][1] + " and two words too")]
+    df = docs.select("doc_id", "text", "g").union(spark.createDataFrame([(i, t, 3) for i, t in more], "doc_id long, text string, g int"))
+    bench = spark.createDataFrame([(None, rows[5][1]), (9, "two words"), (9, rows[5][1]), (1, None)], "item_id long, text string")
+    results = []
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+        results.append([plain(decontamination.contamination(df, bench)), plain(decontamination.decontaminate(df, bench)), plain(decontamination.decontaminate(df, bench, remove="spans"))])
+    assert results[0] == results[1]
+    assert any("None" in r[3] for r in results[1][0]) and len(results[1][2]) == len(rows) + len(more)
+
+
 # --- 4 -----------------------------------------------------------------------------------
 
 
