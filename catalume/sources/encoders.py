@@ -18,7 +18,7 @@ def hashing_encoder(dim: int = 512) -> Encoder:
     def encode(items: list) -> np.ndarray:
         out = np.zeros((len(items), dim), np.float32)
         for i, item in enumerate(items):
-            parts = item.lower().split() if isinstance(item, str) else [bytes(item)[k : k + 4] for k in range(0, min(len(item), 1 << 16), 4)]
+            parts = item.lower().split() if isinstance(item, str) else [bytes(item)[k : k + 4] for k in range(0, len(item), 4)]
             for p in parts:
                 h = int.from_bytes(hashlib.blake2b(p.encode() if isinstance(p, str) else p, digest_size=8).digest(), "little")
                 out[i, h % dim] += 1 if h >> 63 else -1

@@ -134,3 +134,11 @@ def test_streams(spark, tmp_path):
     assert q.awaitTermination(180)
     assert spark.table("rates").groupBy("k").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == events.count()
     assert progress.sessions(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_hashing_encoder_reads_all_bytes():
+    from catalume.sources.encoders import hashing_encoder
+
+    same = b"abcd" * (1 << 14)
+    a, b = hashing_encoder(64)([same + b"one tail", same + b"another tail, longer"])
+    assert (a != b).any()
