@@ -1,8 +1,10 @@
 """Vectorised byte kernels that the operators run inside Arrow batches.
 
 A batch of texts is seen as one flat UTF-8 buffer with document offsets. Substring hashes
-are polynomial prefix sums modulo 2**64 over random byte codes; a hash only ever proposes
-a match, unless a docstring states the collision bound it relies on.
+are polynomial prefix sums modulo the prime 2**61 - 1: two different strings of at most n
+bytes collide for at most n of the 2**61 - 1 possible roots, so the chance is n / 2**61
+for texts that were not made against the fixed root. A hash proposes a match; whoever takes
+it for identity says so and relies on this bound.
 """
 
 from __future__ import annotations
@@ -20,8 +22,15 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 2 << 20
 
 _ROOT = 0x9E3779B97F4A7C15
-_CODE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64)
+_PRIME = 2**61 - 1
+_P, _61, _31, _30 = (np.uint64(x) for x in (_PRIME, 61, 31, 30))
+_LOW31, _LOW30 = np.uint64(2**31 - 1), np.uint64(2**30 - 1)
+#: Base of the polynomial, and its powers and their inverses from 0 on, made longer as needed.
+_BASE = _ROOT % _PRIME
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Elements that a step works on, so that its intermediate arrays stay in the processor's cache. Sums of so many
+#: products of 9 bits of code and 32 bits of power fit 64 bits.
+_STEP = 1 << 15
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -43,28 +52,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2**64."""
+    x = (x & _P) + (x >> _61)
+    x -= _P * (x >= _P)
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The root's powers below n and their inverses."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, root in enumerate((_ROOT, pow(_ROOT, -1, 2**64))):
-            base = np.full(size, root, np.uint64)
-            base[0] = 1
-            _POWERS[k] = np.cumprod(base, dtype=np.uint64)
+    """The base's powers below n and their inverses."""
+    while len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, _PRIME))):
+            have, by = _POWERS[k], np.uint64(pow(base, len(_POWERS[k]), _PRIME))
+            _POWERS[k] = np.concatenate([have, *(_times(have[lo : lo + _STEP], by) for lo in range(0, len(have), _STEP))])
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which `span_hashes` takes the hash of any substring."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * powers(len(data))[0], out=out[1:])
+    """Prefix sums modulo the prime, from which `span_hashes` takes the hash of any substring."""
+    out, carry = np.zeros(len(data) + 1, np.uint64), np.uint64(0)
+    power = powers(len(data))[0]
+    for lo in range(0, len(data), _STEP):
+        code, own = data[lo : lo + _STEP].astype(np.uint64) + np.uint64(1), power[lo : lo + _STEP]
+        low = _reduced(np.cumsum(code * (own & np.uint64(0xFFFFFFFF))))
+        # The high halves count 2**32 each: x * 2**32 = (x >> 29) + ((x & (2**29 - 1)) << 32) modulo the prime.
+        high = np.cumsum(code * (own >> np.uint64(32)))
+        total = _reduced(low + (high >> np.uint64(29)) + ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + carry)
+        out[lo + 1 : lo + 1 + len(code)] = total
+        carry = total[-1]
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each substring [start, end)."""
-    inverse = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """One hash for each substring [start, end): 61 bits of content, spread over 64."""
+    inverse, out = powers(len(prefix))[1], np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), _STEP):
+        a, b = start[lo : lo + _STEP], end[lo : lo + _STEP]
+        out[lo : lo + _STEP] = mix(_times(_reduced(prefix[b] + (_P - prefix[a])), inverse[a]) ^ ((b - a).astype(np.uint64) << _61))
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

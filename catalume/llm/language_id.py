@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
 
-#: Labelled documents a language from which the model is fitted: the bound on what comes to the driver.
+#: Distinct labelled texts a language from which the model is fitted: the bound on what comes to the driver.
 SAMPLE_DOCS = 150
 ROUNDS = 3
-#: Bytes of the longest vocabulary piece in use, and of the longest word scored in one go.
-PIECE_BYTES = 16
-WORD_BYTES = 128
+#: Bytes up to which a word's scaled sums fit a double; longer words are summed in logarithms, and the fit cuts them here.
+WORD_BYTES = 64
 #: Every piece's probability is scaled by this to the power of its length, against underflow.
 SCALE = 16.0
 CACHE_WORDS = 400_000
@@ -36,22 +35,23 @@ _MARK = "▁".encode()
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a sentencepiece model as bytes, at most PIECE_BYTES long, and all single bytes."""
+    """The pieces of a sentencepiece model as bytes, and all single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).encode() for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    return sorted({p for p in pieces if 0 < len(p) <= PIECE_BYTES} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in pieces if p} | {bytes([b]) for b in range(256)})
 
 
 @dataclass
 class Model:
-    """Piece probabilities, one row a piece and one column a language."""
+    """Piece probabilities, one row a piece and one column a language; pieces and words are told apart by the kernels' 61-bit hashes."""
 
     languages: list[str]
     prior: np.ndarray
     known: np.ndarray
     probability: np.ndarray
+    lengths: list[int]
     hit: np.ndarray = field(init=False)
     cache: dict[int, int] = field(init=False, default_factory=dict)
     scores: np.ndarray = field(init=False)
@@ -70,7 +70,7 @@ class Model:
         size = np.diff(offsets)
         inside = np.arange(n) - np.repeat(offsets[:-1], size)
         ends, lengths, pieces = [], [], []
-        for length in range(1, min(PIECE_BYTES, int(size.max(initial=0))) + 1):
+        for length in self.lengths:
             end = np.flatnonzero(inside >= length - 1) + 1
             h = K.span_hashes(prefix, end - length, end)
             maybe = self.hit[h >> np.uint64(64 - _BITS)]
@@ -92,7 +92,7 @@ class Model:
         word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         alpha = np.zeros((len(data) + len(offsets) - 1, len(self.languages)))
         alpha[offsets[:-1] + np.arange(len(offsets) - 1)] = 1.0
-        scale = SCALE ** np.arange(PIECE_BYTES + 1)
+        scale = SCALE ** np.arange(self.lengths[-1] + 1)
         for end, length, piece in edges:
             if len(end):
                 row = end + word[end - 1]
@@ -103,15 +103,37 @@ class Model:
                 alpha[row[first]] = np.add.reduceat(own, first)
         return alpha
 
+    def forward_logs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each word from forward sums in logarithms, which no length of word can underflow."""
+        word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        begin, logs = offsets[:-1] + np.arange(len(offsets) - 1), np.log(self.probability)
+        alpha = np.full((len(data) + len(offsets) - 1, len(self.languages)), -np.inf)
+        alpha[begin] = 0.0
+        for end, length, piece in self.edges(data, offsets):
+            if len(end):
+                row = end + word[end - 1]
+                own = alpha[row - length] + logs[piece]
+                order = np.argsort(row, kind="stable")
+                row, own = row[order], own[order]
+                fresh = np.concatenate(([True], row[1:] != row[:-1]))
+                first = np.flatnonzero(fresh)
+                most = np.maximum.reduceat(own, first)
+                alpha[row[first]] = most + np.log(np.add.reduceat(np.exp(own - most[np.cumsum(fresh) - 1]), first))
+        return alpha[offsets[1:] + np.arange(len(offsets) - 1)]
+
     def log_probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each word in each language."""
-        out = np.empty((len(offsets) - 1, len(self.languages)))
-        for lo in range(0, len(offsets) - 1, 20_000):
-            hi = min(len(offsets) - 1, lo + 20_000)
-            own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            alpha = self.forward(own, at, self.edges(own, at))
-            size = np.diff(at)
-            out[lo:hi] = np.log(np.maximum(alpha[at[1:] + np.arange(hi - lo)], 1e-300)) - (size * np.log(SCALE))[:, None]
+        out, size = np.empty((len(offsets) - 1, len(self.languages))), np.diff(offsets)
+        short = size <= WORD_BYTES + len(_MARK)
+        for rows, logs in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
+            for lo in range(0, len(rows), 20_000):
+                own = rows[lo : lo + 20_000]
+                part, at = data[K.ranges(offsets[own], size[own])], np.concatenate(([0], np.cumsum(size[own])))
+                if logs:
+                    out[own] = self.forward_logs(part, at)
+                else:
+                    alpha = self.forward(part, at, self.edges(part, at))
+                    out[own] = np.log(np.maximum(alpha[at[1:] + np.arange(len(own))], 1e-300)) - (size[own] * np.log(SCALE))[:, None]
         return out
 
     def learn(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> None:
@@ -129,7 +151,7 @@ class Model:
 
     def expect(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, expected: np.ndarray) -> None:
         """Adds the expected counts of all pieces in a block of words: a forward and a backward pass."""
-        word, scale = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), SCALE ** np.arange(PIECE_BYTES + 1)
+        word, scale = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), SCALE ** np.arange(self.lengths[-1] + 1)
         edges = self.edges(data, offsets)
         total = offsets[1:] + np.arange(len(offsets) - 1)
         alpha = self.forward(data, offsets, edges)
@@ -148,7 +170,7 @@ class Model:
         """Log-probability of each whole text in each language; each distinct word is scored once for as long as it is remembered."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        starts, ends, first = marked_words(data, offsets)
+        starts, ends, first = solid_words(data, offsets)
         if not len(starts):
             return np.zeros((len(offsets) - 1, len(self.languages)))
         unique, at, inverse = np.unique(K.span_hashes(K.prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
@@ -165,23 +187,17 @@ class Model:
         return total[first[1:]] - total[first[:-1]]
 
 
-def marked_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words between white space, with those over WORD_BYTES cut between characters."""
-    starts, ends, first = K.words(data, offsets, _SOLID)
-    long = np.flatnonzero(ends - starts > WORD_BYTES)
-    if len(long):
-        cuts = []
-        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
-            at = a + WORD_BYTES
-            while at < b:
-                while at < b and data[at] & 0xC0 == 0x80:
-                    at += 1
-                if at < b:
-                    cuts.append(at)
-                at += WORD_BYTES
-        starts, ends = np.sort(np.concatenate((starts, np.array(cuts, np.int64)))), np.sort(np.concatenate((ends, np.array(cuts, np.int64))))
-        first = np.searchsorted(starts, offsets)
-    return starts, ends, first
+def solid_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space."""
+    return K.words(data, offsets, _SOLID)
+
+
+def parts(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, those over WORD_BYTES in parts of that many bytes, and the number of each part's word."""
+    count = np.maximum(1, -(-(ends - starts) // WORD_BYTES))
+    word = np.repeat(np.arange(len(starts)), count)
+    begin = starts[word] + (np.arange(len(word)) - (np.cumsum(count) - count)[word]) * WORD_BYTES
+    return begin, np.minimum(begin + WORD_BYTES, ends[word]), word
 
 
 def with_mark(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,28 +214,32 @@ def with_mark(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 def fit(labelled: DataFrame, vocabulary_file: str, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows with text and non-null lang; every other row is ignored.
 
-    About `sample_docs` documents a language are used, chosen by a hash of the text, so
-    what comes to the driver (their distinct words' counts) does not grow with the table.
-    Without any labelled text the model knows no language.
+    About `sample_docs` distinct texts a language are used, chosen by a hash of the text
+    against the (approximate) number of its distinct texts, so what comes to the driver
+    (their distinct words' counts) does not grow with the table, copies weigh no more than
+    one text, and a language of few texts is used whole. Words over WORD_BYTES are learnt
+    in parts. Without any labelled text the model knows no language.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    stats = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()}
+    sizes = {lang: r.n for lang, r in stats.items()}
     languages = sorted(sizes)
     known_bytes = vocabulary(vocabulary_file)
     flat_bytes, at = np.frombuffer(b"".join(known_bytes), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in known_bytes])))
     known = np.unique(K.span_hashes(K.prefix_hashes(flat_bytes), at[:-1], at[1:]))
     prior = np.log(np.array([sizes[x] for x in languages], float) / max(1, sum(sizes.values())))
-    model = Model(languages, prior, known, np.full((len(known), len(languages)), 1 / len(known)))
+    model = Model(languages, prior, known, np.full((len(known), len(languages)), 1 / len(known)), sorted({len(p) for p in known_bytes}))
     if not languages:
         return model
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_docs / sizes[lang]))])
-    sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_docs / max(1, stats[lang].texts)))])
+    sample = rows.where((F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         codes = batch.column(1).to_pylist()
         for lo, hi, data, offsets in K.slices(batch.column(0)):
-            starts, ends, first = marked_words(data, offsets)
-            text = np.repeat(np.arange(hi - lo), np.diff(first)).tolist()
+            starts, ends, first = solid_words(data, offsets)
+            starts, ends, word = parts(starts, ends)
+            text = np.repeat(np.arange(hi - lo), np.diff(first))[word].tolist()
             raw = data.tobytes()
             yield {"lang": [codes[lo + k] for k in text], "word": pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())}
 

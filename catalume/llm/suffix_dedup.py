@@ -40,10 +40,25 @@ GROUP_BYTES = 4 << 20
 #: Groups that hold a core from which its strings are looked at one by one.
 HOT_GROUPS = 64
 
+_GRAM_ROOT = 0x9E3779B97F4A7C15
+_GRAM_CODE = K.mix(np.arange(1, 257, dtype=np.uint64))
 _PLACE = 24
 _CHUNK = 1 << 22
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each place on, by doubling; it only has to be the same for equal bytes."""
+    width, h, done, out = 1, _GRAM_CODE[data], 0, None
+    while True:
+        if GRAM & width:  # the bits of GRAM from the lowest on, each part in front of those before
+            out = h.copy() if out is None else h[: len(out) - width] * np.uint64(pow(_GRAM_ROOT, done, 2**64)) + out[width:]
+            done += width
+        if done == GRAM:
+            return K.mix(out)
+        h = h[:-width] * np.uint64(pow(_GRAM_ROOT, width, 2**64)) + h[width:]
+        width *= 2
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, least, most, core hash): strings start at place - least, ..., place - most, counted back from the place."""
     prefix = K.prefix_hashes(data)
@@ -63,7 +78,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if a == b:
             continue
         at = np.arange(lo, min(lo + _CHUNK + WINDOW, n - GRAM + 1))
-        best = (K.span_hashes(prefix, at, at + GRAM) >> np.uint64(_PLACE) << np.uint64(_PLACE)) | (at - lo).astype(np.uint64)
+        best = (_gram_hashes(data[lo : lo + len(at) + GRAM - 1]) >> np.uint64(_PLACE) << np.uint64(_PLACE)) | (at - lo).astype(np.uint64)
         width = 1
         while width * 2 <= WINDOW:
             best = np.minimum(best[:-width], best[width:])

@@ -39,8 +39,9 @@ def long_text():
 def rows(long_text):
     base = "the quick brown fox jumps over the lazy dog and then it runs away from all the other animals in the wood near here today"
     near = base.replace("animals", "beasts")
+    first, second = thue_morse(11)
     texts = [None, "", " ", "one", "two words here", base, base, near, near + " again", "x" * 400, "É à l'été\n\nÀ demain …", long_text, long_text[:30_000], base.upper(),
-             'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" end', "<|endoftext|> a<|endoftext|>b", "12345 !!! ---", "Licensed under CC BY 4.0\nAll rights reserved."]
+             'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" end', "<|endoftext|> a<|endoftext|>b", "12345 !!! ---", "Licensed under CC BY 4.0\nAll rights reserved.", first, second]
     out = [(k, t, "en", "src0", 1, 1, "b", 2) for k, t in enumerate(texts)]
     return [*out, out[5]]
 
@@ -60,6 +61,30 @@ def real(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+def thue_morse(steps):
+    a, b = "a", "b"
+    for _ in range(steps):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_hashes_are_polynomials_modulo_the_prime(monkeypatch):
+    data = np.frombuffer(np.random.default_rng(3).bytes(2000), np.uint8)
+    prefix, total = K.prefix_hashes(data), 0
+    for k, b in enumerate(data.tolist()):
+        total = (total + (b + 1) * pow(K._BASE, k, K._PRIME)) % K._PRIME
+        assert int(prefix[k + 1]) == total
+    monkeypatch.setattr(K, "_STEP", 64)
+    assert (K.prefix_hashes(data) == prefix).all()
+    twice = np.concatenate((data[100:300], data[:7], data[100:300]))
+    h = K.span_hashes(K.prefix_hashes(twice), np.array([0, 207, 207]), np.array([200, 407, 406]))
+    assert h[0] == h[1] == K.span_hashes(prefix, np.array([100]), np.array([300]))[0] != h[2]
+    for steps in (10, 11, 12):  # strings that every polynomial modulo 2**64 takes for equal
+        a, b = thue_morse(steps)
+        both, n = np.frombuffer((a + b).encode(), np.uint8), len(a)
+        assert len(set(K.span_hashes(K.prefix_hashes(both), np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+
+
 def plain(df, key="doc_id"):
     return sorted(map(tuple, df.collect()), key=lambda r: tuple((x is not None, str(x)) for x in r))
 
@@ -544,7 +569,7 @@ def test_forward_sums_all_segmentations():
     order = np.argsort(hashes)
     draw = np.random.default_rng(8)
     probability = draw.dirichlet(np.ones(len(pieces)), 2).T
-    model = language_id.Model(["x", "y"], np.zeros(2), hashes[order], probability[order])
+    model = language_id.Model(["x", "y"], np.zeros(2), hashes[order], probability[order], [1, 2, 3])
 
     def total(word, k):
         if not word:
@@ -554,6 +579,28 @@ def test_forward_sums_all_segmentations():
     data = np.frombuffer(b"ababac", np.uint8)
     got = model.log_probability(data, np.array([0, 5, 6]))
     assert np.allclose(got, [[math.log(total(b"ababa", k)) for k in (0, 1)], [math.log(total(b"c", k)) for k in (0, 1)]])
+    assert np.allclose(got, model.forward_logs(data, np.array([0, 5, 6])))
+    junk = np.frombuffer(b"c" * 5000 + b"ab" * 40, np.uint8)
+    long = model.log_probability(junk, np.array([0, 5000, 5080]))
+    assert np.allclose(long[0], [5000 * math.log(probability[pieces.index(b"c"), k]) for k in (0, 1)])
+    assert np.allclose(long[1], model.forward_logs(junk[5000:], np.array([0, 80])))
+
+
+def test_language_vocabulary_is_whole():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=Q.PIECES)
+    pieces = set(language_id.vocabulary(Q.PIECES))
+    assert all(model.id_to_piece(i).encode() in pieces for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
+
+
+def test_language_sample_takes_copies_once(spark):
+    """A language whose rows are copies of few texts is learnt, and a hot group of copies comes to the driver once."""
+    rows = [(k, "der hund und die katze sind im garten", "de") for k in range(500)] + [(1000 + k, f"the dog number {k} is in the house", "en") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, Q.PIECES, 5)
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "die katze und der hund"), (2, "the house is here")], "doc_id long, text string"), model).collect()}
+    assert model.languages == ["de", "en"] and got == {1: "de", 2: "en"}
 
 
 # --- pipeline ------------------------------------------------------------------------------
