@@ -1,17 +1,26 @@
 """LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class). The class, fixed by a token's
-last two bytes, comes from a softmax over hashed features of the history: the word
-before, the two before, the second before alone (a skip), and the last two classes. Its
-weights are trained by rounds of distributed gradient updates that together visit every
-training text once. P(token | class) is the token's smoothed share of the class's training
-tokens, counted over the whole corpus.
+P(token | history) = P(class | history) P(slot | class, history) P(token | slot). A token's
+class comes from its last two bytes, its slot in the class from a hash of the whole token;
+a common word has its slot almost to itself. Both factors are softmaxes over hashed
+features of the history: the word before, the two before, the second before alone (a skip)
+and the last two classes. They start from the corpus's shares and are trained by rounds of
+distributed gradient updates that together visit every training text once; these dense
+weights have a fixed size and are broadcast.
+
+The pairs of words before a token are features of their own, as many as the corpus has:
+their counts with each class and slot are kept in shards and exchanged with the groups of
+texts that hold them. A pair seen at least CUTOFF times scales both softmaxes towards what
+followed it, (n(pair, outcome) + ALPHA P(outcome)) / (n(pair) + ALPHA), which still sums to
+one. P(token | slot) is the token's smoothed share of the slot's training tokens, counted
+over the whole corpus in the same exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
+from catalume.llm.common import written
 
 CLASSES = 32
-FEATURES = 1 << 14
+SLOTS = 32
+#: Rows of weights of the class softmax, and as many of the slot softmax.
+FEATURES = 1 << 13
 #: Rounds of updates; each sees its share of the training texts.
 ROUNDS = 3
 #: Adaptive step size in the first round; round r takes the (r + 1)-th part. Squared gradients start at DAMPING, so that rare features move little.
 RATE = 0.15
 DAMPING = 1.0
-BATCH_TOKENS = 20_000
+BATCH_TOKENS = 16_384
+#: Times a pair of words has to occur before a token in the training texts to count as a feature, and the weight of the softmax beside its counts.
+CUTOFF = 2
+ALPHA = 16.0
 #: Bytes of text in a group, which one task scores at a time.
 GROUP_BYTES = 4 << 20
 #: Rows of weights that are averaged together.
@@ -35,7 +50,7 @@ ROWS = 256
 
 _END = np.uint64(0x0123456789ABCDEF)
 _BEGIN = np.uint64(0x7FEDCBA987654321)
-_SHIFT = np.uint64(64 - 14)
+_SHIFT = np.uint64(64 - 13)
 _SOLID = ~K.SPACE
 
 
@@ -55,57 +70,82 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hashes, kind, first + np.arange(n + 1)
 
 
-def features(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Four weight rows for each token, from the tokens before it in its text."""
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+def slots(hashes: np.ndarray) -> np.ndarray:
+    """Each token's slot in its class."""
+    return (K.mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SLOTS)).astype(np.int64)
 
-    def back(values: np.ndarray, k: int, none) -> np.ndarray:
-        out = np.full(len(values), none, values.dtype)
-        out[k:] = values[:-k]
-        out[place < k] = none
-        return out
 
-    one, two = back(hashes, 1, _BEGIN), back(hashes, 2, _BEGIN)
-    c1, c2 = back(kind, 1, CLASSES), back(kind, 2, CLASSES)
-    pair = (c1 * (CLASSES + 1) + c2).astype(np.uint64)
-    return np.stack([one >> _SHIFT, K.mix(one * np.uint64(3) + two) >> _SHIFT, K.mix(two + np.uint64(0x51ED270B)) >> _SHIFT, K.mix(pair + np.uint64(0xABCD0000)) >> _SHIFT]).astype(np.int64)
+def _back(values: np.ndarray, bounds: np.ndarray, k: int, none) -> np.ndarray:
+    """What stands k tokens before each token of the same text."""
+    out = np.full(len(values), none, values.dtype)
+    out[k:] = values[:-k]
+    out[np.arange(len(values)) - np.repeat(bounds[:-1], np.diff(bounds)) < k] = none
+    return out
 
 
-def class_log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural logs of P(class | history), one row a token."""
-    z = weights[rows[0]]
+def pairs(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of the two words before each token."""
+    return K.mix(_back(hashes, bounds, 1, _BEGIN) * np.uint64(3) + _back(hashes, bounds, 2, _BEGIN))
+
+
+def features(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, from the tokens before it in its text: the rows of class weights, and those of slot weights given its class."""
+    one, two = _back(hashes, bounds, 1, _BEGIN), _back(hashes, bounds, 2, _BEGIN)
+    before = (_back(kind, bounds, 1, CLASSES) * (CLASSES + 1) + _back(kind, bounds, 2, CLASSES)).astype(np.uint64)
+    rows = [K.mix(one), pairs(hashes, bounds), K.mix(two + np.uint64(0x51ED270B)), K.mix(before + np.uint64(0xABCD0000))]
+    own = (kind.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([r >> _SHIFT for r in rows]).astype(np.int64), np.stack([K.mix(r ^ own) >> _SHIFT for r in (rows[0], rows[2])]).astype(np.int64)
+
+
+def log_softmax(weights: np.ndarray, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Natural logs of a softmax over the weights of the rows, one line a token, from a start (one line, or one a token)."""
+    z = weights[rows[0]] + start
     for r in rows[1:]:
         z += weights[r]
     z -= z.max(1, keepdims=True)
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def train_step(weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, kind: np.ndarray, rate: float = RATE) -> None:
-    """One adaptive gradient update from a batch of tokens."""
-    p = np.exp(class_log_probabilities(weights, rows))
-    p[np.arange(len(kind)), kind] -= 1
+def train_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, start: np.ndarray, outcome: np.ndarray, rate: float = RATE) -> None:
+    """One adaptive gradient update of one softmax from a batch of tokens."""
+    p = np.exp(log_softmax(weights, rows, start))
+    p[np.arange(len(outcome)), outcome] -= 1
     flat = rows.ravel()
-    gradient = np.empty_like(weights)
-    for c in range(CLASSES):
-        gradient[:, c] = np.bincount(flat, np.tile(p[:, c], len(rows)), FEATURES)
-    squares += gradient * gradient
-    weights -= rate * gradient / np.sqrt(squares)
-    seen += np.bincount(flat, minlength=FEATURES)
+    used, at = np.unique(flat, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(used)))[:-1]))
+    gradient = np.add.reduceat(p[order % len(outcome)], first)
+    squares[used] += gradient * gradient
+    weights[used] -= rate * gradient / np.sqrt(squares[used])
+
+
+def starts(masses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logs of the classes' shares, and of the slots' shares in each class, from the training tokens of each class and slot."""
+    counts = masses.reshape(CLASSES, SLOTS) + 1.0 / SLOTS
+    return np.log(counts.sum(1) / counts.sum()).astype(np.float32), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+
 
+def _trainer(weights, start, rate: float):
+    """Changes of both weight tables (slot rows after class rows) by one task's texts."""
 
-def _trainer(weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = weights.value
-        own, squares, seen = start.copy(), np.full_like(start, DAMPING), np.zeros(FEATURES, np.int64)
+        begin, (classes, inside) = weights.value, start.value
+        own, squares, seen = begin.copy(), np.full_like(begin, DAMPING), np.zeros(2 * FEATURES, np.int64)
+        halves = slice(0, FEATURES), slice(FEATURES, 2 * FEATURES)
         for batch in batches:
             for _, _, data, offsets in K.slices(batch.column(0)):
                 hashes, kind, bounds = tokens(data, offsets)
-                rows = features(hashes, kind, bounds)
+                slot = slots(hashes)
+                rows, more = features(hashes, kind, bounds)
                 for lo in range(0, len(kind), BATCH_TOKENS):
-                    train_step(own, squares, seen, rows[:, lo : lo + BATCH_TOKENS], kind[lo : lo + BATCH_TOKENS], rate)
+                    at = slice(lo, lo + BATCH_TOKENS)
+                    train_step(own[halves[0]], squares[halves[0]], rows[:, at], classes, kind[at], rate)
+                    train_step(own[halves[1]], squares[halves[1]], more[:, at], inside[kind[at]], slot[at], rate)
+                seen[halves[0]] += np.bincount(rows.ravel(), minlength=FEATURES)
+                seen[halves[1]] += np.bincount(more.ravel(), minlength=FEATURES)
         if seen.any():
-            change = (own - start).astype(np.float16)
-            blocks = range(0, FEATURES, ROWS)
+            change = (own - begin).astype(np.float16)
+            blocks = range(0, 2 * FEATURES, ROWS)
             yield pa.RecordBatch.from_arrays([pa.array([b // ROWS for b in blocks], pa.int32()), pa.array([seen[b : b + ROWS].astype("<f4").tobytes() + change[b : b + ROWS].tobytes() for b in blocks], pa.binary())], ["block", "payload"])
 
     return run
@@ -117,100 +157,187 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen = np.frombuffer(raw, "<f4", ROWS).astype(np.float64)
-            change = np.frombuffer(raw, np.float16, -1, 4 * ROWS).reshape(ROWS, CLASSES).astype(np.float64)
+            change = np.frombuffer(raw, np.float16, -1, 4 * ROWS).reshape(ROWS, -1).astype(np.float64)
             n, total = totals.get(block, (0, 0))
             totals[block] = (n + seen, total + change * seen[:, None])
     for block, (n, total) in totals.items():
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / np.maximum(n, 1)[:, None]).astype("<f4").tobytes()], pa.binary())], ["block", "payload"])
 
 
-def train(texts: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (FEATURES x CLASSES) from a DataFrame with text and round; their size is fixed, whatever the corpus."""
+def _masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's training tokens of each class and slot."""
+    total = np.zeros(CLASSES * SLOTS, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in K.slices(batch.column(0)):
+            hashes, kind, _ = tokens(data, offsets)
+            total += np.bincount(kind * SLOTS + slots(hashes), minlength=CLASSES * SLOTS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES * SLOTS)), pa.array(total)], ["outcome", "n"])
+
+
+def train(texts: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Weights (class rows, then slot rows) and the starts of both softmaxes from a DataFrame with text and round; their size is fixed, whatever the corpus."""
     spark = texts.sparkSession
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
+    masses = np.zeros(CLASSES * SLOTS)
+    for row in texts.select("text").mapInArrow(_masses, "outcome bigint, n bigint").groupBy("outcome").agg(F.sum("n").alias("n")).collect():
+        masses[row.outcome] = row.n
+    start = spark.sparkContext.broadcast(starts(masses))
+    weights = np.zeros((2 * FEATURES, CLASSES), np.float32)
     for r in range(rounds):
         kept = spark.sparkContext.broadcast(weights)
-        changes = texts.where(F.col("round") == r).select("text").mapInArrow(_trainer(kept, RATE / (r + 1)), "block int, payload binary")
-        parts = min(FEATURES // ROWS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        changes = texts.where(F.col("round") == r).select("text").mapInArrow(_trainer(kept, start, RATE / (r + 1)), "block int, payload binary")
+        parts = min(2 * FEATURES // ROWS, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         merged = changes.repartition(parts, "block").mapInArrow(_average, "block int, payload binary")
         weights = weights.copy()
         for row in merged.collect():
             weights[row.block * ROWS : row.block * ROWS + ROWS] += np.frombuffer(row.payload, "<f4").reshape(ROWS, CLASSES)
         kept.unpersist()
-    return weights
+    return weights, start.value
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
 
+def _group_tokens(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """A group's token hashes, classes, bounds, and which tokens are training tokens."""
+    hashes, kind, bounds = tokens(*K.flat(table.column("text")))
+    return hashes, kind, bounds, np.repeat(table.column("training").to_numpy(), np.diff(bounds)).astype(bool)
 
-def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return K.flat(table.column("text"))
+
+def _distinct_pairs(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's bucket by the pair before it, and 48 bits: 32 of the pair's hash and its outcome (class and slot)."""
+    pair = pairs(hashes, bounds)
+    return (pair % np.uint64(buckets)).astype(np.int64), (pair // np.uint64(buckets) & np.uint64(0xFFFFFFFF)) << np.uint64(16) | (kind * SLOTS + slots(hashes)).astype(np.uint64)
+
+
+def _by_bucket(buckets: int, bucket: np.ndarray, key: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, its distinct keys in order, the weights' sums, an occurrence of each)."""
+    order = np.lexsort((key, bucket))
+    b, k = bucket[order], key[order]
+    fresh = np.concatenate(([True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])))
+    first = np.flatnonzero(fresh)
+    total = np.add.reduceat(weight[order].astype(np.int64), first)
+    b, k, at = b[first], k[first], order[first]
+    edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    for lo, hi in zip(edge.tolist(), np.append(edge[1:], len(b)).tolist()):
+        yield int(b[lo]), k[lo:hi], total[lo:hi], at[lo:hi]
 
 
 def _own_counts(buckets: int):
-    """Each group's distinct tokens with their classes and training counts, dealt by hash."""
+    """Each group's distinct tokens (with class, slot and training count) and distinct pairs with outcomes, dealt by hash."""
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        data, offsets = _flat(table)
-        hashes, kind, bounds = tokens(data, offsets)
-        training = np.repeat(table.column("training").to_numpy(), np.diff(bounds))
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        count = np.bincount(inverse, training, len(unique)).astype(np.uint32)
-        kind = kind[first].astype(np.uint8)
-        bucket = (unique % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        unique, count, kind, bucket = unique[order], count[order], kind[order], bucket[order]
-        start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        ends = np.append(start[1:], len(bucket))
-        return pa.table({"bucket": pa.array(bucket[start].astype(np.int32)), "g": pa.array(np.full(len(start), key[0].as_py(), np.int32)), "payload": pa.array([unique[a:b].tobytes() + count[a:b].tobytes() + kind[a:b].tobytes() for a, b in zip(start, ends)], pa.binary())})
+        hashes, kind, bounds, training = _group_tokens(table)
+        rows: dict[int, list[bytes]] = {}
+        outcome = (kind * SLOTS + slots(hashes)).astype(np.uint16)
+        for b, k, n, at in _by_bucket(buckets, (hashes % np.uint64(buckets)).astype(np.int64), hashes, training):
+            rows[b] = [_packed(k, n, outcome[at]), b""]
+        for b, k, n, _ in _by_bucket(buckets, *_distinct_pairs(hashes, kind, bounds, buckets), training):
+            rows.setdefault(b, [b"", b""])[1] = _packed((k >> np.uint64(16)).astype(np.uint32), (k & np.uint64(0xFFFF)).astype(np.uint16), n)
+        return pa.table({"bucket": pa.array(list(rows), pa.int32()), "g": pa.array([key[0].as_py()] * len(rows), pa.int32()), "tokens": pa.array([r[0] for r in rows.values()], pa.binary()), "pairs": pa.array([r[1] for r in rows.values()], pa.binary())})
 
     return send
 
 
+def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = decompress(raw) if raw else b""
+    n, at, out = len(raw) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _shared_pairs(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[bytes]:
+    """For each group of a bucket, in the order it sent: which of its pairs are features, and n(pair), n(pair, class), n(pair, class, slot) of these."""
+    keys = [pair.astype(np.uint64) << np.uint64(16) | outcome for pair, outcome, _ in lists]
+    every, where = np.unique(np.concatenate(keys), return_inverse=True)
+    exact = np.bincount(where, np.concatenate([n for _, _, n in lists]), len(every)).astype(np.int64)
+
+    def over(shift: int) -> np.ndarray:
+        part = every >> np.uint64(shift)
+        fresh = np.concatenate(([True], part[1:] != part[:-1]))
+        return np.add.reduceat(exact, np.flatnonzero(fresh))[np.cumsum(fresh) - 1] if len(every) else exact
+
+    pair, own_class, at = over(16), over(SLOTS.bit_length() - 1), 0
+    for k in keys:
+        own = where[at : at + len(k)]
+        at += len(k)
+        good = pair[own] >= CUTOFF
+        used = own[good]
+        yield _packed(np.packbits(good), pair[used], own_class[used], exact[used])
+
+
 def _global_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group of a bucket its tokens' corpus-wide training counts; for the bucket (g null) each class's tokens and distinct tokens."""
+    """For each group of a bucket the corpus-wide counts of its tokens and pairs; for the bucket (g null) each slot's tokens and distinct tokens."""
+    lists_type = pa.list_(pa.int64())
     for table in K.groups(batches, "bucket"):
-        lists = []
-        for raw in table.column("payload").to_pylist():
-            n = len(raw) // 13
-            lists.append((np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n), np.frombuffer(raw, np.uint8, n, 12 * n)))
+        lists = [_unpacked(raw, "u8", "i8", "u2") for raw in table.column("tokens").to_pylist()]
         unique, first, inverse = np.unique(np.concatenate([x[0] for x in lists]), return_index=True, return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([x[1] for x in lists]), len(unique)).astype(np.int64)
-        kind = np.concatenate([x[2] for x in lists])[first]
-        out, at = [], 0
+        total = np.zeros(len(unique), np.int64)
+        np.add.at(total, inverse, np.concatenate([x[1] for x in lists]))
+        outcome = np.concatenate([x[2] for x in lists])[first].astype(np.int64)
+        counts, at = [], 0
         for own, _, _ in lists:
-            out.append(own.tobytes() + total[inverse[at : at + len(own)]].astype(np.uint32).tobytes())
+            counts.append(_packed(own, total[inverse[at : at + len(own)]]))
             at += len(own)
-        stats = np.stack([np.bincount(kind, total, CLASSES), np.bincount(kind, total > 0, CLASSES)])
-        n = len(out)
-        lists_type = pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array([*table.column("g").to_pylist(), None], pa.int32()), pa.array([*out, None], pa.binary()), pa.array([None] * n + [stats[0].tolist()], lists_type), pa.array([None] * n + [stats[1].tolist()], lists_type)], ["g", "payload", "n", "v"])
-
-
-_PARTIAL = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("log_classes", pa.float64()), ("by_class", pa.list_(pa.int64()))])
-
-
-def _scorer(weights):
+        found = list(_shared_pairs([tuple(_unpacked(raw, "u4", "u2", "i8")) for raw in table.column("pairs").to_pylist()]))
+        n, v = np.zeros(CLASSES * SLOTS, np.int64), np.bincount(outcome, total > 0, CLASSES * SLOTS).astype(np.int64)
+        np.add.at(n, outcome, total)
+        bucket, rows = table.column("bucket")[0].as_py(), table.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([*table.column("g").to_pylist(), None], pa.int32()), pa.array([bucket] * (rows + 1), pa.int32()), pa.array([*counts, None], pa.binary()), pa.array([*found, None], pa.binary()), pa.array([None] * rows + [n.tolist()], lists_type), pa.array([None] * rows + [v.tolist()], lists_type)], ["g", "bucket", "tokens", "pairs", "n", "v"])
+
+
+_PARTIAL = pa.schema([("doc_id", pa.int64()), ("training", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()), ("log_outcomes", pa.float64()), ("outcomes", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
+
+
+def _scaled(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray, classes: np.ndarray, inside: np.ndarray, messages: dict[int, bytes], buckets: int) -> np.ndarray:
+    """log P(class) + log P(slot) of each token, with the counts of the pair before it where that is a feature."""
+    out = np.log(classes) + np.log(inside)
+    bucket, key = _distinct_pairs(hashes, kind, bounds, buckets)
+    order = np.lexsort((key, bucket))
+    b, k = bucket[order], key[order]
+    distinct = np.cumsum(np.concatenate(([True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])))) - 1
+    edge = np.append(np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))), len(b))
+    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        raw = decompress(messages[int(b[lo])])
+        count = int(distinct[hi - 1] - distinct[lo]) + 1
+        flags = -(-count // 8)
+        good = np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=count).astype(bool)
+        n = np.frombuffer(raw, np.int64, -1, flags).reshape(3, -1).astype(np.float64)
+        own = distinct[lo:hi] - distinct[lo]
+        use = good[own]
+        at, slot = order[lo:hi][use], (np.cumsum(good) - 1)[own[use]]
+        pair, own_class, exact = n[0][slot], n[1][slot], n[2][slot]
+        out[at] = np.log((own_class + ALPHA * classes[at]) / (pair + ALPHA)) + np.log((exact + ALPHA * inside[at]) / (own_class + ALPHA))
+    return out
+
+
+def _scorer(weights, start, buckets: int):
     def score(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PARTIAL.empty_table()
-        lists = [raw for raw in messages.column("payload").to_pylist() if raw]
-        known = np.concatenate([np.frombuffer(raw, np.uint64, len(raw) // 12) for raw in lists])
-        count = np.concatenate([np.frombuffer(raw, np.uint32, len(raw) // 12, 8 * (len(raw) // 12)) for raw in lists])
+        by_bucket = dict(zip(messages.column("bucket").to_pylist(), messages.column("pairs").to_pylist()))
+        known, count = (np.concatenate(x) for x in zip(*[_unpacked(raw, "u8", "i8") for raw in messages.column("tokens").to_pylist()]))
         order = np.argsort(known)
         known, count = known[order], count[order]
-        texts = table.column("text").combine_chunks()
-        parts: list[list[np.ndarray]] = []
-        for _, _, data, offsets in K.slices(texts):
-            hashes, kind, bounds = tokens(data, offsets)
-            c = count[np.searchsorted(known, hashes)].astype(np.float64)
-            rows = features(hashes, kind, bounds)
-            logs = np.empty(len(kind))
-            for lo in range(0, len(kind), BATCH_TOKENS):
-                own = kind[lo : lo + BATCH_TOKENS]
-                logs[lo : lo + BATCH_TOKENS] = class_log_probabilities(weights.value, rows[:, lo : lo + BATCH_TOKENS])[np.arange(len(own)), own]
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            parts.append([np.diff(bounds), K.sums(c > 0, bounds), K.sums(np.log10(c + 1), bounds), K.sums(logs, bounds) / np.log(10), np.bincount(text * CLASSES + kind, minlength=(len(bounds) - 1) * CLASSES)])
-        n, n_known, counts, classes, by_class = (np.concatenate(x) for x in zip(*parts))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * CLASSES), pa.array(by_class.astype(np.int64)))
-        return pa.table([table.column("doc_id").combine_chunks(), table.column("training").combine_chunks(), pa.array(n.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(counts), pa.array(classes), lists], schema=_PARTIAL)
+        hashes, kind, bounds, _ = _group_tokens(table)
+        slot, (first, inside) = slots(hashes), start.value
+        rows, more = features(hashes, kind, bounds)
+        classes, within = np.empty(len(kind)), np.empty(len(kind))
+        for lo in range(0, len(kind), BATCH_TOKENS):
+            at = slice(lo, lo + BATCH_TOKENS)
+            line = np.arange(len(kind[at]))
+            classes[at] = np.exp(log_softmax(weights.value[:FEATURES], rows[:, at], first)[line, kind[at]])
+            within[at] = np.exp(log_softmax(weights.value[FEATURES:], more[:, at], inside[kind[at]])[line, slot[at]])
+        logs = _scaled(hashes, kind, bounds, np.maximum(classes, 1e-30), np.maximum(within, 1e-30), by_bucket, buckets)
+        c = count[np.searchsorted(known, hashes)].astype(np.float64)
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        # The slots that a text's tokens fall into, and how many fall into each: the slots' totals come later.
+        pair, times = np.unique(text * (CLASSES * SLOTS) + kind * SLOTS + slot, return_counts=True)
+        ends = pa.array(np.searchsorted(pair, np.arange(len(bounds)) * (CLASSES * SLOTS)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((pair % (CLASSES * SLOTS)).astype(np.int32), times.astype(np.int64))]
+        return pa.table([table.column("doc_id").combine_chunks(), table.column("training").combine_chunks(), pa.array(np.diff(bounds).astype(np.int64)), pa.array(K.sums(c > 0, bounds).astype(np.int64)), pa.array(K.sums(np.log10(c + 1), bounds)), pa.array(K.sums(logs, bounds) / np.log(10)), *lists], schema=_PARTIAL)
 
     return score
 
@@ -219,30 +346,34 @@ def score(docs: DataFrame, training: F.Column, rounds: int = ROUNDS, group_bytes
     """doc_id, training, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every whole text.
 
     The model learns from the rows for which `training` holds; null counts as false. Null
-    or empty text has one token, its end. Tokens are told apart by 64-bit hashes. Texts are
-    dealt into groups by doc_id; a group sends its distinct tokens' counts and gets the
-    corpus-wide ones back, so no table of counts is broadcast. Without training rows every
-    count is 0. Repeated rows are scored each; other columns are ignored.
+    or empty text has one token, its end. Tokens are told apart by the kernels' 61-bit
+    hashes, pairs of words by 32 bits in one of as many buckets as there are groups; counts
+    have 64 bits. Texts are dealt into groups by doc_id; a group sends its distinct tokens
+    and pairs and gets the corpus-wide counts back, so no table of counts is broadcast.
+    Without training rows every count is 0. Repeated rows are scored each; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    weights = spark.sparkContext.broadcast(train(rows.where("training").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("round")), rounds))
+    trained, start = train(rows.where("training").select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).alias("round")), rounds)
+    weights, start = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(start)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, ceil(total / group_bytes))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("g"), "doc_id", "text", "training")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = dealt.groupBy("g").applyInArrow(_own_counts(count), "bucket int, g int, payload binary")
-    shared = own.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_global_counts, "g int, payload binary, n array<double>, v array<double>")
-    counts = shared.where("g is not null").select("g", "payload")
-    partial = dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_scorer(weights), "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, log_counts double, log_classes double, by_class array<bigint>")
-    # One row: each class's training tokens and distinct training tokens.
-    stats = shared.where("g is null").agg(*[F.sum(F.col(c)[k]).alias(f"{c}{k}") for c in "nv" for k in range(CLASSES)])
-    stats = stats.select(F.array(*[F.col(f"n{k}") for k in range(CLASSES)]).alias("n"), F.array(*[F.col(f"v{k}") for k in range(CLASSES)]).alias("v"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-    mass = F.zip_with("n", "v", lambda n, v: F.log10(F.coalesce(n, F.lit(0.0)) + F.coalesce(v, F.lit(0.0)) + 1))
-    stats = stats.select(total("n").alias("train_n"), total("v").alias("train_v"), mass.alias("mass"))
-    inside = F.aggregate(F.zip_with("by_class", "mass", lambda k, m: k * m), F.lit(0.0), lambda a, x: a + x)
-    return partial.crossJoin(F.broadcast(stats)).select(
-        "doc_id", "training", "n_tokens", "n_known", F.col("train_n").cast("bigint").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_n") + F.col("train_v") + 1)).alias("base_score"),
-        (F.col("log_classes") + F.col("log_counts") - inside).alias("score"))
+    own = dealt.groupBy("g").applyInArrow(_own_counts(count), "bucket int, g int, tokens binary, pairs binary")
+    shared = written(own.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_global_counts, "g int, bucket int, tokens binary, pairs binary, n array<bigint>, v array<bigint>"), "lm-counts")
+    # One row of CLASSES x SLOTS totals for each bucket comes to the driver, summed: training tokens and distinct training tokens of each slot.
+    sums = shared.where("g is null").select(F.posexplode(F.arrays_zip("n", "v")).alias("k", "x")).groupBy("k").agg(F.sum("x.n").alias("n"), F.sum("x.v").alias("v")).collect()
+    train_n, train_v = sum(r.n for r in sums), sum(r.v for r in sums)
+    mass = np.zeros(CLASSES * SLOTS)
+    for r in sums:
+        mass[r.k] = np.log10(r.n + r.v + 1)
+    counts = shared.where("g is not null").select("g", "bucket", "tokens", "pairs")
+    partial = dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(_scorer(weights, start, count), "doc_id bigint, training boolean, n_tokens bigint, n_known bigint, log_counts double, log_outcomes double, outcomes array<int>, times array<bigint>")
+    masses = F.array(*[F.lit(float(x)) for x in mass])
+    inside = F.aggregate(F.zip_with("outcomes", "times", lambda k, n: n * F.element_at(masses, k + 1)), F.lit(0.0), lambda a, x: a + x)
+    return partial.select(
+        "doc_id", "training", "n_tokens", "n_known", F.lit(train_n).cast("bigint").alias("train_tokens"),
+        (F.col("log_counts") - F.col("n_tokens") * float(np.log10(train_n + train_v + 1))).alias("base_score"),
+        (F.col("log_outcomes") + F.col("log_counts") - inside).alias("score"))

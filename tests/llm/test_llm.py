@@ -265,13 +265,83 @@ def test_lm(spark, docs, none, real):
     assert maxent_lm.score(none, training).count() == 0
 
 
-def test_lm_is_a_distribution():
+def test_lm_score_is_a_distribution(spark, monkeypatch):
+    """Scores equal a plain reading of the model's formula, whose probabilities sum to one over all tokens and one unseen token a slot."""
     draw = np.random.default_rng(2)
-    weights = draw.normal(size=(maxent_lm.FEATURES, maxent_lm.CLASSES)).astype(np.float32)
-    data, at = K.flat(pa.array(["a bb ccc", "", "a a a"]))
-    hashes, kind, bounds = maxent_lm.tokens(data, at)
-    p = np.exp(maxent_lm.class_log_probabilities(weights, maxent_lm.features(hashes, kind, bounds)))
-    assert bounds.tolist() == [0, 4, 5, 9] and np.allclose(p.sum(1), 1, atol=1e-4)
+    M = maxent_lm
+    weights = draw.normal(size=(2 * M.FEATURES, M.CLASSES)).astype(np.float32) / 2
+    start = M.starts(draw.integers(0, 50, M.CLASSES * M.SLOTS).astype(float))
+    monkeypatch.setattr(M, "train", lambda texts, rounds: (weights, start))
+    vocabulary = [f"{a}{b}" for a in ("be", "to", "qu", "é") for b in ("", "a", "nd", "xy1", "zz")]
+    pairs = [(k, " ".join(draw.choice(vocabulary[:8], draw.integers(0, 40)))) for k in range(40)] + [(k, " ".join(draw.choice(vocabulary, 25))) for k in range(40, 60)] + [(100, None), (101, "be bea bend be bea bend")]
+    df = spark.createDataFrame([*pairs, (5, pairs[5][1])], "doc_id long, text string").repartition(3)
+    trained = [i for i, _ in [*pairs, pairs[5]] if i % 5]
+    texts = dict(pairs)
+
+    def read(text):
+        hashes, kind, bounds = M.tokens(*K.flat(pa.array([text or ""])))
+        names = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW)) + [None]
+        return names, kind.tolist(), M.slots(hashes).tolist(), *M.features(hashes, kind, bounds)
+
+    outcome, count, after = {}, Counter(), {}
+    for i in trained:
+        names, kind, slot, _, _ = read(texts[i])
+        for k, w in enumerate(names):
+            outcome[w] = kind[k], slot[k]
+            count[w] += 1
+            context = tuple(names[max(0, k - 2) : k])
+            after.setdefault(context, Counter())[kind[k], slot[k]] += 1
+    mass = Counter()
+    for w, c in count.items():
+        mass[outcome[w]] += c + 1
+
+    def softmax(z):
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    def distribution(context, rows, more_of):
+        """P(class, slot) for one history."""
+        seen = after.get(context, Counter())
+        total = sum(seen.values())
+        out = {}
+        classes = softmax(weights[rows].sum(0) + start[0])
+        for c in range(M.CLASSES):
+            inside = softmax(weights[M.FEATURES + more_of(c)].sum(0) + start[1][c])
+            own = sum(n for (d, _), n in seen.items() if d == c)
+            for s in range(M.SLOTS):
+                p, q = classes[c], inside[s]
+                if total >= M.CUTOFF:
+                    p, q = (own + M.ALPHA * p) / (total + M.ALPHA), (seen[c, s] + M.ALPHA * q) / (own + M.ALPHA)
+                out[c, s] = p * q
+        return out
+
+    for group_bytes in (300, 1 << 20):
+        got = {r.doc_id: r.score for r in M.score(df, F.col("doc_id") % 5 != 0, group_bytes=group_bytes).collect()}
+        for i in (0, 1, 5, 41, 45, 100, 101):
+            names, kind, slot, rows, more = read(texts[i])
+            total = 0.0
+            for k, w in enumerate(names):
+                context = tuple(names[max(0, k - 2) : k])
+
+                def more_of(c):
+                    hashes, kinds, bounds = M.tokens(*K.flat(pa.array([texts[i] or ""])))
+                    one = np.array(kinds)
+                    one[k] = c
+                    return M.features(hashes, one, bounds)[1][:, k]
+
+                if i in (1, 45) and k < 4 or k == 0:
+                    p = distribution(context, rows[:, k], more_of)
+                    assert sum(p.values()) == pytest.approx(1, abs=1e-5)
+                    assert sum(p[o] * sum(count[t] + 1 for t in count if outcome[t] == o) / (mass[o] + 1) + p[o] / (mass[o] + 1) for o in p) == pytest.approx(1, abs=1e-5)
+                    own = p[kind[k], slot[k]]
+                else:
+                    seen = after.get(context, Counter())
+                    c, n = kind[k], sum(seen.values())
+                    a = softmax(weights[rows[:, k]].sum(0) + start[0])[c]
+                    b = softmax(weights[M.FEATURES + more[:, k]].sum(0) + start[1][c])[slot[k]]
+                    inside = sum(x for (d, _), x in seen.items() if d == c)
+                    own = a * b if n < M.CUTOFF else (inside + M.ALPHA * a) / (n + M.ALPHA) * (seen[c, slot[k]] + M.ALPHA * b) / (inside + M.ALPHA)
+                total += math.log10(own) + math.log10((count[w] + 1) / (mass[kind[k], slot[k]] + 1))
+            assert got[i] == pytest.approx(total, rel=1e-4), i
 
 
 # --- 5 and 8 --------------------------------------------------------------------------------
