@@ -76,9 +76,9 @@ def nested_key(zip_path: Column, entry: Column) -> Column:
 
 
 def node_key(folder_id: Column, rel_path: Column, zip_file: Column, zip_prefix: Column) -> Column:
-    """folder:<id>:<path> or zip:<id>:<path>:<archive>:<prefix>."""
+    """folder:<id>:<path>, zip:<id>:<path>:<archive>, or zip:<id>:<path>:<archive>:<prefix> for a directory inside an archive."""
     return F.when(zip_file.isNull(), F.concat_ws(":", F.lit("folder"), folder_id, rel_path)).otherwise(
-        F.concat_ws(":", F.lit("zip"), folder_id, rel_path, zip_file, F.coalesce(zip_prefix, F.lit(""))))
+        F.concat_ws(":", F.lit("zip"), folder_id, rel_path, zip_file, zip_prefix))
 
 
 def root_name(label: Column, path: Column) -> Column:

@@ -6,32 +6,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The duration filter's presets (label, least ms, greatest ms); they overlap at their ends.
-DURATION_PRESETS = [("<100ms", None, 100), ("<1s", None, 1000), ("1-10s", 1000, 10_000), ("10-60s", 10_000, 60_000), ("1-5min", 60_000, 300_000), (">1min", 60_000, None)]
+DURATION_PRESETS = [("< 100ms", None, 100), ("< 1s", None, 1000), ("1-10s", 1000, 10_000), ("10-60s", 10_000, 60_000), ("1-5 min", 60_000, 300_000), ("> 1 min", 60_000, None)]
 
 
 def parse_duration(text: Column) -> Column:
-    """Milliseconds of `1:30`, `2m30s`, `50ms`, `1.5s`, `2m` or bare seconds; null for anything else."""
+    """Milliseconds of `1:30`, `2m30s`, `2min 30sec`, or a number with ms, s, sec, m, min or none (seconds); null for anything else.
+
+    Numbers have digits before any point; halves of a millisecond go up.
+    """
     t = F.lower(F.trim(text))
-    number = r"(\d+(?:\.\d+)?|\.\d+)"
+    number, blank = r"(\d+(?:\.\d+)?)", r"\s*"
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(t, pattern, group).try_cast("double")
 
-    clock, both, ms, s, m, bare = rf"^(\d+):(\d+(?:\.\d+)?)$", rf"^(\d+)m\s*{number}s$", rf"^{number}\s*ms$", rf"^{number}\s*s$", rf"^{number}\s*m$", rf"^{number}$"
-    value = (
-        F.when(t.rlike(clock), part(clock, 1) * 60_000 + part(clock, 2) * 1000)
-        .when(t.rlike(both), part(both, 1) * 60_000 + part(both, 2) * 1000)
-        .when(t.rlike(ms), part(ms, 1)).when(t.rlike(s), part(s, 1) * 1000).when(t.rlike(m), part(m, 1) * 60_000).when(t.rlike(bare), part(bare, 1) * 1000)
-    )
+    clock, both, single = rf"^(\d+):{number}$", rf"^{number}{blank}m(?:in)?{blank}{number}{blank}s(?:ec)?$", rf"^{number}{blank}(ms|s|sec|m|min)?$"
+    unit = F.regexp_extract(t, single, 2)
+    factor = F.when(unit == "ms", 1.0).when(unit.isin("m", "min"), 60.0 * 1000).otherwise(1000.0)
+    minutes = lambda p: (part(p, 1) * 60 + part(p, 2)) * 1000
+    value = F.when(t.rlike(clock), minutes(clock)).when(t.rlike(both), minutes(both)).when(t.rlike(single), part(single, 1) * factor)
     return F.floor(value + 0.5).cast("bigint")
 
 
+def _tenths(ms: Column) -> Column:
+    """Tenths of a second nearest to the double ms / 1000; the larger one if both are equally near."""
+    seconds, fives = ms / 1000.0, ms / 50.0
+    # Where the milliseconds are a tie, the double's own rounding decides: its distance from the tie, twentyfold and exact.
+    beyond = (seconds * 16 - fives) + seconds * 4 >= 0
+    up = (ms % 100 > 50) | ((ms % 100 == 50) & beyond)
+    return F.floor(ms / 100) + up.cast("int")
+
+
 def format_duration_label(ms: Column) -> Column:
-    """`250ms` under a second, `12.5s` under a minute, else `2m30s` (no seconds part if it is 0)."""
-    seconds = F.floor((ms % 60_000) / 1000).cast("bigint")
+    """`250ms` under a second, `12s` or `12.5s` under a minute, else `2m` or `2m30s` with the seconds rounded (up to 60)."""
+    tenths, seconds = _tenths(ms), F.floor((ms % 60_000) / 1000.0 + 0.5).cast("bigint")
+    short = F.when(ms % 1000 == 0, F.floor(ms / 1000).cast("string")).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")))
     return (
-        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60_000, F.concat(F.regexp_replace(F.format_string("%.3f", ms / 1000.0), r"\.?0+$", ""), F.lit("s")))
+        F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60_000, F.concat(short, F.lit("s")))
         .otherwise(F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m"), F.when(seconds > 0, F.concat(seconds.cast("string"), F.lit("s"))).otherwise("")))
     )
 
@@ -119,18 +130,35 @@ def softmax(logits: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
 
 
-#: Keywords that put a sound into a category, tried in this order.
-SOUND_KEYWORDS = {"footstep": ["footstep", "step", "walk"], "impact": ["hit", "impact", "punch", "metal"], "ui": ["ui", "click", "button"], "ambience": ["amb", "forest", "wind", "rain"], "music": ["music", "loop", "theme"]}
+#: What a tag has to hold to put a sound into a category, tried in this order; any other sound is an Effect.
+SOUND_KEYWORDS = {"Voice": ["speech", "voice"], "Music": ["music", "instrument"], "Impact": ["explosion", "impact", "bang"], "Ambient": ["ambient", "nature", "wind"]}
+
+
+def sound_category(tags: Column) -> Column:
+    """The category of the first tag that has one, in the order of the tags."""
+
+    def of(tag: Column) -> Column:
+        low, out = F.lower(tag), F.lit(None).cast("string")
+        for category, keys in reversed(SOUND_KEYWORDS.items()):
+            test = F.lit(False)
+            for key in keys:
+                test = test | F.contains(low, F.lit(key))
+            out = F.when(test, category).otherwise(out)
+        return out
+
+    return F.coalesce(F.get(F.array_compact(F.transform(tags, of)), F.lit(0)), F.lit("Effect"))
+
+
+def audio_tags(labels: Column, logits: Column, least: float = 0.3, most: int = 10) -> Column:
+    """Tags (label, confidence) of the `most` highest sigmoids that are over `least`, the highest first."""
+    scored = F.zip_with(logits, labels, lambda x, n: F.struct(sigmoid(x).alias("confidence"), n.alias("label")))
+    best = F.filter(F.slice(F.sort_array(scored, asc=False), 1, most), lambda s: s["confidence"] > least)
+    return F.transform(best, lambda s: F.struct(s["label"].alias("label"), s["confidence"].alias("confidence")))
 
 
-def sound_category(name: Column) -> Column:
-    low, out = F.lower(name), F.lit("other")
-    for category, keys in reversed(SOUND_KEYWORDS.items()):
-        test = F.lit(False)
-        for key in keys:
-            test = test | F.contains(low, F.lit(key))
-        out = F.when(test, category).otherwise(out)
-    return out
+def timestamp_now(precision: str = "s") -> Column:
+    """Seconds or milliseconds since the epoch, the same for all rows of a query."""
+    return F.unix_millis(F.current_timestamp()) if precision == "ms" else F.unix_seconds(F.current_timestamp())
 
 
 def hamming_similarity(a: Column, b: Column) -> Column:

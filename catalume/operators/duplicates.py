@@ -12,17 +12,25 @@ from catalume.functions.vectors import cosine
 def hamming_pairs(hashes: DataFrame, below: int = 10, bits: int = 64) -> DataFrame:
     """(a, b, similarity) of ids a < b whose 64-bit hashes differ in fewer than `below` bits.
 
-    Pigeonhole: with `below` bands, fewer than `below` differing bits leave one band equal,
-    so an equi-join on band values finds every pair; a pair is kept in its first equal band.
+    Pigeonhole: fewer than 2 * bands differing bits leave a band with at most one of them,
+    so one side shows each band's value and the other side that value and those one bit
+    away: an equi-join finds every pair, and a pair is kept in its first such band. Ten
+    bits take five bands of 12 or 13 bits.
     """
-    cuts = [round(k * bits / below) for k in range(below + 1)]
-    bands = [F.shiftrightunsigned(F.col("hash"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:])]
-    banded = hashes.select("id", "hash", F.array(*bands).alias("bands")).select("id", "hash", "bands", F.posexplode("bands").alias("band", "value"))
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
-    first = F.array_position(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), True) - 1 == F.col("a.band")
-    close = F.bit_count(F.col("a.hash").bitwiseXOR(F.col("b.hash"))) < below
-    return pairs.where(first & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming_similarity(F.col("a.hash"), F.col("b.hash")).alias("similarity"))
+    count = -(-below // 2)
+    cuts = [round(k * bits / count) for k in range(count + 1)]
+    value = lambda c, lo, hi: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    bands = F.array(*[value(F.col("hash"), lo, hi) for lo, hi in zip(cuts, cuts[1:])])
+    masks = F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(1 << k).cast("bigint") for k in range(hi - lo)]) for lo, hi in zip(cuts, cuts[1:])])
+    a = hashes.select(F.col("id").alias("a"), F.col("hash").alias("__x"), F.posexplode(bands).alias("__band", "__value"))
+    probes = F.transform(F.get(masks, F.col("__band")), lambda m: m.bitwiseXOR(F.col("__value")))
+    b = a.select(F.col("a").alias("b"), F.col("__x").alias("__y"), "__band", F.explode(probes).alias("__value"))
+    differ = F.col("__x").bitwiseXOR(F.col("__y"))
+    first = F.lit(None).cast("int")
+    for k in reversed(range(count)):
+        first = F.when(F.bit_count(value(differ, cuts[k], cuts[k + 1])) <= 1, k).otherwise(first)
+    pairs = a.join(b, ["__band", "__value"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) < below) & (first == F.col("__band")))
+    return pairs.select("a", "b", hamming_similarity(F.col("__x"), F.col("__y")).alias("similarity"))
 
 
 def average_hash(values: F.Column) -> F.Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalume.functions.text import fold_literal, has_word, literal_tokens, trigrams, word_tokens
@@ -40,13 +40,83 @@ def bm25(texts: DataFrame, query: str, column: str = "text", id_column: str = "i
         return F.size(F.filter("tokens", lambda t: t == word))
 
     counted = tokens.select("id", F.size("tokens").alias("length"), *[times(w).alias(f"tf{k}") for k, w in enumerate(terms)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    return _scored(counted, len(terms), k1, b)
+
+
+def bm25_columns(texts: DataFrame, query: str, weights: dict[str, float], id_column: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) over several columns: a word's count in a column weighs as much as the column, and a text's length is that of all columns.
+
+    The last word is a prefix, as in the search. Texts without any of the words are left out.
+    """
+    terms = list(dict.fromkeys(literal_tokens(query)))
+    each = [word_tokens(F.col(c)).alias(f"__t{k}") for k, c in enumerate(weights)]
+    tokens = texts.select(F.col(id_column).alias("id"), *each)
+
+    def times(n: int, word: str) -> Column:
+        same = (lambda t: t.startswith(word)) if n == len(terms) - 1 else (lambda t: t == word)
+        return sum((F.size(F.filter(f"__t{k}", same)) * float(w) for k, w in enumerate(weights.values())), F.lit(0.0))
+
+    length = sum((F.size(f"__t{k}") for k in range(len(weights))), F.lit(0))
+    counted = tokens.select("id", length.alias("length"), *[times(n, w).alias(f"tf{n}") for n, w in enumerate(terms)])
+    return _scored(counted, len(terms), k1, b)
+
+
+def _scored(counted: DataFrame, terms: int, k1: float, b: float) -> DataFrame:
+    """(id, score) from id, length and tf0, tf1, ...: one row of statistics meets every row that holds a word."""
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(terms)])
     score: Column = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(terms):
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         score = score + F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean"))))
-    some = counted.where(" or ".join(f"tf{k} > 0" for k in range(len(terms))) or "false")
-    return some.join(F.broadcast(stats)).select("id", score.alias("score"))
+    some = counted.where(" or ".join(f"tf{k} > 0" for k in range(terms)) or "false")
+    return some.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
+
+
+def write_index(texts: DataFrame, path: str, column: str = "text", id_column: str = "id", buckets: int = 256) -> None:
+    """The stored full-text index of a column: postings (token, id, length, places) dealt into folders by a hash of the token, and one row of statistics.
+
+    A search reads only the folders of its words. It is made once for many searches; a new
+    path for a new version.
+    """
+    tokens = texts.select(F.col(id_column).alias("id"), word_tokens(F.col(column)).alias("t"))
+    counted = tokens.select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
+    postings = counted.groupBy("token", "id", "length").agg(F.array_sort(F.collect_list("pos")).alias("places")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    # A common token's postings lie in several files of its folder, so none grows with the corpus.
+    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
+
+
+def _postings(spark: SparkSession, path: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The terms' postings, from their folders alone, and the statistics."""
+    stats = spark.read.parquet(f"{path}/stats")
+    buckets = stats.first()["buckets"]
+    asked = spark.createDataFrame([(t,) for t in terms], "token string").select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()
+    postings = spark.read.schema("token string, id bigint, length int, places array<int>, bucket int").parquet(f"{path}/postings")
+    return postings.where(F.col("bucket").isin([r.b for r in asked]) & F.col("token").isin(terms)), stats
+
+
+def bm25_from_index(spark: SparkSession, path: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) as `bm25`, from a stored index."""
+    terms = list(dict.fromkeys(literal_tokens(query)))
+    if not terms:
+        return spark.createDataFrame([], "id bigint, score double")
+    postings, stats = _postings(spark, path, terms)
+    df = postings.groupBy("token").agg(F.count("*").alias("df"))
+    tf, idf = F.size("places"), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = postings.join(F.broadcast(df.crossJoin(stats.select("n", "mean"))), "token")
+    return own.select("id", (idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean"))))).alias("s")).groupBy("id").agg(F.sum("s").alias("score"))
+
+
+def phrase_from_index(spark: SparkSession, path: str, words: str) -> DataFrame:
+    """(id) of the texts in which the words stand consecutively, from a stored index: places are shifted by the word's place in the phrase and met."""
+    terms = literal_tokens(words)
+    if not terms:
+        return spark.createDataFrame([], "id bigint")
+    postings, _ = _postings(spark, path, list(dict.fromkeys(terms)))
+    shift = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, ",".join(str(k) for k, w in enumerate(terms) if w == t))])
+    starts = postings.select("id", F.explode(F.split(shift[F.col("token")], ",")).alias("k"), "places").select("id", "k", F.explode("places").alias("p"))
+    return starts.groupBy("id", (F.col("p") - F.col("k").cast("int")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == len(terms)).select("id").distinct()
 
 
 def phrase(tokens: Column, words: list[str]) -> Column:

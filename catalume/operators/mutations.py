@@ -67,11 +67,16 @@ def resolve_errors(errors: DataFrame, successes: DataFrame, now: int | Column) -
     return errors.join(done, "asset_id", "left").withColumn("resolved_at", F.when(hit, stamp).otherwise(F.col("resolved_at"))).select(*errors.columns)
 
 
-def append_errors(errors: DataFrame, failures: DataFrame, now: int) -> DataFrame:
-    """Failures (asset_id, category, error_message) as new rows after the highest id, not yet retried."""
-    top = high_water_mark(errors)
-    order = Window.partitionBy("asset_id").orderBy("category", "error_message")
-    numbered = failures.crossJoin(F.broadcast(top)).withColumn("id", F.col("max_id") + 1 + F.pmod(F.xxhash64("asset_id", "category", "error_message", F.row_number().over(order)), F.lit(2**40)))
+def append_errors(errors: DataFrame, failures: DataFrame, now: int, buckets: int = 64) -> DataFrame:
+    """Failures (asset_id, category, error_message) as new rows, not yet retried, with the next ids after the highest one.
+
+    Rows are ranked inside buckets of their asset, after the counts of the buckets before.
+    """
+    own = failures.withColumn("__b", F.pmod(F.xxhash64("asset_id", "category", "error_message"), F.lit(buckets)))
+    sizes = own.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy("asset_id", "category", "error_message"))
+    numbered = own.withColumn("__rank", rank).join(F.broadcast(before), "__b").crossJoin(F.broadcast(high_water_mark(errors))).withColumn("id", F.col("max_id") + F.col("__before") + F.col("__rank"))
     fresh = numbered.select("id", "asset_id", "category", "error_message", F.lit(now).cast("bigint").alias("occurred_at"), F.lit(0).alias("retry_count"), F.lit(None).cast("bigint").alias("resolved_at"))
     return errors.unionByName(fresh.select(*errors.columns))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalume.functions import paths
 from catalume.functions.text import all_of, match_text
+from catalume.operators import fulltext
 from catalume.schema import FolderLocation, SearchParams
 
 
@@ -60,13 +61,13 @@ def matching(assets: DataFrame, audio_metadata: DataFrame | None, params: Search
     return out.join(kept.select(F.col("asset_id").alias("id")), "id", "left_semi")
 
 
-def projected(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame) -> DataFrame:
-    """The canonical columns: asset, folder path, image size, audio properties."""
+def projected(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """The canonical columns: asset, folder path, image size, audio properties; then the assets' columns in `more`."""
     return (
         assets.join(folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")), "folder_id")
         .join(images.select(F.col("asset_id").alias("id"), "width", "height"), "id", "left")
         .join(audio.select(F.col("asset_id").alias("id"), "duration_ms", "sample_rate", "channels"), "id", "left")
-        .select("id", "filename", "folder_id", "rel_path", "zip_file", "zip_entry", "asset_type", "format", "file_size", "folder_path", "width", "height", "duration_ms", "sample_rate", "channels")
+        .select("id", "filename", "folder_id", "rel_path", "zip_file", "zip_entry", "asset_type", "format", "file_size", "folder_path", "width", "height", "duration_ms", "sample_rate", "channels", *more)
     )
 
 
@@ -76,20 +77,40 @@ SORTS = {
     "size": lambda: [F.col("file_size").desc_nulls_last(), F.col("id")],
     "modified": lambda: [F.col("fs_modified_at").desc_nulls_last(), F.col("id")],
     "created": lambda: [F.col("id").desc()],
+    "duration": lambda: [F.col("duration_ms").asc_nulls_last(), F.col("id")],
     "relevance": lambda: [F.col("score").desc_nulls_last(), F.col("id")],
 }
 
 
 def page(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame, params: SearchParams) -> DataFrame:
-    """One page of matches: filter, sort and cut first, then the metadata of the page's rows alone."""
+    """One page of matches in order: filter, sort and cut first, then the metadata of the page's rows alone.
+
+    The order by relevance is that of BM25 over filename and searchable path, the filename
+    twice as heavy; without words all scores are 0.
+    """
     if params.is_empty and params.extra.get("empty_is_none"):
         return projected(assets.limit(0), folders, images, audio)
     hits = matching(assets, audio, params).join(folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi")
     if params.sort == "duration":
-        hits = hits.join(audio.select(F.col("asset_id").alias("id"), "duration_ms"), "id", "left").orderBy(F.col("duration_ms").desc_nulls_last(), "id").drop("duration_ms")
-    else:
-        hits = hits.orderBy(*SORTS[params.sort]())
-    return projected((hits.offset(params.offset) if params.offset else hits).limit(params.limit), folders, images, audio)
+        hits = hits.join(audio.select(F.col("asset_id").alias("id"), "duration_ms"), "id", "left")
+    if params.sort == "relevance":
+        hits = with_score(hits, assets, params.text)
+    order = SORTS[params.sort]()
+    hits = hits.orderBy(*order)
+    hits = (hits.offset(params.offset) if params.offset else hits).limit(params.limit).drop("duration_ms")
+    # The joins may deal the rows anew, so the page, at most `limit` rows, is put in order at the end.
+    rank = tuple(c for c in ("fs_modified_at", "score") if c in hits.columns)
+    return projected(hits, folders, images, audio, rank).orderBy(*order).drop(*rank)
+
+
+#: Weights of the columns in the order by relevance.
+RELEVANCE = {"filename": 2.0, "searchable_path": 1.0}
+
+
+def with_score(hits: DataFrame, assets: DataFrame, text: str) -> DataFrame:
+    """hits with score, 0 for rows that match by substrings alone."""
+    scored = fulltext.bm25_columns(assets, text, RELEVANCE)
+    return hits.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def count(assets: DataFrame, audio: DataFrame, params: SearchParams) -> DataFrame:
@@ -116,19 +137,25 @@ def by_ids(assets: DataFrame, ids: DataFrame) -> DataFrame:
     return assets.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def facets(assets: DataFrame, types: list[str] | None = None, categories: list[str] | None = None, min_width: int | None = None, min_height: int | None = None, tag: str | None = None) -> DataFrame:
-    """Facet filters over columns asset_type, category, width, height and tags (a JSON array); absent facets add nothing."""
-    tests = []
-    if types:
-        tests.append(F.col("asset_type").isin(types))
-    if categories:
-        tests.append(F.col("category").isin(categories))
-    if min_width is not None:
-        tests.append(F.col("width") >= min_width)
-    if min_height is not None:
-        tests.append(F.col("height") >= min_height)
-    if tag is not None:
-        tests.append(F.array_contains(F.from_json("tags", "array<string>"), tag))
+def facets(
+    assets: DataFrame, types: list[str] | None = None, styles: list[str] | None = None, categories: list[str] | None = None, duration_category: str | None = None,
+    min_width: int | None = None, min_height: int | None = None, tags: list[str] | None = None, is_spritesheet: bool | None = None,
+) -> DataFrame:
+    """Facet filters over the columns of their names; absent facets add nothing.
+
+    Columns: asset_type, style_primary, sound_category, duration_category, width, height,
+    auto_tags and manual_tags (JSON arrays) and is_spritesheet. Every tag has to stand, in
+    any case, somewhere in one of the two texts.
+    """
+    tests = [F.col(c).isin(values) for c, values in (("asset_type", types), ("style_primary", styles), ("sound_category", categories)) if values]
+    if duration_category is not None:
+        tests.append(F.col("duration_category") == duration_category)
+    tests += [F.col(c) >= least for c, least in (("width", min_width), ("height", min_height)) if least is not None]
+    for tag in tags or ():
+        held = lambda c, tag=tag: F.coalesce(F.contains(F.lower(c), F.lit(tag.lower())), F.lit(False))
+        tests.append(held("auto_tags") | held("manual_tags"))
+    if is_spritesheet is not None:
+        tests.append(F.col("is_spritesheet") == is_spritesheet)
     return assets.where(all_of(tests))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Window
 
 from catalume.functions import paths
 
+#: Buckets in which nodes are numbered.
+BUCKETS = 4096
+
 
 def nodes(assets: DataFrame) -> DataFrame:
     """(folder_id, dir_type, rel_path, zip_file, zip_prefix, name, parent_path, direct, cumulative, compat_cumulative).
@@ -60,10 +63,15 @@ def with_child_counts(tree: DataFrame) -> DataFrame:
 
 
 def with_ids(tree: DataFrame) -> DataFrame:
-    """Nodes with id and parent_id: numbered inside each folder, after the folder's number in the high digits; parent_id is null at the root."""
-    own = keyed(tree)
-    order = Window.partitionBy("folder_id").orderBy("dir_type", "rel_path", "zip_file", "zip_prefix")
-    own = own.withColumn("id", F.col("folder_id") * 1_000_000_000 + F.row_number().over(order))
+    """Nodes with id (1, 2, ... without gaps) and parent_id, which is null at the root.
+
+    Nodes are ranked inside hash buckets of their keys, after the counts of the buckets
+    before, so neither a large folder nor the whole tree is one task.
+    """
+    own = keyed(tree).withColumn("__b", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    before = own.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    rank = F.row_number().over(Window.partitionBy("__b").orderBy("key"))
+    own = own.withColumn("__rank", rank).join(F.broadcast(before), "__b").withColumn("id", F.col("__before") + F.col("__rank")).drop("__b", "__rank", "__before")
     return own.join(own.select(F.col("key").alias("parent_key"), F.col("id").alias("parent_id")), "parent_key", "left")
 
 

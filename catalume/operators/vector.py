@@ -40,23 +40,63 @@ def post_filter(ranked: DataFrame, text: str) -> DataFrame:
     return ranked.where(F.contains(F.lower("filename"), F.lit(text.lower())))
 
 
-def similarity_matrix(items: DataFrame, queries: DataFrame, metric=cosine) -> DataFrame:
-    """(asset_id, query_id, similarity) of every item and every query: a small stated query set against all rows."""
-    asked = queries.select("query_id", F.col("embedding").alias("__query"))
-    return items.crossJoin(asked).select("asset_id", "query_id", metric(F.col("embedding"), F.col("__query")).alias("similarity"))
+def similarity_matrix(items: DataFrame, queries: DataFrame, metric=cosine, most: int = 10_000) -> DataFrame:
+    """(asset_id, query_id, similarity) of every item and every query. The queries are one broadcast array, of at most `most`, which is checked."""
+    asked = _one_array(queries.select(F.col("query_id").alias("name"), "embedding"), most)
+    each = items.crossJoin(F.broadcast(asked)).select("asset_id", "embedding", F.explode("__all").alias("__q"))
+    return each.select("asset_id", F.col("__q.name").alias("query_id"), metric(F.col("embedding"), F.col("__q.embedding")).alias("similarity"))
 
 
-def hybrid(text_scores: DataFrame, vector_scores: DataFrame, k: int, text_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
-    """(id, score): the best 3k of both rankings, joined, weighted and cut to k; a side that lacks an id counts 0."""
-    a = text_scores.orderBy(F.desc("score"), "id").limit(3 * k).select("id", F.col("score").alias("t"))
-    b = vector_scores.orderBy(F.desc("similarity"), "asset_id").limit(3 * k).select(F.col("asset_id").alias("id"), F.col("similarity").alias("v"))
-    zero = F.lit(0.0)
-    return a.join(b, "id", "full_outer").select("id", (text_weight * F.coalesce("t", zero) + vector_weight * F.coalesce("v", zero)).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+def _one_array(rows: DataFrame, most: int) -> DataFrame:
+    """One row that holds all (name, embedding) rows as an array; more than `most` are an error."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} vectors to hold against all rows")
+    return rows.agg(F.sort_array(F.collect_list(F.struct("name", "embedding"))).alias("__all"))
+
+
+def hybrid(text_scores: DataFrame, embeddings: DataFrame, k: int, reference_id: int | None = None, text_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
+    """(id, score): the best 3k text hits, reranked by their similarity to the reference item and cut to k.
+
+    Only text hits are results. Without a reference the text score decides; a hit without a
+    vector has similarity 0. Ties go to the smaller id.
+    """
+    hits = text_scores.orderBy(F.desc("score"), "id").limit(3 * k).select("id", "score")
+    if reference_id is not None:
+        probe = embeddings.where(F.col("asset_id") == reference_id).select(F.col("embedding").alias("__query")).limit(1)
+        own = embeddings.join(F.broadcast(hits.select(F.col("id").alias("asset_id"))), "asset_id", "left_semi").crossJoin(F.broadcast(probe))
+        similar = own.select(F.col("asset_id").alias("id"), cosine(F.col("embedding"), F.col("__query")).alias("__v"))
+        hits = hits.join(similar, "id", "left").select("id", (text_weight * F.col("score") + vector_weight * F.coalesce("__v", F.lit(0.0))).alias("score"))
+    return hits.orderBy(F.desc("score"), "id").limit(k)
+
+
+#: The least share of a label, by its group.
+TAG_THRESHOLDS = {"style": 0.15, "content": 0.20, "quality": 0.18}
+
+
+def label_shares(items: DataFrame, labels: DataFrame, most: int = 10_000) -> DataFrame:
+    """(asset_id, shares): an array (p, label) of a softmax over the cosines with all labels, which are one broadcast array; nothing is shuffled."""
+    held = _one_array(labels.select(F.col("label").alias("name"), "embedding"), most)
+    raised = F.transform("__all", lambda s: F.struct(F.exp(F.coalesce(cosine(F.col("embedding"), s["embedding"]), F.lit(0.0))).alias("e"), s["name"].alias("label")))
+    scored = items.crossJoin(F.broadcast(held)).select("asset_id", raised.alias("__e")).withColumn("__total", F.aggregate("__e", F.lit(0.0), lambda a, s: a + s["e"]))
+    return scored.select("asset_id", F.transform("__e", lambda s: F.struct((s["e"] / F.col("__total")).alias("p"), s["label"].alias("label"))).alias("shares"))
 
 
 def zero_shot_tags(items: DataFrame, labels: DataFrame, threshold: float = 0.15, most: int = 10) -> DataFrame:
-    """(asset_id, tags): for each item its best labels (label, p) by a softmax over cosines, over the threshold; labels are few."""
-    scored = items.crossJoin(labels.select("label", F.col("embedding").alias("__label"))).select("asset_id", "label", F.exp(cosine(F.col("embedding"), F.col("__label"))).alias("e"))
-    grouped = scored.groupBy("asset_id").agg(F.sum("e").alias("total"), F.collect_list(F.struct(F.col("e").alias("e"), F.col("label").alias("label"))).alias("all"))
-    shares = F.transform("all", lambda s: F.struct((s["e"] / F.col("total")).alias("p"), s["label"].alias("label")))
-    return grouped.select("asset_id", F.slice(F.sort_array(F.filter(shares, lambda s: s["p"] > threshold), asc=False), 1, most).alias("tags"))
+    """(asset_id, tags): for each item its best labels (p, label) over the threshold, the best first."""
+    return label_shares(items, labels).select("asset_id", F.slice(F.sort_array(F.filter("shares", lambda s: s["p"] > threshold), asc=False), 1, most).alias("tags"))
+
+
+def image_tags(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """(asset_id, style, style_confidence, tags): the best style, and all content and quality labels, each over its group's threshold.
+
+    labels has group (style, content or quality), label and embedding; each group has a
+    softmax of its own. style is null, its confidence 0, if none is over the threshold.
+    """
+    out = items.select("asset_id")
+    for group, least in TAG_THRESHOLDS.items():
+        over = F.filter("shares", lambda s: s["p"] > least)  # noqa: B023
+        out = out.join(label_shares(items, labels.where(F.col("group") == group)).select("asset_id", F.sort_array(over, asc=False).alias(group)), "asset_id", "left")
+    names = lambda c: F.coalesce(F.transform(c, lambda s: s["label"]), F.array().cast("array<string>"))
+    best = F.get("style", F.lit(0))
+    return out.select("asset_id", best["label"].alias("style"), F.coalesce(best["p"], F.lit(0.0)).alias("style_confidence"), F.concat(names("content"), names("quality")).alias("tags"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from catalume.functions import paths
 
+#: Ids of one slice when rows are numbered inside a group.
+SLICE_IDS = 1 << 16
 NESTED_BATCH, ARCHIVE_BATCH, EMBED_BATCH, STAGED_FROM = 8, 16, 32, 3
 ALPHA = 0.1
 
@@ -34,6 +36,22 @@ def pending_counts(assets: DataFrame, images: DataFrame, audio: DataFrame, embed
     return each[0].union(each[1]).union(each[2]).groupBy("category").agg(F.count("*").alias("n"))
 
 
+def numbered(rows: DataFrame, key: str, name: str, order: str = "id") -> DataFrame:
+    """rows with `name` (their number inside their key, from 0, by the integer `order`) and group_size.
+
+    A key's rows are numbered by slices of SLICE_IDS values of `order`, after the counts of
+    the slices before, so a key that holds a third of all rows is not one task.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col(order) / SLICE_IDS))
+    sizes = sliced.groupBy(key, "__slice").agg(F.count("*").alias("__n"))
+    own = Window.partitionBy(key)
+    before = own.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(key).alias("__key"), F.col("__slice").alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(own).alias("group_size"))
+    place = F.row_number().over(Window.partitionBy(key, "__slice").orderBy(order)) - 1
+    out = sliced.withColumn("__place", place).join(sizes, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__own")))
+    return out.withColumn(name, F.col("__before") + F.col("__place")).drop("__slice", "__own", "__key", "__place", "__before")
+
+
 def batch_plan(work: DataFrame) -> DataFrame:
     """work with kind (file, archive, nested), group_key, group_size, batch and staged.
 
@@ -45,17 +63,15 @@ def batch_plan(work: DataFrame) -> DataFrame:
     kind = F.when(nested.isNotNull(), "nested").when(F.col("zip_file").isNotNull(), "archive").otherwise("file")
     key = F.coalesce(nested, F.when(F.col("zip_file").isNotNull(), place), F.concat(F.lit("file:"), F.col("id").cast("string")))
     size = F.when(F.col("kind") == "nested", NESTED_BATCH).when(F.col("kind") == "archive", ARCHIVE_BATCH).otherwise(1)
-    keyed = work.withColumn("kind", kind).withColumn("group_key", key)
-    own = Window.partitionBy("group_key")
-    out = keyed.withColumn("group_size", F.count("*").over(own)).withColumn("batch", F.floor((F.row_number().over(own.orderBy("id")) - 1) / size).cast("bigint"))
+    out = numbered(work.withColumn("kind", kind).withColumn("group_key", key), "group_key", "__at").withColumn("batch", F.floor(F.col("__at") / size).cast("bigint")).drop("__at")
     return out.withColumn("staged", F.ceil(F.col("group_size") / size) >= STAGED_FROM)
 
 
 def embed_batches(work: DataFrame) -> DataFrame:
-    """work with group_key (the archive, or the folder's files together) and batch: 32 rows, never over a key."""
+    """work with group_key (the archive; null for all plain files together, whatever their folder) and batch: 32 rows, never over a key."""
     place = F.concat_ws("/", F.col("folder_id").cast("string"), F.nullif(F.col("rel_path"), F.lit("")), F.col("zip_file"))
-    keyed = work.withColumn("group_key", F.when(F.col("zip_file").isNotNull(), F.coalesce(paths.nested_key(place, F.col("zip_entry")), place)).otherwise(F.concat(F.lit("files:"), F.col("folder_id").cast("string"), F.lit("/"), F.col("rel_path"))))
-    return keyed.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("group_key").orderBy("id")) - 1) / EMBED_BATCH).cast("bigint"))
+    keyed = work.withColumn("group_key", F.when(F.col("zip_file").isNotNull(), F.coalesce(paths.nested_key(place, F.col("zip_entry")), place)))
+    return numbered(keyed, "group_key", "__at").withColumn("batch", F.floor(F.col("__at") / EMBED_BATCH).cast("bigint")).drop("__at", "group_size")
 
 
 def group_order(plan: DataFrame) -> DataFrame:
@@ -77,15 +93,18 @@ def tick_delta(ticks: DataFrame, key: str, order: list[str], value: str) -> Data
 
 
 def ewma(ticks: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
-    """(key, n, rate): an exponential moving average in tick order, seeded by the first value.
+    """(key, n, rate): an exponential moving average in tick order, seeded by the first value that is not 0.
 
-    The fold is order-dependent. It is evaluated in closed form as a weighted sum by rank
-    from the end, so a key's ticks are aggregated and never gathered into one array.
+    The rate stays 0 until a value is not 0, and that value becomes the rate. The fold is
+    order-dependent. It is evaluated in closed form as a weighted sum by rank from the end,
+    so a key's ticks are aggregated and never gathered into one array.
     """
     spec = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    ranked = ticks.select(key, F.col(value).alias("__v"), F.row_number().over(spec).alias("__r"), F.count("*").over(Window.partitionBy(key)).alias("__n"))
-    weight = F.when(F.col("__r") == F.col("__n"), F.pow(F.lit(1 - alpha), F.col("__r") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("__r") - 1))
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("__v") * weight).alias("rate"))
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    started = F.sum(F.when(F.col(value) != 0, 1).otherwise(0)).over(upto)
+    ranked = ticks.select(key, F.col(value).alias("__v"), F.row_number().over(spec).alias("__r"), started.alias("__s"))
+    fade = F.pow(F.lit(1 - alpha), F.col("__r") - 1)
+    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("__v") * F.when((F.col("__s") == 1) & (F.col("__v") != 0), fade).otherwise(alpha * fade)).alias("rate"))
 
 
 def eta_seconds(total: Column, processed: Column, rate: Column, running: Column) -> Column:
@@ -93,10 +112,10 @@ def eta_seconds(total: Column, processed: Column, rate: Column, running: Column)
     return F.when(running & (processed > 0) & (rate > 0), F.ceil((total - processed) / rate))
 
 
-def sliding_rate(events: DataFrame, key: str, seconds: Column, success: Column, width: int = 5) -> DataFrame:
-    """events with rate: the successes of the last `width` seconds, a second."""
-    spec = Window.partitionBy(key).orderBy("__s").rangeBetween(-width, 0)
-    return events.withColumn("__s", seconds.cast("bigint")).withColumn("rate", F.sum(success.cast("int")).over(spec) / float(width)).drop("__s")
+def sliding_rate(events: DataFrame, key: str, millis: Column, success: Column, width: int = 5) -> DataFrame:
+    """events with rate: the successes strictly later than `width` seconds ago, a second."""
+    spec = Window.partitionBy(key).orderBy("__ms").rangeBetween(-(width * 1000 - 1), 0)
+    return events.withColumn("__ms", millis.cast("bigint")).withColumn("rate", F.sum(success.cast("int")).over(spec) / float(width)).drop("__ms")
 
 
 def latest_requests(requests: DataFrame, most: int = 48) -> DataFrame:

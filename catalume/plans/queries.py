@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalume.adapters import read, sql, view
@@ -145,9 +146,37 @@ def _(spark, sf_dir):
     return _page(spark, sf_dir, SearchParams(location=FolderLocation(1, "", "pack0.zip", "inner.zip/")))
 
 
-@query("sort_by_size", _S + "p AS (SELECT * FROM s WHERE asset_type = 'image' ORDER BY file_size DESC NULLS LAST, id LIMIT 40) " + _PAGE)
+def _placed(df: DataFrame) -> DataFrame:
+    """df with place: the number of each row in the order in which the operator gives them. For results of a bounded size."""
+    return df.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__at"))).drop("__at")
+
+
+_SORTED = _S + "p AS (SELECT *, row_number() OVER (ORDER BY {o}) AS place FROM s {w} QUALIFY place <= 40) " + _PAGE.replace("a.channels", "a.channels, p.place")
+
+
+@query("sort_by_size", _SORTED.format(w="WHERE asset_type = 'image'", o="file_size DESC NULLS LAST, id"))
+def _(spark, sf_dir):
+    return _placed(_page(spark, sf_dir, SearchParams(asset_type="image", sort="size", limit=40)))
+
+
+@query("sort_by_duration", _SORTED.format(w="LEFT JOIN (SELECT asset_id, duration_ms FROM audio_metadata) m ON s.id = m.asset_id", o="duration_ms NULLS LAST, id"))
 def _(spark, sf_dir):
-    return _page(spark, sf_dir, SearchParams(asset_type="image", sort="size", limit=40))
+    return _placed(_page(spark, sf_dir, SearchParams(sort="duration", limit=40)))
+
+
+@query("sort_by_modified", _SORTED.format(w="", o="fs_modified_at DESC NULLS LAST, id"))
+def _(spark, sf_dir):
+    return _placed(_page(spark, sf_dir, SearchParams(sort="modified", limit=40)))
+
+
+@query("sort_by_relevance", _S + f"""t AS (SELECT *, {_FN} AS f, {_SP} AS g FROM s),
+c AS (SELECT *, len(f) + len(g) AS length, 2 * len(list_filter(f, lambda x: starts_with(x, 'hit'))) + len(list_filter(g, lambda x: starts_with(x, 'hit'))) AS tf1, 2 * len(list_filter(f, lambda x: x = 'metal')) + len(list_filter(g, lambda x: x = 'metal')) AS tf0 FROM t),
+z AS (SELECT count(*) AS n, avg(length) AS mean, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM c),
+p AS (SELECT c.*, row_number() OVER (ORDER BY round(ln(1 + (n - df0 + 0.5) / (df0 + 0.5)) * (tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * length / mean))) + ln(1 + (n - df1 + 0.5) / (df1 + 0.5)) * (tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * length / mean))), 9) DESC, id) AS place
+  FROM c, z WHERE (len(list_filter(f, lambda x: starts_with(x, 'hit'))) > 0 OR len(list_filter(g, lambda x: starts_with(x, 'hit'))) > 0) AND (list_contains(f, 'metal') OR list_contains(g, 'metal'))
+    OR (contains(lower(filename), 'hit') OR contains(lower(searchable_path), 'hit')) AND (contains(lower(filename), 'metal') OR contains(lower(searchable_path), 'metal')) QUALIFY place <= 40) """ + _PAGE.replace("a.channels", "a.channels, p.place"))
+def _(spark, sf_dir):
+    return _placed(_page(spark, sf_dir, SearchParams("metal hit", sort="relevance", limit=40)))
 
 
 @query("id_lookup", sql("assets") + "SELECT id, filename FROM assets WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -231,10 +260,10 @@ def _(spark, sf_dir):
     return search.type_counts(Tables(spark, sf_dir).assets)
 
 
-@query("folder_stats", sql("assets", "source_folders") + "SELECT f.id, f.path, count(a.id) AS asset_count FROM source_folders f LEFT JOIN assets a ON a.folder_id = f.id AND a.id % 3 = 0 GROUP BY f.id, f.path")
+@query("folder_stats", sql("assets", "source_folders") + "SELECT f.id, f.path, count(a.id) AS asset_count FROM source_folders f LEFT JOIN assets a ON a.folder_id = f.id GROUP BY f.id, f.path")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return mutations.folder_stats(t.source_folders, t.assets.where("id % 3 = 0")).select("id", "path", "asset_count")
+    return mutations.folder_stats(t.source_folders, t.assets).select("id", "path", "asset_count")
 
 
 @query("active_folders", sql("source_folders") + "SELECT id, path FROM source_folders WHERE status = 'active'")
@@ -341,10 +370,10 @@ def _(spark, sf_dir):
     return vector.post_filter(ranked, "HIT").select("asset_id", "filename")
 
 
-@query("similarity_matrix", f"SELECT e.vec_id AS asset_id, q.vec_id AS query_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id < 5")
+@query("similarity_matrix", f"SELECT e.vec_id AS asset_id, q.vec_id AS query_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0")
 def _(spark, sf_dir):
     rows = Tables(spark, sf_dir).embedded
-    asked = rows.where("asset_id < 5").select(F.col("asset_id").alias("query_id"), "embedding")
+    asked = rows.where("asset_id % 50 = 0").select(F.col("asset_id").alias("query_id"), "embedding")
     return vector.similarity_matrix(rows, asked).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -367,19 +396,18 @@ def _(spark, sf_dir):
     return rows.select("vec_id", F.octet_length("raw").cast("bigint").alias("bytes"), (vectors.decode_vector("raw") == F.col("embedding")).alias("same"))
 
 
-@query("same_type_pairs", f"SELECT p.vec_id AS probe_id, e.vec_id AS asset_id, round({_COS.format(a='e.embedding', b='p.embedding')}, 6) AS similarity FROM embeddings e JOIN embeddings p ON e.label = p.label AND e.vec_id <> p.vec_id WHERE p.vec_id < 20 AND {_COS.format(a='e.embedding', b='p.embedding')} >= 0.2")
+@query("same_type_pairs", f"SELECT p.vec_id AS probe_id, e.vec_id AS asset_id, round({_COS.format(a='e.embedding', b='p.embedding')}, 6) AS similarity FROM embeddings e JOIN embeddings p ON e.label = p.label AND e.vec_id <> p.vec_id WHERE p.vec_id % 50 = 0 AND {_COS.format(a='e.embedding', b='p.embedding')} >= 0.2")
 def _(spark, sf_dir):
     rows = Tables(spark, sf_dir).embedded
-    return duplicates.same_type_pairs(rows, rows.where("asset_id < 20"), 0.2).withColumn("similarity", F.round("similarity", 6))
+    return duplicates.same_type_pairs(rows, rows.where("asset_id % 50 = 0"), 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("hybrid_rerank", f"""WITH t AS (SELECT doc_id AS id, CAST(n_chars % 1000 AS DOUBLE) / 1000 AS t FROM documents ORDER BY t DESC, id LIMIT 60),
-v AS (SELECT e.vec_id AS id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS v FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q ORDER BY v DESC, e.vec_id LIMIT 60)
-SELECT id, round(score, 6) AS score FROM (SELECT coalesce(t.id, v.id) AS id, 0.4 * coalesce(t, 0) + 0.6 * coalesce(v, 0) AS score FROM t FULL JOIN v ON t.id = v.id) x ORDER BY x.score DESC, id LIMIT 20""")
+v AS (SELECT t.id, t, {_COS.format(a='e.embedding', b='q.embedding')} AS v FROM t LEFT JOIN embeddings e ON e.vec_id = t.id, (SELECT embedding FROM embeddings WHERE vec_id = 5) q)
+SELECT id, round(0.4 * t + 0.6 * coalesce(v, 0), 6) AS score FROM v ORDER BY 0.4 * t + 0.6 * coalesce(v, 0) DESC, id LIMIT 20""")
 def _(spark, sf_dir):
     text = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 1000).cast("double") / 1000).alias("score"))
-    ranked = vector.top_k_by_item(Tables(spark, sf_dir).embedded, 5, 60)
-    return vector.hybrid(text, ranked, 20).select("id", F.round("score", 6).alias("score"))
+    return vector.hybrid(text, Tables(spark, sf_dir).embedded, 20, 5).select("id", F.round("score", 6).alias("score"))
 
 
 @query("keyset_page", "SELECT id, score FROM (SELECT doc_id AS id, CAST(n_chars % 100 AS DOUBLE) AS score FROM documents) t WHERE score < 60 OR (score = 60 AND id > 100) ORDER BY score DESC, id LIMIT 30")
@@ -391,12 +419,13 @@ def _(spark, sf_dir):
 _HASHED = "(SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 AND i < 64 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE CAST(0 AS HUGEINT) END))::BIGINT AS hash FROM embeddings)"
 
 
-@query("hamming_duplicates", f"SELECT a.id AS a, b.id AS b, 1 - bit_count(xor(a.hash, b.hash)) / 64.0::DOUBLE AS similarity FROM {_HASHED} a JOIN {_HASHED} b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) < 12")
+@query("hamming_duplicates", f"WITH h AS (SELECT * FROM {_HASHED} o UNION ALL SELECT id + 1000000, xor(hash, (CAST(1 AS BIGINT) << CAST(id % 13 AS INT)) - 1) FROM {_HASHED} n WHERE id % 10 = 0) SELECT a.id AS a, b.id AS b, 1 - bit_count(xor(a.hash, b.hash)) / 64.0::DOUBLE AS similarity FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) < 10")
 def _(spark, sf_dir):
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     bits = F.transform("embedding", lambda x, i: F.when((x > 0) & (i < 63), F.call_function("shiftleft", one, i)).otherwise(none))
     hashes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.aggregate(bits, none, lambda s, x: s + x).alias("hash"))
-    return duplicates.hamming_pairs(hashes, 12)
+    near = hashes.where("id % 10 = 0").select(F.col("id") + 1_000_000, F.col("hash").bitwiseXOR(F.call_function("shiftleft", one, (F.col("id") % 13).cast("int")) - 1))
+    return duplicates.hamming_pairs(hashes.union(near))
 
 
 @query("zero_shot_tags", f"""WITH x AS (SELECT e.vec_id AS asset_id, q.vec_id AS label, exp({_COS.format(a='e.embedding', b='q.embedding')}) AS e FROM embeddings e, embeddings q WHERE q.vec_id < 6),
@@ -430,14 +459,21 @@ def _(spark, sf_dir):
     return tree.with_child_counts(tree.nodes(Tables(spark, sf_dir).assets)).select(*_NODE)
 
 
-@query("dir_children", _TREE + "SELECT dir_type, name, direct, cumulative, child_count FROM c WHERE folder_id = 2 AND dir_type <> 'zipdir' AND parent_path = ''")
+@query("dir_children", _TREE + "SELECT row_number() OVER (ORDER BY dir_type, lower(name), name) AS place, dir_type, name, direct, cumulative, child_count FROM c WHERE folder_id = 2 AND dir_type <> 'zipdir' AND parent_path = ''")
 def _(spark, sf_dir):
-    return tree.children(tree.nodes(Tables(spark, sf_dir).assets), 2).select("dir_type", "name", "direct", "cumulative", "child_count")
+    return _placed(tree.children(tree.nodes(Tables(spark, sf_dir).assets), 2)).select("place", "dir_type", "name", "direct", "cumulative", "child_count")
 
 
-@query("dir_parents", _TREE + "SELECT folder_id, dir_type, count(*) AS n, count(*) FILTER (dir_type <> 'zipdir' AND parent_path = '') AS at_root FROM c GROUP BY folder_id, dir_type")
+@query("dir_parents", _TREE + """, k AS (SELECT *, CASE dir_type WHEN 'dir' THEN concat('folder:', folder_id, ':', rel_path) WHEN 'zip' THEN concat('zip:', folder_id, ':', rel_path, ':', zip_file) ELSE concat('zip:', folder_id, ':', rel_path, ':', zip_file, ':', zip_prefix) END AS key,
+  CASE WHEN dir_type <> 'zipdir' AND parent_path = '' THEN NULL WHEN dir_type <> 'zipdir' THEN concat('folder:', folder_id, ':', parent_path) WHEN parent_path = '' THEN concat('zip:', folder_id, ':', rel_path, ':', zip_file) ELSE concat('zip:', folder_id, ':', rel_path, ':', zip_file, ':', parent_path) END AS parent FROM c)
+SELECT key, parent, true AS in_range FROM k""")
 def _(spark, sf_dir):
-    return tree.with_ids(tree.nodes(Tables(spark, sf_dir).assets)).groupBy("folder_id", "dir_type").agg(F.count("*").alias("n"), F.count_if(F.col("parent_id").isNull()).alias("at_root"))
+    """Each node with its parent's key, found through the ids."""
+    nodes = tree.with_ids(tree.nodes(Tables(spark, sf_dir).assets)).withColumn("name_key", paths.node_key(*[F.col(c).cast("string") for c in ("folder_id", "rel_path", "zip_file", "zip_prefix")]))
+    total = nodes.agg(F.count("*").alias("total"), F.countDistinct("id").alias("ids"))
+    parents = nodes.select(F.col("id").alias("parent_id"), F.col("name_key").alias("parent"))
+    joined = nodes.join(parents, "parent_id", "left").crossJoin(F.broadcast(total))
+    return joined.select(F.col("name_key").alias("key"), "parent", (F.col("id").between(1, F.col("total")) & (F.col("ids") == F.col("total"))).alias("in_range"))
 
 
 @query("dir_roots", _TREE + """SELECT f.id, CASE WHEN f.label <> '' THEN f.label ELSE string_split(f.path, '/')[-1] END AS name, (SELECT count(*) FROM assets a WHERE a.folder_id = f.id) AS asset_count,
@@ -504,7 +540,7 @@ def _(spark, sf_dir):
     return mutations.insert_or_ignore(t.assets, t.listing.union(t.listing)).select("id", "filename")
 
 
-_NEW_IMAGES = "SELECT doc_id AS asset_id, CAST(7 AS INT) AS width, CAST(9 AS INT) AS height, CASE WHEN doc_id % 3 = 0 THEN 'new' END AS thumbnail_data, 5000 + doc_id AS processed_at FROM documents WHERE doc_id % 10 = 0"
+_NEW_IMAGES = "SELECT doc_id AS asset_id, CAST(7 AS INT) AS width, CAST(9 AS INT) AS height, CASE WHEN doc_id % 3 = 0 THEN 'new' END AS thumbnail_data, 5000 + doc_id AS processed_at FROM documents"
 
 
 def _new_images(spark, sf_dir) -> DataFrame:
@@ -565,13 +601,13 @@ def _(spark, sf_dir):
     return work.batch_plan(Tables(spark, sf_dir).assets).select("id", "kind", "group_key", "group_size", "batch", "staged")
 
 
-@query("staged_groups", _PLAN + "SELECT kind, group_key, max(group_size) AS group_size, CAST(max(rn // size) + 1 AS BIGINT) AS batches, (max(group_size) + max(size) - 1) // max(size) >= 3 AS staged FROM p GROUP BY kind, group_key")
+@query("staged_groups", _PLAN + "SELECT row_number() OVER (ORDER BY CASE kind WHEN 'nested' THEN 0 WHEN 'archive' THEN 1 ELSE 2 END, CASE WHEN kind = 'nested' THEN -max(group_size) END, group_key) AS place, kind, group_key, max(group_size) AS group_size, CAST(max(rn // size) + 1 AS BIGINT) AS batches, (max(group_size) + max(size) - 1) // max(size) >= 3 AS staged FROM p GROUP BY kind, group_key")
 def _(spark, sf_dir):
-    return work.group_order(work.batch_plan(Tables(spark, sf_dir).assets))
+    return _placed(work.group_order(work.batch_plan(Tables(spark, sf_dir).assets)))
 
 
 @query("batch_plan_embed", sql("assets") + f""", k AS (SELECT *, {_PLACE} AS place, nullif(regexp_extract(zip_entry, '(?i)^(.*\\.zip)/', 1), '') AS inner_zip FROM assets WHERE asset_type = 'audio'),
-g AS (SELECT id, CASE WHEN zip_file IS NOT NULL AND inner_zip IS NOT NULL THEN concat(place, '::', inner_zip) WHEN zip_file IS NOT NULL THEN place ELSE concat('files:', CAST(folder_id AS VARCHAR), '/', rel_path) END AS group_key FROM k)
+g AS (SELECT id, CASE WHEN zip_file IS NOT NULL AND inner_zip IS NOT NULL THEN concat(place, '::', inner_zip) WHEN zip_file IS NOT NULL THEN place END AS group_key FROM k)
 SELECT id, group_key, CAST((row_number() OVER (PARTITION BY group_key ORDER BY id) - 1) // 32 AS BIGINT) AS batch FROM g""")
 def _(spark, sf_dir):
     return work.embed_batches(Tables(spark, sf_dir).assets.where("asset_type = 'audio'")).select("id", "group_key", "batch")
@@ -589,15 +625,17 @@ def _(spark, sf_dir):
     return work.tick_delta(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("delta", 6).alias("delta"))
 
 
-@query("sliding_rate", "SELECT event_id, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS DOUBLE) / 3600 AS rate FROM events")
+@query("sliding_rate", "SELECT event_id, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND CURRENT ROW) AS DOUBLE) / 3600 AS rate FROM events")
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "events").withColumn("s", F.floor(F.col("ts").cast("timestamp").cast("double")))
-    return work.sliding_rate(e, "user_id", F.col("s"), F.col("event_type") != "error", 3600).select("event_id", "rate")
+    e = read(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return work.sliding_rate(e, "user_id", F.col("ms"), F.col("event_type") != "error", 3600).select("event_id", "rate")
 
 
-@query("ewma_rate", "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, v: 0.9 * a + 0.1 * v), 6) AS rate FROM events GROUP BY user_id")
+@query("ewma_rate", """WITH t AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 OR value < 60 THEN 0.0::DOUBLE ELSE CAST(value AS DOUBLE) END AS v FROM events)
+SELECT user_id, count(*) AS n, round(list_reduce(list(v ORDER BY ts, event_id), lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.9 * a + 0.1 * x END), 6) AS rate FROM t GROUP BY user_id""")
 def _(spark, sf_dir):
-    return work.ewma(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("user_id", "n", F.round("rate", 6).alias("rate"))
+    ticks = read(spark, sf_dir, "events").withColumn("v", F.when((F.col("event_id") % 3 == 0) | (F.col("value") < 60), 0.0).otherwise(F.col("value").cast("double")))
+    return work.ewma(ticks, "user_id", ["ts", "event_id"], "v").select("user_id", "n", F.round("rate", 6).alias("rate"))
 
 
 @query("eta", "SELECT user_id, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 AND sum(value) > 0 THEN CAST(ceil((1000 - count(*) FILTER (event_type <> 'error')) / round(sum(value), 6)) AS BIGINT) END AS eta FROM events GROUP BY user_id")
@@ -626,12 +664,12 @@ def _(spark, sf_dir):
 # --- scalar functions --------------------------------------------------------------------
 
 
-@query("parse_duration", "SELECT ms, CASE ms % 5 WHEN 0 THEN CAST(ms % 1000 AS BIGINT) WHEN 1 THEN (ms % 60) * 1000 + 500 WHEN 2 THEN (ms % 90) * 60000 WHEN 3 THEN (ms % 50) * 60000 + (ms % 60) * 1000 ELSE NULL END AS parsed FROM (SELECT doc_id AS ms FROM documents) t")
+@query("parse_duration", "SELECT ms, CASE ms % 9 WHEN 0 THEN CAST(ms % 1000 AS BIGINT) WHEN 1 THEN (ms % 60) * 1000 + 500 WHEN 2 THEN (ms % 90) * 60000 WHEN 3 THEN (ms % 50) * 60000 + (ms % 60) * 1000 WHEN 4 THEN (ms % 50) * 60000 + 30000 + (ms % 60) * 1000 WHEN 5 THEN (ms % 60) * 1000 WHEN 6 THEN (ms % 7) * 60000 + 7500 ELSE NULL END AS parsed FROM (SELECT doc_id AS ms FROM documents) t")
 def _(spark, sf_dir):
     m = F.col("ms")
     s = lambda c: c.cast("string")
-    text = (F.when(m % 5 == 0, F.concat(s(m % 1000), F.lit("ms"))).when(m % 5 == 1, F.concat(s(m % 60), F.lit(".5s"))).when(m % 5 == 2, F.concat(s(m % 90), F.lit("m")))
-            .when(m % 5 == 3, F.concat(s(m % 50), F.lit("m"), s(m % 60), F.lit("s"))).otherwise(F.concat(F.lit("x"), s(m))))
+    kinds = [(s(m % 1000), "ms"), (s(m % 60), ".5s"), (s(m % 90), " min"), (s(m % 50), "m", s(m % 60), "s"), (s(m % 50), ".5 Min ", s(m % 60), "sec "), (s(m % 60), " sec"), (s(m % 7), ":7.5"), ("x", s(m)), (".", s(m), "s")]
+    text = F.element_at(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]) for parts in kinds]), (m % 9 + 1).cast("int"))
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ms")).select("ms", scalars.parse_duration(text).alias("parsed"))
 
 
@@ -640,8 +678,8 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", scalars.format_duration_clock(F.col("n_chars") * 7).alias("clock"))
 
 
-@query("format_duration_label", """SELECT doc_id, CASE WHEN ms < 1000 THEN concat(CAST(ms AS VARCHAR), 'ms') WHEN ms < 60000 THEN concat(regexp_replace(printf('%.3f', ms / 1000.0::DOUBLE), '\\.?0+$', ''), 's')
-ELSE concat(CAST(ms // 60000 AS VARCHAR), 'm', CASE WHEN ms % 60000 // 1000 > 0 THEN concat(CAST(ms % 60000 // 1000 AS VARCHAR), 's') ELSE '' END) END AS label FROM (SELECT doc_id, n_chars * 7 AS ms FROM documents) t""")
+@query("format_duration_label", """SELECT doc_id, CASE WHEN ms < 1000 THEN concat(CAST(ms AS VARCHAR), 'ms') WHEN ms < 60000 THEN concat(CASE WHEN ms % 1000 = 0 THEN CAST(ms // 1000 AS VARCHAR) WHEN ms % 1000 IN (250, 750) THEN printf('%.1f', ms / 1000.0::DOUBLE + 0.01) ELSE printf('%.1f', ms / 1000.0::DOUBLE) END, 's')
+ELSE concat(CAST(ms // 60000 AS VARCHAR), 'm', CASE WHEN (ms % 60000 + 500) // 1000 > 0 THEN concat(CAST((ms % 60000 + 500) // 1000 AS VARCHAR), 's') ELSE '' END) END AS label FROM (SELECT doc_id, n_chars * 7 AS ms FROM documents) t""")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", scalars.format_duration_label(F.col("n_chars") * 7).alias("label"))
 
@@ -664,13 +702,13 @@ def _(spark, sf_dir):
     return Tables(spark, sf_dir).assets.select("id", paths.first_archive_boundary(e).cast("bigint").alias("boundary"), paths.nested_key(F.col("zip_file"), e).alias("key"))
 
 
-@query("node_keys", sql("assets") + "SELECT id, CASE WHEN zip_file IS NULL THEN concat('folder:', folder_id, ':', rel_path) ELSE concat('zip:', folder_id, ':', rel_path, ':', zip_file, ':') END AS key FROM assets")
+@query("node_keys", _TREE + "SELECT CASE dir_type WHEN 'dir' THEN concat('folder:', folder_id, ':', rel_path) WHEN 'zip' THEN concat('zip:', folder_id, ':', rel_path, ':', zip_file) ELSE concat('zip:', folder_id, ':', rel_path, ':', zip_file, ':', zip_prefix) END AS key FROM c")
 def _(spark, sf_dir):
-    return Tables(spark, sf_dir).assets.select("id", paths.node_key(F.col("folder_id").cast("string"), F.col("rel_path"), F.col("zip_file"), F.lit(None).cast("string")).alias("key"))
+    return tree.nodes(Tables(spark, sf_dir).assets).select(paths.node_key(*[F.col(c).cast("string") for c in ("folder_id", "rel_path", "zip_file", "zip_prefix")]).alias("key"))
 
 
-@query("duration_presets", """SELECT doc_id, array_to_string(list_filter([CASE WHEN ms <= 100 THEN '<100ms' END, CASE WHEN ms <= 1000 THEN '<1s' END, CASE WHEN ms >= 1000 AND ms <= 10000 THEN '1-10s' END, CASE WHEN ms >= 10000 AND ms <= 60000 THEN '10-60s' END,
-CASE WHEN ms >= 60000 AND ms <= 300000 THEN '1-5min' END, CASE WHEN ms >= 60000 THEN '>1min' END], lambda x: x IS NOT NULL), '|') AS presets FROM (SELECT doc_id, n_chars * 10 AS ms FROM documents) t""")
+@query("duration_presets", """SELECT doc_id, array_to_string(list_filter([CASE WHEN ms <= 100 THEN '< 100ms' END, CASE WHEN ms <= 1000 THEN '< 1s' END, CASE WHEN ms >= 1000 AND ms <= 10000 THEN '1-10s' END, CASE WHEN ms >= 10000 AND ms <= 60000 THEN '10-60s' END,
+CASE WHEN ms >= 60000 AND ms <= 300000 THEN '1-5 min' END, CASE WHEN ms >= 60000 THEN '> 1 min' END], lambda x: x IS NOT NULL), '|') AS presets FROM (SELECT doc_id, n_chars * 10 AS ms FROM documents) t""")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(scalars.duration_presets(F.col("n_chars") * 10), "|").alias("presets"))
 
@@ -697,15 +735,45 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", F.round(scalars.sigmoid(x), 6).alias("sigmoid"), F.round(F.element_at(scalars.softmax(F.array(x, F.lit(1.0), F.lit(2.0))), 1), 6).alias("share"))
 
 
-@query("sound_category", sql("assets") + "SELECT id, CASE WHEN contains(f, 'footstep') OR contains(f, 'step') OR contains(f, 'walk') THEN 'footstep' WHEN contains(f, 'hit') OR contains(f, 'impact') OR contains(f, 'punch') OR contains(f, 'metal') THEN 'impact' WHEN contains(f, 'ui') OR contains(f, 'click') OR contains(f, 'button') THEN 'ui' WHEN contains(f, 'amb') OR contains(f, 'forest') OR contains(f, 'wind') OR contains(f, 'rain') THEN 'ambience' WHEN contains(f, 'music') OR contains(f, 'loop') OR contains(f, 'theme') THEN 'music' ELSE 'other' END AS category FROM (SELECT id, lower(filename) AS f FROM assets) t")
+#: Tags of sounds and images over the ids, for both sides.
+_TAGS = ["['Metal', 'Wind chime']", "['Male Speech', 'Music']", "['Gunshot', 'Loud BANG', 'Voice']", "['String instrument', 'Speech']", "['Click']", "['Nature', 'Explosion']", "[]"]
+_TAGGED = "(SELECT *, CASE id % 7 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_TAGS)) + " END AS sound_tags FROM assets)"
+_CATEGORY = """coalesce(list_filter(list_transform(sound_tags, lambda t: CASE WHEN contains(lower(t), 'speech') OR contains(lower(t), 'voice') THEN 'Voice' WHEN contains(lower(t), 'music') OR contains(lower(t), 'instrument') THEN 'Music'
+WHEN contains(lower(t), 'explosion') OR contains(lower(t), 'impact') OR contains(lower(t), 'bang') THEN 'Impact' WHEN contains(lower(t), 'ambient') OR contains(lower(t), 'nature') OR contains(lower(t), 'wind') THEN 'Ambient' END), lambda c: c IS NOT NULL)[1], 'Effect')"""
+
+
+def _tagged(assets: DataFrame) -> DataFrame:
+    lists = F.array(*[F.array(*[F.lit(x) for x in re.findall("'([^']*)'", t)]).cast("array<string>") for t in _TAGS])
+    return assets.withColumn("sound_tags", F.element_at(lists, (F.col("id") % 7 + 1).cast("int")))
+
+
+@query("sound_category", sql("assets") + f"SELECT id, {_CATEGORY} AS category FROM {_TAGGED} t")
+def _(spark, sf_dir):
+    return _tagged(Tables(spark, sf_dir).assets).select("id", scalars.sound_category(F.col("sound_tags")).alias("category"))
+
+
+_FACETS = """(SELECT *, CASE WHEN id % 3 = 0 THEN 'pixel art' WHEN id % 3 = 1 THEN 'vector' END AS style_primary, CAST(id % 300 AS INT) AS width, CAST(id % 200 AS INT) AS height,
+  concat('["Tree', CAST(id % 4 AS STRING), '"]') AS auto_tags, CASE WHEN id % 6 = 0 THEN '["old oak tree"]' END AS manual_tags, id % 10 < 6 AS is_spritesheet,
+  CASE WHEN file_size < 300 THEN 'short' ELSE 'long' END AS duration_category FROM {t})"""
+
+
+@query("facet_filter", sql("assets") + f"SELECT id FROM {_FACETS.format(t='assets')} a WHERE asset_type = 'image' AND style_primary IN ('pixel art', 'vector') AND width >= 64 AND height >= 32 AND (contains(lower(auto_tags), 'tree2') OR contains(lower(manual_tags), 'tree2')) AND is_spritesheet")
 def _(spark, sf_dir):
-    return Tables(spark, sf_dir).assets.select("id", scalars.sound_category(F.col("filename")).alias("category"))
+    rows = spark.sql("SELECT * FROM " + _FACETS.replace("{t}", "{assets}"), assets=Tables(spark, sf_dir).assets)
+    return search.facets(rows, types=["image"], styles=["pixel art", "vector"], min_width=64, min_height=32, tags=["TREE2"], is_spritesheet=True).select("id")
 
 
-@query("facet_filter", sql("assets") + "SELECT a.id FROM assets a WHERE a.asset_type = 'image' AND a.id % 5 IN (0, 3) AND a.id % 300 >= 64 AND a.id % 200 >= 32 AND a.id % 4 = 1")
+@query("facet_filter_sound", sql("assets") + f"SELECT id FROM (SELECT *, {_CATEGORY} AS sound_category FROM (SELECT *, CASE id % 7 " + " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_TAGS)) + f" END AS sound_tags FROM {_FACETS.format(t='assets')} b) a) c WHERE sound_category IN ('Impact', 'Voice') AND duration_category = 'short' AND (contains(lower(auto_tags), 'oak') OR contains(lower(manual_tags), 'oak'))")
 def _(spark, sf_dir):
-    rows = Tables(spark, sf_dir).assets.withColumns({"category": scalars.sound_category(F.col("filename")), "width": F.col("id") % 300, "height": F.col("id") % 200, "tags": F.to_json(F.array(F.concat(F.lit("t"), (F.col("id") % 4).cast("string")), F.lit("all")))})
-    return search.facets(rows, ["image"], ["impact"], 64, 32, "t1").select("id")
+    rows = _tagged(spark.sql("SELECT * FROM " + _FACETS.replace("{t}", "{assets}"), assets=Tables(spark, sf_dir).assets))
+    return search.facets(rows.withColumn("sound_category", scalars.sound_category(F.col("sound_tags"))), categories=["Impact", "Voice"], duration_category="short", tags=["oak"]).select("id")
+
+
+@query("tag_filter", "SELECT event_id, CASE WHEN a > 0.3 AND a >= b THEN 'a' WHEN b > 0.3 THEN 'b' ELSE '' END AS best, CAST(CASE WHEN a > 0.3 THEN 1 ELSE 0 END + CASE WHEN b > 0.3 THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT event_id, 1 / (1 + exp(-(event_id % 9 - 4.5::DOUBLE))) AS a, 1 / (1 + exp(-(event_id % 5 - 2.25::DOUBLE))) AS b FROM events) t")
+def _(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    tags = scalars.audio_tags(F.array(F.lit("a"), F.lit("b")), F.array(F.col("event_id") % 9 - F.lit(4.5), F.col("event_id") % 5 - F.lit(2.25)))
+    return e.select("event_id", tags.alias("t")).select("event_id", F.coalesce(F.get("t", F.lit(0))["label"], F.lit("")).alias("best"), F.size("t").cast("bigint").alias("n"))
 
 
 @query("processing_estimate", "SELECT source, round(count(*) * 130 / 8 / 1000.0::DOUBLE, 6) AS seconds FROM documents GROUP BY source")
@@ -728,9 +796,3 @@ def _(spark, sf_dir):
     return named.select("o_orderkey", "c_name", "n_name", "qty")
 
 
-@query("encode_text")
-def _(spark, sf_dir):
-    from catalume.sources.encoders import embed, hashing_encoder
-
-    out = embed(read(spark, sf_dir, "documents"), "doc_id", "text", hashing_encoder(64))
-    return out.select(F.col("id").alias("doc_id"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"), "error")

@@ -46,13 +46,13 @@ def distinct_requests(requests: DataFrame, late: str = "10 minutes") -> DataFram
 
 
 def ewma_stream(ticks: DataFrame, key: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
-    """(key, n, rate) after each micro-batch: the moving average is the state of its key, ticks are folded in order."""
+    """(key, n, rate) after each micro-batch: the moving average is the state of its key, ticks are folded in order; a rate of 0 takes the next value."""
     kind = ticks.schema[key].dataType.simpleString()
 
     def fold(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, rate = state.get if state.exists else (0, 0.0)
         for v in pd.concat(list(frames)).sort_values(order)[value]:
-            rate = float(v) if n == 0 else (1 - alpha) * rate + alpha * float(v)
+            rate = float(v) if rate == 0 else (1 - alpha) * rate + alpha * float(v)
             n += 1
         state.update((n, rate))
         yield pd.DataFrame({key: [name[0]], "n": [n], "rate": [rate]})

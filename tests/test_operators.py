@@ -58,11 +58,108 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("text", "ms"), [("50ms", 50), ("1.5s", 1500), ("2m", 120_000), ("2m30s", 150_000), ("1:30", 90_000), ("7", 7000), ("", None), ("abc", None)])
+@pytest.mark.parametrize(("text", "ms"), [("50ms", 50), ("1.5s", 1500), ("2m", 120_000), ("2m30s", 150_000), ("1:30", 90_000), ("7", 7000), ("", None), ("abc", None),
+    ("30sec", 30_000), ("2 min", 120_000), ("2min30sec", 150_000), ("1.5m30s", 120_000), ("2M 30S", 150_000), (".5s", None), ("1.", None), ("1:30.5", 90_500), ("1.5:30", None), ("50 MS", 50), ("0.4ms", 0), ("2h", None)])
 def test_parse_duration(spark, text, ms):
     assert one(spark, scalars.parse_duration(F.lit(text))) == ms
 
 
+@pytest.mark.parametrize(("ms", "label"), [(0, "0ms"), (999, "999ms"), (1000, "1s"), (12_345, "12.3s"), (12_250, "12.3s"), (1050, "1.1s"), (1150, "1.1s"), (1450, "1.4s"), (59_999, "60.0s"), (60_000, "1m"), (90_400, "1m30s"), (90_500, "1m31s"), (119_900, "1m60s")])
+def test_duration_label(spark, ms, label):
+    """One decimal as a fixed-point print of the double gives it, rounded seconds from a minute on."""
+    assert one(spark, scalars.format_duration_label(F.lit(ms))) == label
+
+
+def test_tags_and_categories(spark):
+    lit = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    for tags, want in ((["Male speech, man speaking"], "Voice"), (["Metal", "Musical instrument"], "Music"), (["Loud BANG", "Speech"], "Impact"), (["Wind chime", "Explosion"], "Ambient"), (["Metal", "Click"], "Effect"), ([], "Effect")):
+        assert one(spark, scalars.sound_category(lit(*tags))) == want
+    found = one(spark, scalars.audio_tags(lit("a", "b", "c"), F.array(F.lit(2.0), F.lit(-0.8), F.lit(-0.9))))
+    assert [t.label for t in found] == ["a", "b"] and found[0].confidence == pytest.approx(0.8808, abs=1e-4)
+    assert len(one(spark, scalars.audio_tags(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i.cast("string")), F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: i.cast("double"))))) == 10
+    assert [p[0] for p in scalars.DURATION_PRESETS] == ["< 100ms", "< 1s", "1-10s", "10-60s", "1-5 min", "> 1 min"]
+    assert abs(one(spark, scalars.timestamp_now("ms")) / 1000 - one(spark, scalars.timestamp_now())) < 60
+    assert one(spark, scalars.duration_category(F.lit(5000))) == "medium" and one(spark, scalars.format_similarity(F.lit(0.126))) == "13%"
+
+
+def test_node_keys(spark):
+    null = F.lit(None).cast("string")
+    key = lambda z, p: one(spark, paths.node_key(F.lit("3"), F.lit("a/b"), z, p))
+    assert [key(null, null), key(F.lit("z.zip"), null), key(F.lit("z.zip"), F.lit("in/"))] == ["folder:3:a/b", "zip:3:a/b:z.zip", "zip:3:a/b:z.zip:in/"]
+
+
+def test_image_tags_have_a_threshold_for_each_group(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "asset_id long, embedding array<float>")
+    labels = spark.createDataFrame([("style", "pixel", [1.0, 0.0]), ("style", "vector", [0.0, 1.0]), ("content", "tree", [1.0, 0.1]), ("content", "rock", [0.1, 1.0])] + [("quality", f"q{k}", [1.0 - k / 5, k / 5]) for k in range(6)], "group string, label string, embedding array<float>")
+    got = {r.asset_id: r for r in vector.image_tags(items, labels).collect()}
+    assert got[1].style == "pixel" and got[2].style == "vector" and got[1].tags[:2] == ["tree", "rock"] and got[1].style_confidence == pytest.approx(0.731, abs=1e-3)
+    assert len([t for t in got[1].tags if t[0] == "q"]) < 6
+    with pytest.raises(ValueError, match="more than"):
+        vector.similarity_matrix(items, items.withColumnRenamed("asset_id", "query_id"), most=1)
+
+
+def test_hybrid_reranks_text_hits_alone(spark):
+    text = spark.createDataFrame([(1, 0.9), (2, 0.8), (3, 0.7), (4, 0.1)], "id long, score double")
+    vectors_ = spark.createDataFrame([(1, [0.0, 1.0]), (3, [1.0, 0.0]), (9, [1.0, 0.0])], "asset_id long, embedding array<float>")
+    got = [(r.id, r.score) for r in vector.hybrid(text, vectors_, 1, 9).collect()]
+    assert got == [(3, pytest.approx(0.4 * 0.7 + 0.6))]
+    assert [r.id for r in vector.hybrid(text, vectors_, 2, 9).collect()] == [3, 1] and [r.id for r in vector.hybrid(text, vectors_, 2).collect()] == [1, 2]
+
+
+def test_rates_follow_the_reference(spark):
+    ticks = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([0, 0, 10, 10])] + [("z", 0, 0.0)], "k string, i int, v double")
+    assert {r.k: r.rate for r in work.ewma(ticks, "k", ["i"], "v").collect()} == {"k": pytest.approx(10.0), "z": 0.0}
+    events = spark.createDataFrame([("k", 1000 * s) for s in range(20)], "k string, ms long")
+    assert {r.rate for r in work.sliding_rate(events.where("ms > 0"), "k", F.col("ms"), F.lit(True)).where("ms >= 5000").collect()} == {1.0}
+
+
+def test_embed_batches_join_files_of_all_folders(spark, monkeypatch):
+    monkeypatch.setattr(work, "SLICE_IDS", 7)
+    rows = spark.createDataFrame([(k, k % 9, f"f{k % 4}", None, None) for k in range(70)] + [(100 + k, 1, "", "a.zip", f"x{k}") for k in range(33)], "id long, folder_id long, rel_path string, zip_file string, zip_entry string")
+    got = {}
+    for r in work.embed_batches(rows).collect():
+        got.setdefault((r.group_key, r.batch), []).append(r.id)
+    assert {k: sorted(v) for k, v in got.items()} == {(None, 0): list(range(32)), (None, 1): list(range(32, 64)), (None, 2): list(range(64, 70)), ("1/a.zip", 0): list(range(100, 132)), ("1/a.zip", 1): [132]}
+
+
+def test_hamming_pairs_against_brute_force(spark):
+    import random
+
+    draw = random.Random(4)
+    values = [draw.getrandbits(64) for _ in range(60)]
+    values += [v ^ sum(1 << b for b in draw.sample(range(64), k % 13)) for k, v in enumerate(values)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = sorted((r.a, r.b, r.similarity) for r in duplicates.hamming_pairs(spark.createDataFrame(list(enumerate(signed)), "id long, hash long")).collect())
+    want = [(a, b, 1 - d / 64) for a in range(120) for b in range(a + 1, 120) if (d := (values[a] ^ values[b]).bit_count()) < 10]
+    assert got == want and len(got) >= 40
+
+
+def test_small_writers(spark, tmp_path):
+    errors = spark.createDataFrame([(7, 1, "image", "old", 3, 1, None)], "id long, asset_id long, category string, error_message string, occurred_at long, retry_count int, resolved_at long")
+    failures = spark.createDataFrame([(k % 5, "audio", f"e{k % 3}") for k in range(40)], "asset_id long, category string, error_message string")
+    after = mutations.append_errors(errors, failures, 99).collect()
+    assert sorted(r.id for r in after) == [7, *range(8, 48)] and {(r.occurred_at, r.retry_count) for r in after if r.id > 7} == {(99, 0)}
+    chosen = F.array(F.lit("a"), F.lit("b"))
+    assert sorted(one(spark, mutations.toggle(chosen, F.lit("a")))) == ["b"] and sorted(one(spark, mutations.toggle(chosen, F.lit("c")))) == ["a", "b", "c"]
+    mutations.compact(failures.repartition(6), str(tmp_path / "c"), 2)
+    assert len(spark.read.parquet(str(tmp_path / "c")).inputFiles()) <= 2 and spark.read.parquet(str(tmp_path / "c")).count() == 40
+    mutations.export_json(errors, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first().error_message == "old"
+    folders = spark.createDataFrame([(3, "/a", "A")], "id long, path string, label string")
+    assert sorted((r.id, r.path) for r in mutations.upsert_folder(folders, spark.createDataFrame([("/c", "C"), ("/b", "B"), ("/a", "X")], "path string, label string")).collect()) == [(3, "/a"), (4, "/b"), (5, "/c")]
+
+
+def test_stored_index(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "metal hit metal"), (2, "the metal of rights reserved all rights reserved"), (3, "All Rights, reserved!"), (4, None), (5, "rights all")], "id long, text string")
+    path = str(tmp_path / "index")
+    fulltext.write_index(texts, path, buckets=4)
+    for q in ("metal", "all metal absent", "hit"):
+        want = {r.id: pytest.approx(r.score) for r in fulltext.bm25(texts, q).collect()}
+        assert {r.id: r.score for r in fulltext.bm25_from_index(spark, path, q).collect()} == want
+    assert sorted(r.id for r in fulltext.phrase_from_index(spark, path, "all rights reserved").collect()) == [2, 3]
+    assert [r.id for r in fulltext.phrase_from_index(spark, path, "metal hit metal").collect()] == [1] and fulltext.bm25_from_index(spark, path, "--").count() == 0
+
+
 def test_scalars(spark):
     assert [one(spark, scalars.format_file_size(F.lit(n))) for n in (1023, 1024, 1_048_576)] == ["1023 B", "1.0 KB", "1.0 MB"]
     assert one(spark, scalars.format_duration_clock(F.lit(9_999))) == "0:09.999" and one(spark, scalars.format_duration_clock(F.lit(61_000))) == "1:01"
