@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-__all__ = ["documents", "shared_path", "table", "written"]
+__all__ = ["documents", "salted_join", "shared_path", "table", "written"]
+
+#: Rows of one key from which a salted join deals the key over several tasks.
+SALT_ROWS = 512
+#: Slots of the table that tells both sides which keys are hot: the bound on what is broadcast.
+SALT_SLOTS = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +24,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names, or the checkpoint folder that the session was given; without one there is no safe place."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
     have = spark.sparkContext._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    folder = tempfile.mkdtemp(prefix="spark-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    # One process on one machine, as in tests and benchmarks: its warehouse is as shared as it needs.
+    folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/.checkpoints"
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -40,3 +48,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that `written` gave; for steps of a loop that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with the one row that right has for each key, where right's column `n` says how many rows of left have the key.
+
+    A key of over SALT_ROWS rows is dealt by a hash of the `spread` columns over n / SALT_ROWS
+    tasks, and right's row is sent to each. Which keys are hot stands in a table of
+    SALT_SLOTS slots by the keys' hash, the largest n in each: that bounds the broadcast, and
+    a key that shares a hot key's slot is merely dealt as well.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SALT_SLOTS))
+    hot = right.where(F.col(n) > SALT_ROWS).groupBy(slot.alias("__slot")).agg(F.max(F.ceil(F.col(n) / SALT_ROWS)).cast("int").alias("__salts"))
+    if not hot.limit(1).count():
+        return left.join(right.hint("merge"), keys, how)
+    flags = F.broadcast(hot)
+    salted = left.withColumn("__slot", slot).join(flags, "__slot", "left").withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__slot", "__salts")
+    copies = right.withColumn("__slot", slot).join(flags, "__slot", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__slot", "__salts")
+    return salted.join(copies.hint("merge"), [*keys, "__salt"], how).drop("__salt")

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalume.llm.common import written
+from catalume.llm.common import dropped, salted_join, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Large star: u's larger neighbours point to u's least neighbour. Small star: its smaller ones and itself do."""
+    """Large star: u's larger neighbours point to u's least neighbour. Small star: its smaller ones and itself do.
+
+    The least neighbour is aggregated before the shuffle, and a node of very many edges
+    meets it in several tasks.
+    """
     own = edges.union(edges.select("v", "u").toDF("u", "v")) if large else edges
-    least = own.groupBy("u").agg(F.min("v").alias("m"))
-    joined = own.join(least.withColumn("m", F.least("u", "m")) if large else least, "u")
+    least = own.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+    least = written(least.withColumn("m", F.least("u", "m")) if large else least, "least")
+    joined = salted_join(own, least, ["u"], "__n", ["v"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,8 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.toDF("u", "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     edges, before = written(edges, "edges"), None
     while True:
-        edges = written(_star(_star(edges, True), False), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        middle = written(_star(edges, True), "edges")
+        after = written(_star(middle, False), "edges")
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for old in (edges, middle):
+            dropped(old)
+        edges = after
         if now == before:
             return edges.toDF("node", "root")
         before = now

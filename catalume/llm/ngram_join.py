@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -11,26 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
-from catalume.llm.common import written
+from catalume.llm.common import salted_join, written
 from catalume.llm.components import components
 
 NGRAM = 5
 SIMILARITY = 0.8
 #: Share of the pairs at exactly SIMILARITY that have to meet in a band.
 RECALL = 0.998
+#: Bands that a choice of rows may take by itself; where one row needs more, it gets them.
 MAX_BANDS = 32
-#: Documents that one verification task takes from each side of a block pair.
+#: Documents, and shingles, that a block holds at about most; a verification task takes a pair of blocks.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 18
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
-    """(bands, rows): as many rows as at most `most` bands allow for the recall, 1 - (1 - s^rows)^bands."""
-    best = (most, 1)
-    for rows in range(1, 17):
-        bands = ceil(log(1 - recall) / log(1 - similarity**rows)) if similarity < 1 else 1
-        if bands <= most:
-            best = (bands, rows)
-    return best
+    """(bands, rows): as many rows as at most `most` bands allow for the recall, 1 - (1 - s^rows)^bands; one row takes as many bands as it needs."""
+    if not 0 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("similarity has to be in (0, 1], recall in (0, 1)")
+    need = {rows: ceil(log1p(-recall) / log1p(-(similarity**rows))) if similarity < 1 else 1 for rows in range(1, 17) if similarity**rows > 1e-9}
+    rows = max((k for k, bands in need.items() if bands <= most), default=1)
+    return need[rows], rows
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ def _verify(table: pa.Table, similarity: float) -> dict | None:
             break
         root = new
     have = np.flatnonzero(links)
-    return {"node": node[have], "root": node[root[have]], "links": links[have].astype(np.int64), "many": np.full(len(have), int(table.column("blocks")[0].as_py())) > 1}
+    return {"node": node[have], "root": node[root[have]], "links": links[have].astype(np.int64), "many": table.column("many").to_numpy(zero_copy_only=False)[first][have]}
 
 
 def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -152,26 +153,32 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
 
     rep_id is the least doc_id with the same set of n-word shingles, class_id the least one
     reachable over links, n_links the number of other documents with a Jaccard similarity
-    of at least `similarity`. Documents that share a band hash come into one cluster; all
-    pairs inside a cluster are verified on their full shingle sets, in block pairs, and of
-    these only each member's number of links and local root leave the task. Equal sets are
-    one member, counted.
+    of at least `similarity`. Equal sets are one member, counted. A member's home is its most
+    common band hash; homes are dealt into blocks of bounded rows and shingles, and two
+    blocks meet in one task if any band hash has members in both. There all pairs are
+    verified on their full shingle sets, so every pair of band-mates is, each once; only
+    each member's number of links and local root leave the task.
 
     A text without words is alone (n_links 0), as is a row with null doc_id; a text of
     fewer than n words has one shingle. doc_id tells documents apart: rows that repeat one
-    appear each, and count as each other's copies. Other columns are ignored.
+    appear each, and count as each other's copies. Shingles are told apart by 64-bit hashes.
+    Other columns are ignored.
     """
     spark, (bands, rows) = docs.sparkSession, banding(similarity, recall)
     signed = written(signatures(docs, n, bands, rows), "signatures")
     key = ["s1", "s2", "n_shingles"]
     reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "representatives")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    clusters = components(banded.join(shared.select("band", "least").hint("merge"), "band").select("rep", "least"))
-    roots = clusters.select("root").distinct()
-    members = clusters.union(roots.select("root", "root")).toDF("node", "cluster")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = written(members.join(sizes, "cluster").join(reps.select(F.col("rep").alias("node"), "copies", *key), "node"), "members")
+    banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1"), "bands")
+    mates = written(salted_join(banded.select("rep", "band"), shared, ["band"], "n", ["rep"]), "band-mates")
+    home = mates.groupBy("rep").agg(F.max(F.struct("n", "band", "size")).alias("h"))
+    parts = F.greatest(F.ceil(F.col("h.n") / BLOCK), F.ceil(F.col("h.size") / BLOCK_SHINGLES))
+    home = written(home.select("rep", F.xxhash64("h.band", F.pmod(F.xxhash64("rep"), parts)).alias("block")), "homes")
+    # The blocks of each band meet each other: pairs of blocks, as a common band's members lie in few.
+    places = mates.select("rep", "band").join(home.hint("merge"), "rep").select("band", "block").distinct()
+    meet = places.join(places.withColumnRenamed("block", "other").hint("merge"), "band").where("block <> other").select("block", "other").distinct()
+    partners = written(meet, "block-pairs")
+    members = home.withColumnRenamed("rep", "node").join(reps.select(F.col("rep").alias("node"), "copies", *key).hint("merge"), "node")
 
     def sets(batch: pa.RecordBatch) -> Iterator[dict]:
         s1, s2 = (batch.column(i).to_numpy() for i in (1, 2))
@@ -184,14 +191,16 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
                     rows.append(lo + k)
                     raw.append(own.tobytes())
             rows = pa.array(rows, pa.int64())
-            yield {c: batch.column(i).take(rows) for i, c in ((3, "cluster"), (4, "blocks"), (5, "node"), (6, "copies"))} | {"shingles": pa.array(raw, pa.binary())}
+            yield {c: batch.column(i).take(rows) for i, c in ((3, "block"), (4, "node"), (5, "copies"))} | {"shingles": pa.array(raw, pa.binary())}
 
     id_kind = docs.schema["doc_id"].dataType.simpleString()
     # The members grow with the corpus, so the texts meet them by a shuffle at every size.
     own = docs.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node")
-    own = K.map_batches(own, ["text", "s1", "s2", "cluster", "blocks", "node", "copies"], sets, f"cluster {id_kind}, blocks int, node {id_kind}, copies bigint, shingles binary")
-    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.withColumn("pair", F.col("block") != F.col("other")).withColumn("task", F.concat_ws(":", F.col("cluster").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
+    own = K.map_batches(own, ["text", "s1", "s2", "block", "node", "copies"], sets, f"block bigint, node {id_kind}, copies bigint, shingles binary")
+    lists = partners.groupBy("block").agg(F.collect_list("other").alias("others"))
+    own = own.join(lists.hint("merge"), "block", "left").withColumn("many", F.col("others").isNotNull())
+    own = own.withColumn("other", F.explode(F.concat(F.array("block"), F.coalesce("others", F.array().cast("array<bigint>"))))).withColumn("pair", F.col("block") != F.col("other"))
+    own = own.withColumn("task", F.concat_ws(":", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in K.groups(batches, "task"):
@@ -200,17 +209,17 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
                 yield pa.RecordBatch.from_arrays([pa.array(found[c]) for c in ("node", "root", "links", "many")], ["node", "root", "links", "many"])
 
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = own.select("task", "pair", "blocks", "block", "node", "copies", "shingles").repartition(parts, "task").sortWithinPartitions("task")
+    dealt = own.select("task", "pair", "many", "block", "node", "copies", "shingles").repartition(parts, "task").sortWithinPartitions("task")
     found = written(dealt.mapInArrow(verify, f"node {id_kind}, root {id_kind}, links bigint, many boolean"), "links")
     joined = components(found.where("many").select("node", "root"))
     classes = found.where("not many").select("node", "root").union(joined)
     linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(classes, "node", "left")
     final = reps.select("rep", "copies", *key).join(linked, F.col("rep") == F.col("node"), "left")
-    final = final.select(*key, "rep", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    final = written(final.select(*key, "rep", "copies", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "classes")
     counted = F.col("n_shingles").isNotNull() & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     ranked = signed.drop("bands").withColumn("counted", counted)
     alone = ranked.where("not counted").select("doc_id", "n_shingles", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return ranked.where("counted").join(final.hint("merge"), key).select("doc_id", "n_shingles", F.col("rep").alias("rep_id"), F.col("root").alias("class_id"), F.col("links").alias("n_links")).union(alone)
+    return salted_join(ranked.where("counted"), final, key, "copies", ["doc_id"]).select("doc_id", "n_shingles", F.col("rep").alias("rep_id"), F.col("root").alias("class_id"), F.col("links").alias("n_links")).union(alone)
 
 
 def keep_one(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
