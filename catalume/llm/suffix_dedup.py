@@ -284,9 +284,9 @@ def marks(row: np.ndarray, place: np.ndarray, mask: np.ndarray) -> bytes:
 
 
 class Group:
-    """One group's documents in a fixed order, without those that are copies of a document elsewhere."""
+    """One group's documents in a fixed order: by doc_id, then by text."""
 
-    def __init__(self, table: pa.Table, messages: pa.Table) -> None:
+    def __init__(self, table: pa.Table, messages: pa.Table | None = None) -> None:
         ids, texts = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
         data, offsets = K.flat(texts)
         number = ids.cast(pa.int64()).fill_null(-(2**63)).to_numpy()
@@ -295,16 +295,12 @@ class Group:
         order = sorted(range(len(body)), key=lambda i: (number[i], body[i]))
         self.ids, self.number = ids.take(pa.array(order, pa.int64())), number[order]
         self.body = [body[i] for i in order]
-        kind, payload = messages.column("kind").to_pylist() if messages.num_rows else [], messages.column("payload").to_pylist() if messages.num_rows else []
-        copies = np.frombuffer(b"".join(p for k, p in zip(kind, payload) if k == 0), np.int64)
-        self.copy = np.isin(self.number, copies) & ids.take(pa.array(order, pa.int64())).is_valid().to_numpy(zero_copy_only=False)
-        self.messages = [p for k, p in zip(kind, payload) if k == 1]
+        rows = list(zip(messages.column("kind").to_pylist(), messages.column("payload").to_pylist())) if messages is not None else []
+        self.messages = [p for k, p in rows if k == 1]
         #: Cores that many groups hold, and the hashes of their strings that other groups hold too.
-        self.hot, self.strings = (np.sort(np.frombuffer(b"".join(p for k, p in zip(kind, payload) if k == own), np.uint64)) for own in (2, 3))
-        self.rows = np.flatnonzero(~self.copy)
-        kept = [self.body[i] for i in self.rows.tolist()]
-        self.data = np.frombuffer(b"".join(kept), np.uint8)
-        self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in kept]))).astype(np.int64)
+        self.hot, self.strings = (np.sort(np.frombuffer(b"".join(p for k, p in rows if k == own), np.uint64)) for own in (2, 3))
+        self.data = np.frombuffer(b"".join(self.body), np.uint8)
+        self.offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.body]))).astype(np.int64)
 
 
 def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -345,10 +341,8 @@ def _hot_strings(buckets: int):
 
 
 def _core_lists(buckets: int):
-    def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
-        group = Group(left, right)
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        group = Group(table)
         return _dealt(np.unique(units(group.data, group.offsets)[3]), buckets, key[0].as_py())
 
     return send
@@ -393,7 +387,7 @@ def _sorted_runs(buckets: int):
             # Places ascend with the documents, so a place is also the order in the group.
             repeated = resolve(shared_prefix(right_bytes), left_bytes, mask, place) if len(place) else mask
             doc = np.searchsorted(group.offsets, place, "right") - 1
-            row, inside = group.rows[doc] if len(doc) else doc, place - group.offsets[doc]
+            row, inside = doc, place - group.offsets[doc]
             own = repeated > 0
             if own.any():
                 out.append((g % buckets, g, 1, marks(row[own], inside[own], repeated[own])))
@@ -441,7 +435,7 @@ def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     out: dict[str, list] = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
     if group:
         out["doc_id"] = group.ids.to_pylist()
-        base = np.concatenate(([0], np.cumsum([len(b) for b in group.body]))).astype(np.int64)
+        base = group.offsets
         cover = np.zeros(int(base[-1]) + 1, np.int64)
         for raw in group.messages:
             n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -454,8 +448,6 @@ def _cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         removed = np.cumsum(cover[:-1]) > 0
         for i, body in enumerate(group.body):
             gone = removed[base[i] : base[i + 1]]
-            if group.copy[i]:
-                gone = np.full(len(body), len(body) >= SPAN)
             out["n_bytes"].append(len(body))
             out["n_removed"].append(int(gone.sum()))
             out["n_spans"].append(int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(gone) else 0)
@@ -470,17 +462,13 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, hot_groups:
     of smaller doc_id, or earlier in the same one. Strings are judged on the input, overlaps
     count, and no string crosses documents. Null text is empty; null doc_id comes before all
     others; rows that repeat a doc_id are ordered by their texts. Other columns are ignored.
-    A whole copy of an earlier document is found by its SHA-256 and goes whole.
+    Whole copies are no special case: all their strings are merged.
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, ceil(total / group_bytes))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("g")
     text = docs.select(group, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    hashed = docs.where("doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-    first = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = hashed.join(first, "sha").where("doc_id > first").select(group, F.lit(0).alias("kind"), F.unhex(F.lpad(F.hex("doc_id"), 16, "0")).alias("payload"))
-    copies = copies.select("g", "kind", _little_endian("payload").alias("payload"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def exchange(messages: DataFrame, function, schema: str) -> DataFrame:
@@ -490,17 +478,11 @@ def remove_repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES, hot_groups:
         return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(function, schema)
 
     messages = "g int, kind int, payload binary"
-    cores = exchange(copies, _core_lists(count), "bucket int, g int, payload binary")
+    cores = text.groupBy("g").applyInArrow(_core_lists(count), "bucket int, g int, payload binary")
     common = written(by_bucket(cores, _common(1, hot_groups), messages), "suffix-cores")
-    strings = by_bucket(exchange(copies.union(common), _hot_strings(count), "bucket int, g int, payload binary"), _common(3), messages)
-    runs = exchange(copies.union(common).union(strings), _sorted_runs(count), "bucket int, g int, kind int, payload binary")
-    found = by_bucket(runs, _merged, messages)
-    return exchange(copies.union(found), _cut, _CUT_SCHEMA)
-
-
-def _little_endian(column: str) -> F.Column:
-    """An 8-byte binary with its bytes turned around."""
-    return F.concat(*[F.substring(F.col(column), 8 - k, 1) for k in range(8)])
+    strings = by_bucket(exchange(common, _hot_strings(count), "bucket int, g int, payload binary"), _common(3), messages)
+    runs = exchange(common.union(strings), _sorted_runs(count), "bucket int, g int, kind int, payload binary")
+    return exchange(by_bucket(runs, _merged, messages), _cut, _CUT_SCHEMA)
 
 
 def digest(cut: DataFrame) -> DataFrame:
