@@ -161,3 +161,8 @@ def facets(
 
 def type_counts(assets: DataFrame) -> DataFrame:
     return assets.groupBy("asset_type").agg(F.count("*").alias("n"))
+
+
+def info(assets: DataFrame, folders: DataFrame) -> DataFrame:
+    """One row: assets, the bytes of their files, and active folders."""
+    return assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("asset_bytes")).crossJoin(F.broadcast(folders.agg(F.count_if(F.col("status") == "active").alias("active_folders"))))

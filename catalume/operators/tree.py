@@ -104,3 +104,8 @@ def archive_counts(assets: DataFrame) -> DataFrame:
 def archive_directories(tree: DataFrame) -> DataFrame:
     """For each archive the sorted list of the directories inside it, without the trailing slash."""
     return tree.where("dir_type = 'zipdir'").groupBy("folder_id", "rel_path", "zip_file").agg(F.sort_array(F.collect_list(F.regexp_replace("zip_prefix", "/$", ""))).alias("dirs"))
+
+
+def sorted_nodes(tree: DataFrame) -> DataFrame:
+    """Nodes as a settings panel lists them: by parent, archives after folders, names in any case."""
+    return keyed(tree).orderBy("parent_key", F.col("dir_type") == "zip", F.lower("name"), "name")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalume.functions.vectors import cosine, dot
+from catalume.operators.search import projected
 
 
 def literal_vector(v: list[float]) -> Column:
@@ -20,19 +21,18 @@ def top_k(embeddings: DataFrame, query: Column, k: int = 500, filters: Column |
     return rows.select("asset_id", metric(F.col("embedding"), query).alias("similarity")).orderBy(F.desc("similarity"), "asset_id").limit(k)
 
 
-def top_k_by_item(embeddings: DataFrame, item_id: int, k: int = 500, metric=dot, filters: Column | None = None) -> DataFrame:
-    """As top_k, with the stored vector of an item as the query: one row, which meets every other. The item itself is a result."""
+def top_k_by_item(embeddings: DataFrame, item_id: int, k: int = 500, metric=dot, filters: Column | None = None, exclude: bool = False) -> DataFrame:
+    """As top_k, with the stored vector of an item as the query: one row, which meets every other. The item itself is a result, unless excluded."""
     probe = embeddings.where(F.col("asset_id") == item_id).select(F.col("embedding").alias("__query")).limit(1)
     rows = embeddings if filters is None else embeddings.where(filters)
+    rows = rows.where(F.col("asset_id") != item_id) if exclude else rows
     return rows.crossJoin(F.broadcast(probe)).select("asset_id", metric(F.col("embedding"), F.col("__query")).alias("similarity")).orderBy(F.desc("similarity"), "asset_id").limit(k)
 
 
-def with_metadata(ranked: DataFrame, assets: DataFrame, audio: DataFrame) -> DataFrame:
-    """The ranked ids with their assets' columns; ids without an asset drop out, the order stays."""
-    return (
-        ranked.join(assets.select(F.col("id").alias("asset_id"), "filename", "rel_path", "asset_type"), "asset_id")
-        .join(audio.select("asset_id", "duration_ms"), "asset_id", "left").orderBy(F.desc("similarity"), "asset_id")
-    )
+def with_metadata(ranked: DataFrame, assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame) -> DataFrame:
+    """The ranked ids with the columns of a search result; ids without an asset drop out, the order stays. The ranking is cut, so it is the small side."""
+    own = assets.join(F.broadcast(ranked.withColumnRenamed("asset_id", "id")), "id")
+    return projected(own, folders, images, audio, ("similarity",)).withColumnRenamed("id", "asset_id").orderBy(F.desc("similarity"), "asset_id")
 
 
 def post_filter(ranked: DataFrame, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from catalume.operators import diff, mutations, search, tree, vector, work
 from catalume.schema import TABLES, SearchParams, struct
 from catalume.sources import archives
+from catalume.streaming.control import Previews
 
 
 class Catalogue:
@@ -19,6 +20,7 @@ class Catalogue:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.previews = Previews()
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
@@ -42,10 +44,21 @@ class Catalogue:
         columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields]
         version = uuid.uuid4().hex
         df.select(*columns).write.parquet(f"{self.path}/{name}/{version}")
-        fs, at = self._fs(f"{self.path}/{name}/CURRENT")
+        before = self._current(name)
+        fs, at = self._fs(f"{self.path}/{name}/CURRENT-{version}")
         out = fs.create(at, True)
         out.write(bytearray(version.encode()))
         out.close()
+        # One rename moves the pointer: a reader meets the old name or the new one, never an empty file.
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration()).rename(at, hadoop.Path(f"{self.path}/{name}/CURRENT"), over)
+        # The version before stays for those who read it; older ones go.
+        for status in fs.listStatus(hadoop.Path(f"{self.path}/{name}")):
+            found = status.getPath().getName()
+            if status.isDirectory() and found not in (version, before):
+                fs.delete(status.getPath(), True)
 
     def folders(self) -> DataFrame:
         return self.table("source_folders").orderBy(F.lower("label"), "path")
@@ -56,8 +69,15 @@ class Catalogue:
         self.replace("source_folders", mutations.upsert_folder(self.table("source_folders"), incoming))
         folder_id = self.table("source_folders").where(F.col("path") == root).first()["id"]
         self._insert(archives.listing(self.spark, root, folder_id), folder_id, now)
+        self._warn(folder_id, root)
         return folder_id
 
+    def _warn(self, folder_id: int, root: str) -> None:
+        """Stores the warnings of the last listing beside the folder."""
+        found = archives.scan_warnings(self.spark, root).first()["scan_warnings"]
+        own = F.when(F.col("id") == folder_id, F.lit(found)).otherwise(F.col("scan_warnings"))
+        self.replace("source_folders", self.table("source_folders").withColumn("scan_warnings", own))
+
     def _insert(self, listing: DataFrame, folder_id: int, now: int) -> None:
         stored = self.table("assets")
         top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
@@ -85,10 +105,17 @@ class Catalogue:
         self.replace("source_folders", mutations.folder_stats(self.table("source_folders"), self.table("assets")))
 
     def preview_rescan(self, folder_id: int) -> DataFrame:
-        """What a rescan would change."""
+        """What a rescan would change; the preview is kept for `apply_rescan`, one for each folder."""
         root = self.table("source_folders").where(F.col("id") == folder_id).first()["path"]
         listing = archives.listing(self.spark, root, folder_id).withColumn("id", F.lit(0).cast("bigint"))
-        return diff.diff(self.table("assets").where(F.col("folder_id") == folder_id), listing)
+        found = diff.diff(self.table("assets").where(F.col("folder_id") == folder_id), listing)
+        self.previews.put(folder_id, found)
+        return found
+
+    def apply_rescan(self, folder_id: int, now: int = 0) -> None:
+        """Applies a previewed rescan; without a preview, or with one over half an hour old, it is an error."""
+        self.previews.take(folder_id)
+        self.rescan(folder_id, now)
 
     def rescan(self, folder_id: int, now: int = 0) -> None:
         root = self.table("source_folders").where(F.col("id") == folder_id).first()["path"]
@@ -103,6 +130,7 @@ class Catalogue:
         self.replace("assets", rest.unionByName(after))
         found.unpersist()
         self._insert(listing, folder_id, now)
+        self._warn(folder_id, root)
 
     def remove_folder(self, folder_id: int) -> None:
         after = mutations.delete_folder({name: self.table(name) for name in TABLES}, folder_id)
@@ -134,7 +162,7 @@ class Catalogue:
         return work.pending_counts(self.table("assets"), self.table("image_metadata"), self.table("audio_metadata"), self.table("audio_embeddings"))
 
     def similar(self, asset_id: int, k: int = 500) -> DataFrame:
-        return vector.with_metadata(vector.top_k_by_item(self.table("audio_embeddings"), asset_id, k), self.table("assets"), self.table("audio_metadata"))
+        return vector.with_metadata(vector.top_k_by_item(self.table("audio_embeddings"), asset_id, k), self.table("assets"), self.table("source_folders"), self.table("image_metadata"), self.table("audio_metadata"))
 
     def errors(self, category: str | None = None) -> DataFrame:
         return mutations.error_detail(self.table("processing_errors"), self.table("assets"), self.table("source_folders"), category)
@@ -159,5 +187,12 @@ class Catalogue:
         self.replace("processing_errors", mutations.resolve_errors(self.table("processing_errors"), done, now))
 
     def info(self) -> DataFrame:
-        """One row: assets, active folders."""
-        return self.table("assets").agg(F.count("*").alias("assets")).crossJoin(self.table("source_folders").agg(F.count_if(F.col("status") == "active").alias("active_folders")))
+        """One row: assets, active folders, and the bytes and files of the tables' current versions."""
+        size = files = 0
+        for name in TABLES:
+            version = self._current(name)
+            if version:
+                fs, at = self._fs(f"{self.path}/{name}/{version}")
+                summary = fs.getContentSummary(at)
+                size, files = size + summary.getLength(), files + summary.getFileCount()
+        return search.info(self.table("assets"), self.table("source_folders")).withColumn("bytes", F.lit(size).cast("bigint")).withColumn("files", F.lit(files).cast("bigint"))

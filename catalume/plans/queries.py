@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from catalume.functions import paths, scalars, vectors
 from catalume.functions.text import word_tokens
 from catalume.operators import diff, duplicates, fulltext, mutations, search, tree, vector, work
 from catalume.schema import FolderLocation, SearchParams
+from catalume.sources import archives, media
 from catalume.streaming import progress as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -354,20 +358,37 @@ def _(spark, sf_dir):
 _COS = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
 
 
-@query("vector_topk_filtered", sql("assets", "audio_metadata") + """, r AS (SELECT e.vec_id AS asset_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q
- WHERE e.label <> 3 ORDER BY s DESC, e.vec_id LIMIT 60) SELECT r.asset_id, a.filename, a.rel_path, a.asset_type, m.duration_ms, round(s, 6) AS similarity FROM r JOIN assets a ON a.id = r.asset_id LEFT JOIN audio_metadata m ON m.asset_id = r.asset_id""")
+_RANKED = """r AS (SELECT e.vec_id AS asset_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {q}) q WHERE {w} ORDER BY s DESC, e.vec_id LIMIT {k}) """
+_VIEWS = sql("assets", "source_folders", "image_metadata", "audio_metadata")
+
+
+def _with_metadata(t: Tables, ranked: DataFrame) -> DataFrame:
+    return vector.with_metadata(ranked, t.assets, t.source_folders, t.image_metadata, t.audio_metadata)
+
+
+@query("vector_topk_filtered", _VIEWS + "," + _RANKED.format(q=7, w="e.label <> 3", k=60) + """SELECT row_number() OVER (ORDER BY s DESC, r.asset_id) AS place, r.asset_id, a.filename, a.folder_id, a.rel_path, a.zip_file, a.zip_entry, a.asset_type, a.format, a.file_size, f.path AS folder_path,
+i.width, i.height, m.duration_ms, m.sample_rate, m.channels, round(s, 6) AS similarity FROM r JOIN assets a ON a.id = r.asset_id JOIN source_folders f ON f.id = a.folder_id LEFT JOIN image_metadata i ON i.asset_id = r.asset_id LEFT JOIN audio_metadata m ON m.asset_id = r.asset_id""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ranked = vector.top_k_by_item(t.embedded, 7, 60, filters=F.col("label") != 3)
-    return vector.with_metadata(ranked, t.assets, t.audio_metadata).withColumn("similarity", F.round("similarity", 6))
+    return _placed(_with_metadata(t, vector.top_k_by_item(t.embedded, 7, 60, filters=F.col("label") != 3))).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("post_filter", sql("assets") + """, r AS (SELECT e.vec_id AS asset_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 11) q
- ORDER BY s DESC, e.vec_id LIMIT 100) SELECT r.asset_id, a.filename FROM r JOIN assets a ON a.id = r.asset_id WHERE contains(lower(a.filename), 'hit')""")
+@query("vector_topk_excluded", "WITH " + _RANKED.format(q=7, w="e.vec_id <> 7", k=25) + "SELECT asset_id, round(s, 6) AS similarity FROM r")
+def _(spark, sf_dir):
+    return vector.top_k_by_item(Tables(spark, sf_dir).embedded, 7, 25, exclude=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("post_filter", sql("assets") + "," + _RANKED.format(q=11, w="true", k=100) + "SELECT r.asset_id, a.filename FROM r JOIN assets a ON a.id = r.asset_id WHERE contains(lower(a.filename), 'hit')")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    ranked = vector.with_metadata(vector.top_k_by_item(t.embedded, 11, 100), t.assets, t.audio_metadata)
-    return vector.post_filter(ranked, "HIT").select("asset_id", "filename")
+    return vector.post_filter(_with_metadata(t, vector.top_k_by_item(t.embedded, 11, 100)), "HIT").select("asset_id", "filename")
+
+
+@query("item_map")
+def _(spark, sf_dir):
+    from catalume.operators.layout import layout
+
+    return layout(Tables(spark, sf_dir).embedded).select("asset_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster")
 
 
 @query("similarity_matrix", f"SELECT e.vec_id AS asset_id, q.vec_id AS query_id, round({_COS.format(a='e.embedding', b='q.embedding')}, 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0")
@@ -796,3 +817,187 @@ def _(spark, sf_dir):
     return named.select("o_orderkey", "c_name", "n_name", "qty")
 
 
+# --- archives, media, encoders --------------------------------------------------------------
+
+
+def _archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every ten documents as an archive of texts, each fifth of them in an archive inside it."""
+    import io
+    import zipfile
+
+    def build(rows):
+        outer, inner = io.BytesIO(), io.BytesIO()
+        with zipfile.ZipFile(outer, "w") as z, zipfile.ZipFile(inner, "w") as deep:
+            for i, text in zip(rows["doc_id"], rows["text"]):
+                kind = zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED
+                place, name = (deep, f"{i}.txt") if i % 5 == 0 else (z, f"a/{i}.txt")
+                place.writestr(zipfile.ZipInfo(name), text or "", kind)
+            deep.close()
+            z.writestr(zipfile.ZipInfo("Inner.ZIP"), inner.getvalue())
+        return pd.DataFrame({"path": [f"pack{rows['doc_id'].iloc[0] // 10}.zip"], "content": [outer.getvalue()]})
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.groupBy(F.floor(F.col("doc_id") / 10)).applyInPandas(build, "path string, content binary")
+
+
+_ENTRY = "CASE WHEN doc_id % 5 = 0 THEN concat('Inner.ZIP/', doc_id, '.txt') ELSE concat('a/', doc_id, '.txt') END AS zip_entry"
+
+
+@query("zip_listing", f"SELECT concat('pack', doc_id // 10, '.zip') AS zip_path, {_ENTRY}, strlen(coalesce(text, '')) AS file_size, CASE WHEN doc_id % 2 = 0 THEN 'deflate' ELSE 'store' END AS compression FROM documents")
+def _(spark, sf_dir):
+    found = archives.entries(_archives(spark, sf_dir)).where("error is null")
+    return found.select("zip_path", "zip_entry", "file_size", scalars.compression_name(F.col("method")).alias("compression"))
+
+
+@query("zip_read", f"SELECT concat('pack', doc_id // 10, '.zip') AS zip_path, {_ENTRY}, md5(coalesce(text, '')) AS md5 FROM documents")
+def _(spark, sf_dir):
+    contents = _archives(spark, sf_dir)
+    wanted = archives.entries(contents).where("error is null").select("zip_path", "zip_entry")
+    return archives.read_entries(contents, wanted).select("zip_path", "zip_entry", F.md5("data").alias("md5"))
+
+
+@query("media_probe", """SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 500 + 1 END AS INT) AS width, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id % 300 + 1 END AS INT) AS height,
+CASE WHEN doc_id % 3 = 1 THEN (n_chars * 1000) // 8000 WHEN doc_id % 3 = 2 THEN (n_chars * 1000) // 44100 END AS duration_ms, CAST(CASE WHEN doc_id % 3 = 1 THEN 8000 WHEN doc_id % 3 = 2 THEN 44100 END AS INT) AS sample_rate,
+CAST(CASE WHEN doc_id % 3 = 1 THEN 1 + doc_id % 2 WHEN doc_id % 3 = 2 THEN 1 + doc_id % 8 END AS INT) AS channels FROM documents""")
+def _(spark, sf_dir):
+    """Headers of PNG, WAV and FLAC that are made of the documents' numbers."""
+
+    @F.pandas_udf("binary")
+    def header(ids: pd.Series, sizes: pd.Series) -> pd.Series:
+        import struct
+
+        def one(i: int, n: int) -> bytes:
+            if i % 3 == 0:
+                return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", i % 500 + 1, i % 300 + 1)
+            if i % 3 == 1:
+                c = 1 + i % 2
+                return b"RIFF" + struct.pack("<I", 36 + n * c) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, c, 8000, 8000 * c, c, 8) + b"data" + struct.pack("<I", n * c) + bytes(n * c)
+            return b"fLaC" + struct.pack(">I", 34) + bytes(10) + ((44_100 << 44) | (i % 8) << 41 | 15 << 36 | n).to_bytes(8, "big") + bytes(16)
+
+        return pd.Series([one(int(i), int(n)) for i, n in zip(ids, sizes)])
+
+    rows = read(spark, sf_dir, "documents").select("doc_id", header("doc_id", "n_chars").alias("data"))
+    return rows.select("doc_id", media.probe_image("data").alias("p"), media.probe_audio("data").alias("a")).select("doc_id", "p.width", "p.height", "a.duration_ms", "a.sample_rate", "a.channels")
+
+
+@query("thumbnails", """SELECT doc_id, CAST(w AS INT) AS width, CAST(h AS INT) AS height, CAST(greatest(floor(w * s), 1) AS INT) AS thumb_width, CAST(greatest(floor(h * s), 1) AS INT) AS thumb_height
+FROM (SELECT doc_id, doc_id % 40 + 1 AS w, doc_id % 25 + 1 AS h, least(1.0::DOUBLE, 32 / CAST(greatest(doc_id % 40 + 1, doc_id % 25 + 1) AS DOUBLE)) AS s FROM documents) t""")
+def _(spark, sf_dir):
+    @F.pandas_udf("binary")
+    def picture(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: media.png_bytes(np.full((i % 25 + 1, i % 40 + 1, 4), i % 256, np.uint8)))
+
+    made = media.thumbnails(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("asset_id"), picture("doc_id").alias("data")), 32)
+    size = made.withColumn("t", media.probe_image("thumbnail_data"))
+    return size.select(F.col("asset_id").alias("doc_id"), "width", "height", F.col("t.width").alias("thumb_width"), F.col("t.height").alias("thumb_height"))
+
+
+@query("asset_types", """SELECT p_partkey, CASE WHEN e IN ('PNG', 'webp') THEN 'image' WHEN e IN ('flac', 'M4A') THEN 'audio' END AS asset_type, CASE p_partkey % 95 WHEN 0 THEN 'store' WHEN 8 THEN 'deflate' WHEN 9 THEN 'deflate64' WHEN 12 THEN 'bzip2' WHEN 14 THEN 'lzma' WHEN 93 THEN 'zstd' ELSE 'unknown' END AS compression
+FROM (SELECT p_partkey, ['PNG', 'webp', 'flac', 'M4A', 'txt'][CAST(p_partkey % 5 AS INT) + 1] AS e FROM part) t""")
+def _(spark, sf_dir):
+    e = F.element_at(F.array(*map(F.lit, ("PNG", "webp", "flac", "M4A", "txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", scalars.asset_type(e).alias("asset_type"), scalars.compression_name(F.col("p_partkey") % 95).alias("compression"))
+
+
+@query("encode_text")
+def _(spark, sf_dir):
+    """Hashed word counts as unit vectors, in full; a test holds them against brute force."""
+    from catalume.sources.encoders import embed, hashing_encoder
+
+    out = embed(read(spark, sf_dir, "documents"), "doc_id", "text", hashing_encoder(64))
+    return out.select(F.col("id").alias("doc_id"), F.array_join(F.transform("embedding", lambda x: F.round(x, 5).cast("string")), ",").alias("embedding"), "error")
+
+
+# --- further writes and functions -------------------------------------------------------------
+
+
+@query("upsert_folder", sql("source_folders") + """, n AS (SELECT DISTINCT concat('/data/', lang) AS path FROM documents WHERE lang IS NOT NULL UNION SELECT path FROM source_folders), t AS (SELECT max(id) AS top FROM source_folders)
+SELECT id, path FROM source_folders UNION ALL SELECT top + row_number() OVER (ORDER BY path), path FROM (SELECT path FROM n WHERE path NOT IN (SELECT path FROM source_folders)) f, t""")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    fresh = read(spark, sf_dir, "documents").where("lang is not null").select(F.concat(F.lit("/data/"), "lang").alias("path")).union(t.source_folders.select("path"))
+    return mutations.upsert_folder(t.source_folders.select("id", "path"), fresh)
+
+
+@query("append_errors", sql("processing_errors") + """, n AS (SELECT count(*) AS fresh FROM events WHERE event_type <> 'error'), o AS (SELECT count(*) AS stored, coalesce(max(id), 0) AS top FROM processing_errors)
+SELECT stored + fresh AS rows, stored + fresh AS ids, top + fresh AS most, fresh AS unresolved_now FROM n, o""")
+def _(spark, sf_dir):
+    errors = Tables(spark, sf_dir).processing_errors
+    failures = read(spark, sf_dir, "events").where("event_type <> 'error'").select((F.col("event_id") % 50).alias("asset_id"), F.lit("audio").alias("category"), F.col("event_type").alias("error_message"))
+    after = mutations.append_errors(errors, failures, -5)
+    return after.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.max("id").alias("most"), F.count_if((F.col("occurred_at") == -5) & F.col("resolved_at").isNull() & (F.col("retry_count") == 0)).alias("unresolved_now"))
+
+
+@query("rename_folder", sql("source_folders") + "SELECT id, CASE WHEN id = 3 THEN 'Sounds' ELSE label END AS label FROM source_folders")
+def _(spark, sf_dir):
+    return mutations.rename_folder(Tables(spark, sf_dir).source_folders, 3, "Sounds").select("id", "label")
+
+
+@query("toggle_excludes", sql("excludes") + """, k AS (SELECT source_folder_id, concat(coalesce(zip_file, ''), '|', excluded_path) AS place FROM excludes), s AS (SELECT source_folder_id, list_sort(list(place)) AS places FROM k GROUP BY source_folder_id)
+SELECT source_folder_id, array_to_string(list_sort(list_filter(places, lambda x: x <> '|fr')), ';') AS without_it, array_to_string(list_sort(list_append(places, 'new.zip|x')), ';') AS with_it FROM s""")
+def _(spark, sf_dir):
+    place = F.concat(F.coalesce("zip_file", F.lit("")), F.lit("|"), "excluded_path")
+    sets = Tables(spark, sf_dir).excludes.groupBy("source_folder_id").agg(F.collect_set(place).alias("places"))
+    text = lambda p: F.array_join(F.array_sort(mutations.toggle(F.col("places"), F.lit(p))), ";")
+    return sets.select("source_folder_id", text("|fr").alias("without_it"), text("new.zip|x").alias("with_it"))
+
+
+@query("empty_query", sql("assets") + "SELECT 0 AS shown, count(*) FILTER (asset_type = 'image') AS images, count(*) FILTER (asset_type = 'audio') AS sounds FROM assets")
+def _(spark, sf_dir):
+    shown = _page(spark, sf_dir, SearchParams("  ", extra={"empty_is_none": True})).agg(F.count("*").alias("shown"))
+    counts = search.type_counts(Tables(spark, sf_dir).assets).agg(F.sum(F.when(F.col("asset_type") == "image", F.col("n"))).alias("images"), F.sum(F.when(F.col("asset_type") == "audio", F.col("n"))).alias("sounds"))
+    return shown.crossJoin(counts)
+
+
+@query("catalogue_info", sql("assets", "source_folders") + "SELECT (SELECT count(*) FROM assets) AS assets, (SELECT CAST(sum(file_size) AS BIGINT) FROM assets) AS asset_bytes, (SELECT count(*) FROM source_folders WHERE status = 'active') AS active_folders")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return search.info(t.assets, t.source_folders)
+
+
+@query("tree_sort", _TREE + """SELECT row_number() OVER (ORDER BY dir_type = 'zip', lower(name), name) AS place, name, dir_type FROM c WHERE folder_id = 2 AND dir_type <> 'zipdir' AND parent_path = ''""")
+def _(spark, sf_dir):
+    top = tree.sorted_nodes(tree.nodes(Tables(spark, sf_dir).assets).where("folder_id = 2 and dir_type <> 'zipdir' and parent_path = ''"))
+    return _placed(top).select("place", "name", "dir_type")
+
+
+@query("prefix_search", f"WITH t AS (SELECT doc_id, {_DOC_TOKENS} AS w FROM documents) SELECT doc_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'lic'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'th'))) > 0")
+def _(spark, sf_dir):
+    return _docs_where(spark, sf_dir, lambda t: fulltext.boolean_condition(fulltext.prefix_terms("lic th"), t))
+
+
+@query("bm25_stored", _SQL["bm25_search"])
+def _(spark, sf_dir):
+    """BM25 from the stored index, which the first call for a table makes; a call after that reads the folders of three words."""
+    return fulltext.bm25_from_index(spark, _stored_index(spark, sf_dir), "metal license token").select("id", F.round("score", 6).alias("score"))
+
+
+@query("phrase_stored", _SQL["phrase_search"])
+def _(spark, sf_dir):
+    return fulltext.phrase_from_index(spark, _stored_index(spark, sf_dir), "all rights reserved").select(F.col("id").alias("doc_id"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """Where the documents' index is, under the warehouse or the shared folder; it is made once for a session and table."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _INDEXES:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{folder.rstrip('/')}/word-index-{uuid.uuid4().hex}"
+        fulltext.write_index(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path, buckets=64)
+        _INDEXES[own] = path
+    return _INDEXES[own]
+
+
+@query("small_formats", """SELECT doc_id, concat(CAST(floor(n_chars % 1000 / 1000.0::DOUBLE * 100 + 0.5) AS BIGINT), '%') AS share, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE concat('["w', doc_id, '"]') END AS warnings, ['image', 'audio', 'clap'][CAST(doc_id % 3 AS INT) + 1] AS category,
+CAST(floor(4000 + n_chars * 4096 / 1048576.0::DOUBLE / 15.0::DOUBLE * 1000) AS BIGINT) AS slow_ms, concat('sfx/', doc_id) AS rel_path, [3, 4, 5, 6] AS middle, [1, 2, 3, 4] AS head FROM documents""")
+def _(spark, sf_dir):
+    d = F.col("doc_id")
+    text = d.cast("string")
+    wave = F.sequence(F.lit(1), F.lit(8))
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", scalars.format_similarity((F.col("n_chars") % 1000) / 1000.0).alias("share"), scalars.warnings_json(F.when(d % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("w"), text)))).alias("warnings"),
+        scalars.parse_category(F.element_at(F.array(F.lit("Image"), F.lit("AUDIO"), F.lit("clap")), (d % 3 + 1).cast("int"))).alias("category"), scalars.slow_load_ms(F.col("n_chars") * 4096).alias("slow_ms"),
+        paths.relative_path(F.concat(F.lit("D:\\A\\sfx\\"), text, F.lit("\\")), F.lit("D:/A/")).alias("rel_path"), vectors.middle(wave, 4).alias("middle"), vectors.head(wave, 4).alias("head"))

@@ -1,8 +1,9 @@
-"""Folder and archive listings, and bulk reads of archive entries.
+"""Folder and archive listings, and bulk reads of files and archive entries.
 
-Files arrive as rows of Spark's binaryFile source, so listing and reading are
-distributed and any file system that Spark reads will do. An archive is opened once for
-all its rows; nested archives are opened inside it.
+Spark lists the files; their contents are opened where they lie, so that listing an archive
+reads its directory at the end and not its entries. An archive is opened once for all its
+rows; nested archives are opened inside it. What fails is a row with its error, and its
+neighbours go on.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalume.functions import paths
-from catalume.functions.scalars import asset_type, compression_name
+from catalume.functions.scalars import asset_type, compression_name, warnings_json
 
 ENTRY_SCHEMA = "zip_path string, zip_entry string, file_size bigint, method int, error string"
 
@@ -38,85 +41,135 @@ def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
     return files(spark, root).agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
 
 
-def list_entries(data: bytes, prefix: str = "") -> Iterator[tuple[str, int, int]]:
-    """(entry path, size, method) of an archive's files; archives inside it are listed in place of themselves."""
-    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+def opened(path: str) -> BinaryIO:
+    """A file that can seek, on any file system that Arrow knows by the path's scheme."""
+    fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+    return fs.open_input_file(at)
+
+
+def list_entries(data: bytes | BinaryIO, prefix: str = "") -> Iterator[tuple[str, int | None, int | None, str | None]]:
+    """(entry path, size, method, error) of an archive's files; archives inside it are listed in place of themselves.
+
+    An inner archive that cannot be read is one row with its error.
+    """
+    with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data) as archive:
         for info in archive.infolist():
             if info.is_dir():
                 continue
             name = prefix + info.filename
             if info.filename.lower().endswith(".zip"):
-                yield from list_entries(archive.read(info), name + "/")
+                try:
+                    inner = list(list_entries(archive.read(info), name + "/"))
+                except Exception as e:  # whatever a broken archive raises is this entry's
+                    inner = [(name, None, None, str(e) or type(e).__name__)]
+                yield from inner
             else:
-                yield name, info.file_size, info.compress_type
+                yield name, info.file_size, info.compress_type, None
+
 
+def _entry_rows(path: str, data: bytes | None) -> list[tuple]:
+    try:
+        return [(path, *row) for row in list_entries(opened(path) if data is None else data)]
+    except Exception as e:  # whatever a broken archive raises is this archive's
+        return [(path, None, None, None, str(e) or type(e).__name__)]
 
-def entries(contents: DataFrame) -> DataFrame:
-    """ENTRY_SCHEMA rows of archives given as (path, content); a broken archive is one row with its error."""
+
+def entries(archives: DataFrame) -> DataFrame:
+    """ENTRY_SCHEMA rows of archives given by path, or as (path, content); a broken archive, outer or inner, is one row with its error."""
+    held = "content" in archives.columns
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    rows += [(path, name, size, method, None) for name, size, method in list_entries(bytes(content))]
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
-                    rows.append((path, None, None, None, str(e)))
+            rows = [r for i, path in enumerate(batch["path"]) for r in _entry_rows(path, bytes(batch["content"].iloc[i]) if held else None)]
             yield pd.DataFrame(rows, columns=["zip_path", "zip_entry", "file_size", "method", "error"]).astype({"file_size": "Int64", "method": "Int32"})
 
-    return contents.select("path", "content").mapInPandas(scan, ENTRY_SCHEMA)
+    return archives.select("path", *["content"] * held).mapInPandas(scan, ENTRY_SCHEMA)
+
+
+def archive_paths(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all archives below root, dealt over tasks."""
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files(spark, root).where("extension = 'zip'").select("path").repartition(parts, "path")
+
+
+def read_files(wanted: DataFrame) -> DataFrame:
+    """(path, data, error) of whole files given by path: plain files as they are."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                try:
+                    with opened(path) as f:
+                        row = {"data": [f.read()], "error": [None]}
+                except Exception as e:  # the row's own failure
+                    row = {"data": [None], "error": [f"Failed to read file {path}: {e}"]}
+                yield pd.DataFrame({"path": [path]} | row)
+
+    return wanted.select("path").mapInPandas(load, "path string, data binary, error string")
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[zZ][iI][pP]").load(root).select("path", "content")
 
 
+def _in_archives(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all archives below root, with the archive's rel_path, zip_file and time."""
+    archives = files(spark, root).where("extension = 'zip'").select("path", "rel_path", F.col("filename").alias("zip_file"), "fs_modified_at")
+    return entries(archive_paths(spark, root)).withColumnRenamed("zip_path", "path").join(archives, "path")
+
+
 def listing(spark: SparkSession, root: str, folder_id: int) -> DataFrame:
     """The assets below root, in folders and in (nested) archives; other file types are dropped. Ids are left to the writer."""
     plain = files(spark, root).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
     none = F.lit(None).cast("string")
     plain = plain.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", "filename", none.alias("zip_file"), none.alias("zip_entry"), none.alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at")
-    archives = files(spark, root).where("extension = 'zip'")
-    inner = entries(read_archives(spark, root)).where("error is null").withColumn("path", F.regexp_replace("zip_path", "^file:(//)?", ""))
     name = F.element_at(F.split("zip_entry", "/"), -1)
-    inner = inner.withColumn("extension", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
-    joined = inner.join(archives.select("path", "rel_path", F.col("filename").alias("zip_file"), "fs_modified_at"), "path")
-    inside = joined.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", name.alias("filename"), "zip_file", "zip_entry", compression_name(F.col("method")).alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at")
+    inner = _in_archives(spark, root).where("error is null").withColumn("extension", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
+    inside = inner.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", name.alias("filename"), "zip_file", "zip_entry", compression_name(F.col("method")).alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at")
     return plain.unionByName(inside)
 
 
-def _read(archive: zipfile.ZipFile, entry: str, opened: dict[str, zipfile.ZipFile]) -> bytes:
+def scan_warnings(spark: SparkSession, root: str) -> DataFrame:
+    """One row: the warnings of a listing as a JSON array (null if there are none), `place: error` for each broken archive, in order."""
+    broken = _in_archives(spark, root).where("error is not null")
+    place = F.concat_ws("/", F.nullif("rel_path", F.lit("")), "zip_file", "zip_entry")
+    return broken.select(F.concat(place, F.lit(": "), "error").alias("w")).agg(F.sort_array(F.collect_list("w")).alias("w")).select(warnings_json(F.col("w")).alias("scan_warnings"))
+
+
+def _read(archive: zipfile.ZipFile, entry: str, inner: dict[str, zipfile.ZipFile]) -> bytes:
     """The bytes of an entry; each nested archive on the way is opened once."""
     low, at = entry.lower(), 0
     while (end := low.find(".zip/", at)) >= 0:
         key = entry[: end + 4]
-        if key not in opened:
-            opened[key] = zipfile.ZipFile(io.BytesIO(archive.read(entry[at : end + 4])))
-        archive, at = opened[key], end + 5
+        if key not in inner:
+            inner[key] = zipfile.ZipFile(io.BytesIO(archive.read(entry[at : end + 4])))
+        archive, at = inner[key], end + 5
     return archive.read(entry[at:])
 
 
-def read_entries(contents: DataFrame, wanted: DataFrame) -> DataFrame:
+def read_entries(contents: DataFrame | None, wanted: DataFrame) -> DataFrame:
     """(zip_path, zip_entry, data, error) of the wanted (zip_path, zip_entry) rows; what fails is an error in its row.
 
-    An archive's wanted entries are gathered beside its content, so it is opened once.
+    An archive's wanted entries are gathered beside it, so it is opened once: where it lies,
+    or, with contents (path, content), from there.
     """
     lists = wanted.groupBy("zip_path").agg(F.collect_set("zip_entry").alias("entries"))
-    joined = contents.select(F.col("path").alias("zip_path"), "content").join(lists, "zip_path")
+    held = contents is not None
+    joined = contents.select(F.col("path").alias("zip_path"), "content").join(lists, "zip_path") if held else lists.withColumn("content", F.lit(None).cast("binary"))
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content, names in zip(batch["zip_path"], batch["content"], batch["entries"]):
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
-                except (zipfile.BadZipFile, OSError) as e:
+                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)) if held else opened(path))
+                except Exception as e:  # a broken archive fails for each of its wanted entries
                     yield pd.DataFrame({"zip_path": path, "zip_entry": list(names), "data": None, "error": str(e)})
                     continue
-                opened: dict[str, zipfile.ZipFile] = {}
+                inner: dict[str, zipfile.ZipFile] = {}
                 for name in sorted(names):
                     try:
-                        row = {"data": [_read(archive, name, opened)], "error": [None]}
-                    except (KeyError, zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError) as e:
+                        row = {"data": [_read(archive, name, inner)], "error": [None]}
+                    except Exception as e:  # the entry's own failure
                         row = {"data": [None], "error": [str(e)]}
                     yield pd.DataFrame({"zip_path": [path], "zip_entry": [name]} | row)
 

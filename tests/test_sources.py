@@ -1,6 +1,7 @@
 """Listings, archives, media headers, encoders, the catalogue object and streams, on generated files."""
 
 import io
+import json
 import struct as packing
 import wave
 import zipfile
@@ -108,7 +109,9 @@ def test_catalogue(spark, folder, tmp_path):
     (folder / "Packs" / "a.png").unlink()
     (folder / "Packs" / "new.png").write_bytes(png(3, 3))
     assert {r.status: r["count"] for r in c.preview_rescan(fid).groupBy("status").count().collect()} == {"removed": 1, "added": 1, "unchanged": 4}
-    c.rescan(fid)
+    c.apply_rescan(fid)
+    with pytest.raises(LookupError):
+        c.apply_rescan(fid)
     assert c.table("assets").count() == 5 and c.table("image_metadata").count() == 0
     c.set_excludes(fid, spark.createDataFrame([(None, "Packs")], "zip_file string, excluded_path string"))
     assert c.table("assets").where("filename = 'b.wav'").first().searchable_path == "sfx"
@@ -142,3 +145,186 @@ def test_hashing_encoder_reads_all_bytes():
     same = b"abcd" * (1 << 14)
     a, b = hashing_encoder(64)([same + b"one tail", same + b"another tail, longer"])
     assert (a != b).any()
+
+
+def test_broken_inner_archives_leave_their_neighbours(spark, tmp_path):
+    """Whatever a broken archive raises, the rows beside it stay, and the folder keeps a warning."""
+    import io
+    import zipfile
+
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.wav", wav())
+    raw = bytearray(good.getvalue())
+    raw[40:60] = bytes(20)  # breaks the compressed data, not the directory
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        z.writestr("a.png", png(2, 2))
+        z.writestr("no.zip", b"PK\x05\x06 nothing")
+        z.writestr("deep/half.zip", good.getvalue()[:60])
+        z.writestr("fine.zip", good.getvalue())
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.zip").write_bytes(outer.getvalue())
+    (tmp_path / "in" / "q.zip").write_bytes(bytes(raw))
+    rows = archives.entries(archives.archive_paths(spark, str(tmp_path / "in"))).collect()
+    got = {r.zip_entry: r.error is None for r in rows if r.zip_path.endswith("p.zip")}
+    assert got == {"a.png": True, "no.zip": False, "deep/half.zip": False, "fine.zip/x.wav": True}
+    path = next(r.zip_path for r in rows if r.zip_path.endswith("q.zip"))
+    read = archives.read_entries(None, spark.createDataFrame([(path, "x.wav"), (path, "y")], "zip_path string, zip_entry string")).collect()
+    assert len(read) == 2 and all(r.error and r.data is None for r in read)
+    c = Catalogue(spark, str(tmp_path / "catalogue"))
+    c.add_folder(str(tmp_path / "in"), "In")
+    found = json.loads(c.folders().first().scan_warnings)
+    assert [w.split(":")[0] for w in found] == ["p.zip/deep/half.zip", "p.zip/no.zip"] and c.table("assets").count() == 3
+    files = archives.read_files(archives.files(spark, str(tmp_path / "in")).select("path").union(spark.createDataFrame([(str(tmp_path / "none"),)], "path string"))).collect()
+    assert sorted((r.error is None, len(r.data or b"")) for r in files)[1:] == sorted((True, len(x)) for x in (outer.getvalue(), bytes(raw))) and "Failed to read file" in next(r.error for r in files if r.error)
+    row = c.info().first()
+    assert (row.assets, row.active_folders) == (3, 1) and row.bytes > 0 and row.files > 0
+
+
+def test_audio_headers():
+    flac = b"fLaC" + packing.pack(">I", 34) + bytes(10) + ((48_000 << 44) | 1 << 41 | 15 << 36 | 96_000).to_bytes(8, "big") + bytes(16)
+    assert media.audio_properties(flac) == (2000, 48_000, 2)
+    page = lambda position, body: b"OggS\0\2" + packing.pack("<q", position) + bytes(12) + b"\1\x1e" + body
+    assert media.audio_properties(page(0, b"\x01vorbis" + bytes(4) + packing.pack("<BI", 1, 22_050)) + page(11_025, b"")) == (500, 22_050, 1)
+    assert media.audio_properties(page(0, b"OpusHead\x01" + packing.pack("<BHI", 2, 312, 44_100)) + page(48_312, b"")) == (1000, 44_100, 2)
+    frame = b"\xff\xfb\x90\xc0"  # 128 kbit/s, 44.1 kHz, one channel
+    mp3 = b"ID3\x04\0\0\0\0\0\x05" + bytes(5) + (frame + bytes(417 - 4)) * 100
+    assert media.audio_properties(mp3) == (100 * 1152 * 1000 // 44_100, 44_100, 1)
+    assert media.audio_properties(b"") is None and media.audio_properties(b"fLaC") is None and media.audio_properties(b"RIFF\0\0\0\0WAVE") is None
+
+    def failing(data):
+        raise ValueError("no")
+
+    assert media.audio_properties(b"abc", [failing, lambda d: None, lambda d: (len(d), 1, 1)]) == (3, 1, 1)
+
+
+def test_thumbnails(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    pixels = draw.integers(0, 256, (20, 30, 4), dtype=np.uint8)
+    assert (media.png_pixels(media.png_bytes(pixels)) == pixels).all()
+    flat = np.tile(np.array([10, 200, 30, 255], np.uint8), (300, 200, 1))
+    rows = [(1, media.png_bytes(flat)), (2, media.png_bytes(pixels)), (3, b"junk"), (4, None)]
+    got = {r.asset_id: r for r in media.thumbnails(spark.createDataFrame(rows, "asset_id long, data binary")).collect()}
+    small = media.png_pixels(bytes(got[1].thumbnail_data))
+    assert small.shape == (128, 85, 4) and (small == flat[0, 0]).all() and (got[1].width, got[1].height) == (200, 300)
+    assert (media.png_pixels(bytes(got[2].thumbnail_data)) == pixels).all() and got[3].error and got[4].error == "nothing to decode"
+    other = media.thumbnails(spark.createDataFrame(rows[2:3], "asset_id long, data binary"), decoders=(media.png_pixels, lambda d: pixels)).first()
+    assert other.error is None and other.width == 30
+
+
+def test_sprite_grid(spark):
+    import numpy as np
+
+    sheet = np.zeros((64, 96))
+    sheet[::8] = sheet[:, ::16] = 255
+    plain = np.full((64, 96), 7.0)
+    df = spark.createDataFrame([(sheet.ravel().tolist(), 96), (plain.ravel().tolist(), 96)], "pixels array<double>, width int")
+    got = df.select(media.sprite_grid("pixels", "width").alias("g")).select("g.*").collect()
+    assert tuple(got[0]) == (16, 8) and tuple(got[1]) == (None, None)
+
+
+def test_encoded_texts_against_brute_force(spark):
+    import hashlib
+    import math
+
+    from catalume.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.queries()["encode_text"](spark, sf).collect():
+        want = [0] * 64
+        for w in texts[r.doc_id].lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            want[h % 64] += 1 if h >> 63 else -1
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert [float(x) for x in r.embedding.split(",")] == pytest.approx([x / norm for x in want], abs=2e-5)
+
+
+def test_item_map(spark):
+    from catalume.operators.layout import layout
+
+    rows = [(k, [5.0 * (k % 3 == g) + (k % 7) / 100 for g in range(3)]) for k in range(60)] + [(99, None)]
+    got = layout(spark.createDataFrame(rows, "asset_id long, embedding array<float>"), 3).collect()
+    assert len(got) == 60 and all(len({r.cluster for r in got if r.asset_id % 3 == g}) == 1 for g in range(3)) and len({r.cluster for r in got}) == 3
+
+
+def test_processing(spark, tmp_path):
+    """One category at a time, pause and resume without loss, stop by generations, progress events."""
+    from catalume.streaming.control import Processing
+
+    for c in ("image", "audio"):
+        spark.range(40).repartition(8).write.parquet(str(tmp_path / c))
+    seen, events, hold = {"image": [], "audio": []}, [], []
+
+    def sink(category, df, k):
+        if hold:
+            hold.pop()
+            work.pause("image")
+        seen[category] += [r.id for r in df.collect()]
+
+    work = Processing(str(tmp_path / "checkpoint"), lambda c: progress.chunks(spark, str(tmp_path / c), "id long", 2), sink, events.append)
+    assert work.start("image") == "running" and work.start("audio") == "queued" and work.start("audio") == "queued"
+    assert work.progress("audio")["state"] == "queued"
+    work.wait(240)
+    assert sorted(seen["image"]) == sorted(seen["audio"]) == list(range(40))
+    assert [e["category"] for e in events] == ["image"] * 4 + ["audio"] * 4 and events[-1]["done"] == 40 and events[-1]["rate"] > 0
+    assert work.progress("image")["state"] == "done" and work.progress("clap")["state"] == "idle"
+    with pytest.raises(ValueError, match="unknown category"):
+        work.start("video")
+    seen["image"].clear()
+    assert work.start("image") == "running"
+    work.pause("image")
+    assert work.progress("image")["state"] == "paused" and work.start("audio") == "queued"
+    work.resume("image")
+    work.wait(240)
+    assert sorted(set(seen["image"])) == list(range(40)) and work.progress("image")["generation"] == 2
+    work.start("image")
+    work.stop_all()
+    before = len(seen["image"])
+    work._batch("image", 2, spark.range(5), 0)  # a late batch of an old generation
+    assert len(seen["image"]) == before and work.progress("image")["state"] == "stopped" and not work.queued
+
+
+def test_previews_expire(spark):
+    from catalume.streaming.control import Previews
+
+    now = [0.0]
+    kept = Previews(clock=lambda: now[0])
+    kept.put(1, spark.range(1))
+    kept.put(1, spark.range(2))
+    kept.put(2, spark.range(3))
+    now[0] = 1800.0
+    assert kept.take(1).count() == 2
+    with pytest.raises(LookupError, match="no pending"):
+        kept.take(1)
+    now[0] = 1801.0
+    with pytest.raises(TimeoutError, match="30 minutes"):
+        kept.take(2)
+
+
+def test_latest_wins(spark, tmp_path):
+    latest = progress.Latest(spark, "search")
+    assert latest.run(lambda: 1) == 1
+
+    def outer():
+        assert latest.run(lambda: "newer") == "newer"
+        return "older"
+
+    assert latest.run(outer) is None
+    requests = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:01"), (2, "2024-01-01 00:00:02")], "id int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r.id for r in progress.distinct_requests(requests).collect()) == [1, 2]
+    requests.coalesce(1).write.parquet(str(tmp_path / "r"))
+    stream = progress.distinct_requests(progress.chunks(spark, str(tmp_path / "r"), "id int, ts timestamp"))
+    q = stream.writeStream.format("memory").queryName("requests").outputMode("append").option("checkpointLocation", str(tmp_path / "rc")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and sorted(r.id for r in spark.table("requests").collect()) == [1, 2]
+
+
+def test_ewma_stream_waits_for_a_rate(spark, tmp_path):
+    ticks = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([0, 0, 10, 10])], "k string, i int, v double")
+    ticks.coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = progress.ewma_stream(progress.chunks(spark, str(tmp_path / "t"), "k string, i int, v double"), "k", "i", "v")
+    q = out.writeStream.format("memory").queryName("waits").outputMode("update").option("checkpointLocation", str(tmp_path / "tc")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and spark.table("waits").first().rate == 10.0
