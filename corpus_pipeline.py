@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalume.llm import decontamination, language_id, ngram_join, packing, secrets
 from catalume.llm.common import documents, table, written
-from catalume.llm.queries import BYTE_BPE, PIECES, remainder
+from catalume.llm.queries import BYTE_BPE, PIECES, WORDS, remainder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
-    return secrets.mask_secrets(docs)
+    return secrets.mask_secrets(docs, words_file=WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
