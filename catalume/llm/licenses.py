@@ -15,26 +15,46 @@ from catalume.llm import kernels as K
 #: The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of public license statements, by label. Their number bounds what is broadcast.
+#: Sentences of public licenses and of the statements that name them, by label. Their number bounds what is broadcast.
 TEMPLATES = {
+    "agpl-3": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "apache": ["Released under the Apache License", "Licensed under the Apache License"],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
+        "Released under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     ],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Released under the BSD License",
+    ],
     "cc-by-license": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "gpl-3": [
-        "This work is licensed under the GNU General Public License, version 3.",
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "gpl-2": ["This work is licensed under the GNU General Public License, version 2."],
+    "gpl-3": ["This work is licensed under the GNU General Public License, version 3."],
+    "gpl-notice": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     ],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "lgpl-3": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "mit": [
         "Released under the MIT License.",
+        "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
 }
 
 #: Share of a template's distinct words that a block must hold.
@@ -87,90 +107,163 @@ def template_frequencies(docs: DataFrame, templates: dict[str, list[str]]) -> di
     return {w: 0 for w in vocabulary} | {bytes(r.word): r.n for r in rows}
 
 
+class Entry:
+    """One template: its distinct words, how many of them a block must hold, and which ones at any rate."""
+
+    def __init__(self, label: str, text: str, containment: float) -> None:
+        words = _words(text)
+        self.label, self.words, self.width = label, frozenset(words), ceil(WINDOW * len(words))
+        self.least = ceil(containment * len(self.words) - 1e-9)
+        self.hashes = np.sort(np.array([_hash(w) for w in self.words], np.uint64))
+        self.required: frozenset[bytes] = frozenset()
+        self.rivals: list[Entry] = []
+
+
 class TemplateIndex:
-    """Templates with their words in order of global frequency, and the prefix words that any match must hold."""
+    """Templates with their words in order of global frequency, and the prefix words that any match must hold.
+
+    Two templates of different labels are alike if they share at least the threshold of the
+    shorter one's words. What tells a template apart from one alike is required of its
+    blocks. Of two alike, one inside the other, the longer one wins where it stands around
+    the words of the shorter one: some window of its own that covers the block's words of
+    the shorter one, from the first to the last, is a block of the longer one (or the block
+    itself is, where these words lie too far apart). So a statement of another license that
+    differs in one word is no match.
+    """
 
     def __init__(self, templates: dict[str, list[str]], frequency: dict[bytes, int], containment: float) -> None:
-        self.entries = []
+        self.entries = [e for label, group in templates.items() for e in (Entry(label, text, containment) for text in group) if e.words]
+        for one in self.entries:
+            for other in self.entries:
+                if one.label != other.label and len(one.words & other.words) >= containment * min(len(one.words), len(other.words)) - 1e-9:
+                    one.required |= one.words - other.words
+                    if one.words < other.words:
+                        one.rivals.append(other)
+        vocabulary = sorted({w for e in self.entries for w in e.words}, key=lambda w: (frequency.get(w, 0), w))
+        order = {w: k for k, w in enumerate(vocabulary)}
+        self.reach = max((e.width for e in self.entries), default=0)
         prefixes: dict[int, list[tuple[int, int]]] = {}
-        for label, group in templates.items():
-            for text in group:
-                tokens = sorted(set(_words(text)), key=lambda w: (frequency.get(w, 0), w))
-                if not tokens:
-                    continue
-                least = ceil(containment * len(tokens) - 1e-9)
-                for place, w in enumerate(tokens[: len(tokens) - least + 1]):
-                    prefixes.setdefault(_hash(w), []).append((len(self.entries), place))
-                self.entries.append((label, np.sort(np.array([_hash(w) for w in tokens], np.uint64)), frozenset(tokens), least, ceil(WINDOW * len(_words(text)))))
+        for number, entry in enumerate(self.entries):
+            for place, w in enumerate(sorted(entry.words, key=order.get)[: len(entry.words) - entry.least + 1]):
+                prefixes.setdefault(_hash(w), []).append((number, place))
         self.prefixes = prefixes
         self.known = np.array(sorted(prefixes), np.uint64)
+        #: The vocabulary's hashes, sorted, and the place of each in the order by frequency.
+        hashes = np.array([_hash(w) for w in vocabulary], np.uint64)
+        by_hash = np.argsort(hashes)
+        self.vocabulary, self.rank = hashes[by_hash], by_hash
+
+    @staticmethod
+    def enough(entry: Entry, have) -> bool:
+        """Whether words are those of one of the entry's blocks, its rivals left out of account."""
+        return all(w in have for w in entry.required) and sum(w in have for w in entry.words) >= entry.least
+
+    def outdone(self, entry: Entry, words: list[bytes], lo: int, hi: int) -> bool:
+        """Whether a rival stands around the entry's words in the block [lo, hi) of a text's words."""
+        if not entry.rivals:
+            return False
+        own = [i for i in range(lo, hi) if words[i] in entry.words]
+        a, b = own[0], own[-1] + 1
+        for rival in entry.rivals:
+            if b - a > rival.width:
+                if self.enough(rival, set(words[lo:hi])):
+                    return True
+            elif any(self.enough(rival, set(words[i : i + rival.width])) for i in range(max(0, b - rival.width), a + 1)):
+                return True
+        return False
 
     def match(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, block: np.ndarray, first: np.ndarray) -> list[tuple[int, str, float]]:
-        """(a word of the block, label, containment) of every template and line that meet the threshold, and of every region with such windows."""
+        """(a word of the block, label, containment) of every template and line that match, and of every region with such windows."""
         out: list[tuple[int, str, float]] = []
-        if not len(hashes):
+        if not len(hashes) or not len(self.known):
             return out
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         places: dict[tuple[int, int], int] = {}
         near: dict[int, list[int]] = {}
         for i in np.flatnonzero(self.known[at] == hashes).tolist():
-            for entry, place in self.prefixes[int(hashes[i])]:
-                key = (int(block[i]), entry)
+            for number, place in self.prefixes[int(hashes[i])]:
+                key = (int(block[i]), number)
                 places[key] = min(places.get(key, place), place)
-                near.setdefault(entry, []).append(i)
-        for (b, entry), place in places.items():
-            label, _, tokens, least, _ = self.entries[entry]
+                near.setdefault(number, []).append(i)
+        def text_of(i: int, margin: int) -> tuple[int, list[bytes]]:
+            """The words around word i, inside its text: the number of the first one, and the words."""
+            t = int(np.searchsorted(first, i, "right")) - 1
+            a, b = max(int(first[t]), i - margin), min(int(first[t + 1]), i + margin)
+            return a, [low[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())]
+
+        ranks: dict[int, np.ndarray] = {}
+        for (b, number), place in places.items():
+            entry = self.entries[number]
             lo, hi = (int(x) for x in np.searchsorted(block, (b, b + 1)))
-            # Length and position: too few words here, or too few template words from its first prefix word on.
-            if hi - lo < least or len(tokens) - place < least:
+            if hi - lo < entry.least:  # length: too few words
+                continue
+            if b not in ranks:
+                own = np.unique(hashes[lo:hi])
+                spot = np.minimum(np.searchsorted(self.vocabulary, own), len(self.vocabulary) - 1)
+                ranks[b] = np.sort(self.rank[spot[self.vocabulary[spot] == own]])
+            # Position: the line's first word of the template, in the order by frequency, stands at `place` of the template; no more
+            # can be shared than the template words from there on, nor than the line's words of the vocabulary from that one on.
+            after = len(ranks[b]) - int(np.searchsorted(ranks[b], self._rank_of(entry, place)))
+            if min(len(entry.words) - place, after) < entry.least:
                 continue
             have = {low[x:y].tobytes() for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())}
-            shared = len(tokens & have)
-            if shared >= least:
-                out.append((lo, label, shared / len(tokens)))
-        for entry, found in near.items():
-            label, known, tokens, least, width = self.entries[entry]
+            if self.enough(entry, have):
+                if entry.rivals:
+                    a, words = text_of(lo, hi - lo + 2 * self.reach)
+                    if self.outdone(entry, words, lo - a, hi - a):
+                        continue
+                out.append((lo, entry.label, len(entry.words & have) / len(entry.words)))
+        for number, found in near.items():
+            entry = self.entries[number]
             at = np.array(found)
             text = np.searchsorted(first, at, "right") - 1
-            lo, hi = np.maximum(at - width + 1, first[text]), np.minimum(at + width, first[text + 1])
+            lo, hi = np.maximum(at - entry.width + 1, first[text]), np.minimum(at + entry.width, first[text + 1])
             fresh = np.concatenate(([True], lo[1:] >= hi[:-1]))
             lo, hi = lo[fresh], hi[np.append(np.flatnonzero(fresh)[1:] - 1, len(hi) - 1)]
-            # Inside one line the line holds what any window does.
-            several = block[lo] != block[hi - 1]
-            lo, hi = lo[several], hi[several]
-            enough = K.sums(np.isin(hashes[K.ranges(lo, hi - lo)], known), np.concatenate(([0], np.cumsum(hi - lo)))) >= least
+            enough = K.sums(np.isin(hashes[K.ranges(lo, hi - lo)], entry.hashes), np.concatenate(([0], np.cumsum(hi - lo)))) >= entry.least
             for a, b in zip(lo[enough].tolist(), hi[enough].tolist()):
-                shared = _most_shared([low[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())], tokens, width)
-                if shared >= least:
-                    out.append((a, label, shared / len(tokens)))
+                c, words = text_of(a, b - a + 2 * self.reach)
+                shared = self.most_shared(words, a - c, b - c, entry)
+                if shared:
+                    out.append((a, entry.label, shared / len(entry.words)))
         return out
 
+    def _rank_of(self, entry: Entry, place: int) -> int:
+        ranks = np.sort(self.rank[np.searchsorted(self.vocabulary, entry.hashes)])
+        return int(ranks[place])
 
-def _most_shared(words: list[bytes], tokens: frozenset[bytes], width: int) -> int:
-    """The most distinct tokens in any window of `width` consecutive words."""
-    have: dict[bytes, int] = {}
-    best = 0
-    for k, w in enumerate(words):
-        if w in tokens:
-            have[w] = have.get(w, 0) + 1
-        gone = words[k - width] if k >= width else None
-        if gone in tokens:
-            have[gone] -= 1
-            if not have[gone]:
-                del have[gone]
-        best = max(best, len(have))
-    return best
+    def most_shared(self, words: list[bytes], lo: int, hi: int, entry: Entry) -> int:
+        """The most distinct words of the entry in any of its windows in [lo, hi): `width` consecutive words, fewer where the text ends."""
+        have: dict[bytes, int] = {}
+        shared = best = 0
+        for k in range(lo, hi + entry.width - 1):
+            if k < hi:
+                w = words[k]
+                have[w] = have.get(w, 0) + 1
+                shared += have[w] == 1 and w in entry.words
+            start = k - entry.width + 1
+            if start > lo:
+                gone = words[start - 1]
+                have[gone] -= 1
+                if not have[gone]:
+                    del have[gone]
+                    shared -= gone in entry.words
+            if start >= lo and shared >= max(entry.least, best + 1) and self.enough(entry, have) and not self.outdone(entry, words, start, min(k + 1, hi)):
+                best = shared
+        return best
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every whole text.
 
     A block is a line, or a window of consecutive words, over line ends, of WINDOW times the
-    template's length. It carries a template's label if it holds at least `containment` of
-    the template's distinct words; prefix words by global frequency propose, and the length
-    and position filters prune before the sets are compared, so every such block is found.
-    score is the best containment, 1 where a base phrase stands. Null or empty text has no
-    words, labels '' and score 0; repeated rows give repeated results.
+    template's length (shorter where the text ends). It carries a template's label if it holds
+    at least `containment` of the template's distinct words and all that tell it apart from
+    templates alike (see TemplateIndex); prefix words by global frequency propose, and the
+    length and position filters prune before the sets are compared, so every such block is
+    found. score is the best containment, 1 where a base phrase stands. Null or empty text
+    has no words, labels '' and score 0; very long texts are scanned whole; repeated rows give
+    repeated results, an empty table none; other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
