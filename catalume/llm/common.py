@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["documents", "salted_join", "shared_path", "table", "written"]
+__all__ = ["documents", "release", "salted_join", "shared_path", "table", "written"]
 
 #: Rows of one key from which a salted join deals the key over several tasks.
 SALT_ROWS = 512
@@ -40,7 +40,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name in the shared folder; `release` deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that operators have written, by session, oldest first.
+_LEFT: dict[str, list[str]] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,13 +57,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table that `written` gave; for steps of a loop that nothing reads any more."""
-    spark = df.sparkSession
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Deletes what operators have written in this session, but for the folders that `keep` reads.
+
+    To be called when a result has been stored: DataFrames that operators gave read these
+    folders until then.
+    """
+    kept = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
+    mine = _LEFT.get(spark.sparkContext.applicationId, [])
+    stay = [p for p in mine if any(k.endswith(p.rsplit("/", 1)[1]) for k in kept)]
+    for path in mine:
+        if path not in stay:
+            _delete(spark, path)
+    _LEFT[spark.sparkContext.applicationId] = stay
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, spread: list[str], how: str = "inner") -> DataFrame:

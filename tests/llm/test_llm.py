@@ -178,6 +178,26 @@ def test_components_with_a_hot_node(spark, monkeypatch):
     assert got == {k: 1 for k in range(2, 60)} | {k: 100 for k in range(101, 141)} | {201: 200}
 
 
+def test_ngram_join_of_null_ids(spark):
+    """Rows with null doc_id are alone, with their shingles counted, and keep_one keeps them all."""
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.class_id or 0, r.n_links) for r in ngram_join.near_copies(df).collect())
+    assert got == [(0, 2, 0, 0), (0, 2, 0, 0), (1, 2, 1, 1), (2, 2, 1, 1), (3, 0, 3, 0)]
+    assert sorted(r.doc_id or 0 for r in ngram_join.keep_one(df).collect()) == [0, 0, 1, 3]
+
+
+def test_release(spark):
+    from catalume.llm.common import dropped, release, written
+
+    a, b = written(spark.range(3).toDF("x"), "a"), written(spark.range(4).toDF("x"), "b")
+    release(spark, b)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="(?i)not.exist|not found|no such"):
+        a.count()
+    dropped(b)
+    release(spark)
+
+
 def test_keep_one(docs, none, rows):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -470,6 +490,24 @@ def test_token_counts(docs, none, rows, reference_tokenizer, monkeypatch, long_t
     assert sum(int(enc.lengths(data[a:b], np.array([0, b - a]))[0]) for a, b in parts) == len(reference_tokenizer.encode(long_text).ids)
 
 
+def test_texts_over_a_slice(spark, reference_tokenizer):
+    """Texts longer than a slice are cut where no token can span, and counted and packed whole."""
+    draw = np.random.default_rng(11)
+    pool = np.array(["word", "Thing,", "naïve", "  two", "\n", "x" * 40, "12.5", "it's", "été;"])
+    long = " ".join(draw.choice(pool, 420_000))
+    assert len(long.encode()) > K.SLICE_BYTES
+    solid = "ab" * (K.SLICE_BYTES // 2 + 5)  # no place to cut
+    texts = {1: "short", 2: long, 3: "after", 4: solid}
+    ids = {i: reference_tokenizer.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, Q.BYTE_BPE).collect()} == {i: len(x) for i, x in ids.items()}
+    got = {i: [] for i in texts}
+    for p in packing.pack(df, Q.BYTE_BPE).collect():
+        got[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4")))
+    for i, parts in got.items():
+        assert np.concatenate([x for _, x in sorted(parts, key=lambda p: p[0])]).tolist() == [*ids[i], 0]
+
+
 @pytest.mark.parametrize("length", [1024, 16])
 def test_packing(docs, none, rows, reference_tokenizer, length):
     ids = {r[0]: [*reference_tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in rows}
@@ -858,6 +896,36 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(long[1], model.forward_logs(junk[5000:], np.array([0, 80])))
 
 
+def test_language_id_against_brute_force(spark, docs, rows):
+    """Language and score of each text from a plain sum over all segmentations of its words."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(df, Q.PIECES, 20)
+    pieces = language_id.vocabulary(Q.PIECES)
+    flat, at = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+    place = np.searchsorted(model.known, K.span_hashes(K.prefix_hashes(flat), at[:-1], at[1:]))
+    logs = dict(zip(pieces, np.log(model.probability[place])))
+    longest = max(map(len, pieces))
+
+    def word_logs(word):
+        word = "▁".encode() + word
+        sums = [np.zeros(len(model.languages))]
+        for end in range(1, len(word) + 1):
+            terms = [sums[end - n] + logs[word[end - n : end]] for n in range(1, min(end, longest) + 1) if word[end - n : end] in logs]
+            sums.append(np.logaddexp.reduce(terms, 0))
+        return sums[-1]
+
+    texts = {r[0]: r[1] for r in rows if r[0] != 12} | {r.doc_id: r.text for r in df.where("n_chars < 900").collect()[:25]}
+    frame = spark.createDataFrame([(i, t, "zz") for i, t in texts.items()], "doc_id long, text string, lang_pred string")
+    got = {r.doc_id: r for r in language_id.predict(frame, model).collect()}
+    for i, t in texts.items():
+        if t is None or not any(map(str.isalpha, t)):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = model.prior + sum(word_logs(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t))
+        p = np.exp(total - np.logaddexp.reduce(total))
+        assert got[i].score == pytest.approx(p.max(), rel=1e-6) and got[i].lang_pred == model.languages[int(p.argmax())], i
+
+
 def test_language_vocabulary_is_whole():
     import sentencepiece
 
@@ -907,3 +975,21 @@ def test_pipeline(spark, real):
     assert {p.doc_id for p in pieces} == set(ids)
     assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) for p in pieces)
     assert sum(p.length for p in pieces) == sum(map(len, ids.values()))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path, real):
+    """Nulls in any column, repeated rows, empty texts and an empty table go through all stages."""
+    import corpus_pipeline
+
+    long = " ".join(f"mot{k}" for k in range(60))
+    odd = [(None, long, "fr", None, None), (None, long, None, "s", 1), (900_001, None, "fr", "s", 1), (900_002, "", "fr", "s", 1), (900_003, long + " fin", "fr", "s", 1), (900_003, long + " fin", "fr", "s", 1), (900_004, 'pwd = "k9#Lq2!xV7@mZ4" ' + long[::-1], "fr", "s", 1)]
+    docs = real.limit(40).union(spark.createDataFrame(odd, real.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {p.doc_id for p in pieces}
+    assert None in kept and 900_003 in kept and not {900_001, 900_002} & kept
+    assert sum(p.doc_tokens for p in pieces if p.doc_id == 900_003 and p.start == 0) == next(p.doc_tokens for p in pieces if p.doc_id == 900_003)
+    real.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "empty" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
