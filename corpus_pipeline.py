@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalume.llm import decontamination, language_id, ngram_join, packing, secrets
-from catalume.llm.common import documents, table, written
+from catalume.llm.common import documents, release, table, written
 from catalume.llm.queries import BYTE_BPE, PIECES, WORDS, remainder
 
 
@@ -41,10 +41,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result but the last written to the shared folder and read again."""
+    """The stages over documents, each result but the last written to the shared folder and read again.
+
+    What a stage has left in the shared folder goes when its result is written. Rows with null
+    or empty text go with the first stage, as their language cannot be told; rows with null
+    doc_id are never copies of each other and stay, and rows that repeat a doc_id count as
+    copies. Columns beyond those of documents travel along to the last stage. An empty table
+    gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            release(spark, docs)
     return docs
