@@ -20,13 +20,14 @@ _ACCENTED, _PLAIN = _fold_table()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}", "")), _ACCENTED, _PLAIN)
+    """Lower case without diacritics; plain ASCII texts have none to look for."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(F.lower(F.regexp_replace(text, r"\p{Mn}", "")), _ACCENTED, _PLAIN))
 
 
 def word_tokens(text: Column) -> Column:
     """Runs of letters and digits of the folded text."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def fold_literal(text: str) -> str:

@@ -37,7 +37,7 @@ def bm25(texts: DataFrame, query: str, column: str = "text", id_column: str = "i
     tokens = texts.select(F.col(id_column).alias("id"), word_tokens(F.col(column)).alias("tokens"))
 
     def times(word: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == word))
+        return F.size("tokens") - F.size(F.array_remove("tokens", word))
 
     counted = tokens.select("id", F.size("tokens").alias("length"), *[times(w).alias(f"tf{k}") for k, w in enumerate(terms)])
     return _scored(counted, len(terms), k1, b)
@@ -53,8 +53,8 @@ def bm25_columns(texts: DataFrame, query: str, weights: dict[str, float], id_col
     tokens = texts.select(F.col(id_column).alias("id"), *each)
 
     def times(n: int, word: str) -> Column:
-        same = (lambda t: t.startswith(word)) if n == len(terms) - 1 else (lambda t: t == word)
-        return sum((F.size(F.filter(f"__t{k}", same)) * float(w) for k, w in enumerate(weights.values())), F.lit(0.0))
+        own = (lambda c: F.size(F.filter(c, lambda t: t.startswith(word)))) if n == len(terms) - 1 else (lambda c: F.size(c) - F.size(F.array_remove(c, word)))
+        return sum((own(f"__t{k}") * float(w) for k, w in enumerate(weights.values())), F.lit(0.0))
 
     length = sum((F.size(f"__t{k}") for k in range(len(weights))), F.lit(0))
     counted = tokens.select("id", length.alias("length"), *[times(n, w).alias(f"tf{n}") for n, w in enumerate(terms)])
