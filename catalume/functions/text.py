@@ -73,16 +73,21 @@ def match_text(text: str, columns: dict[str, Column], target: str = "anywhere",
     if not words:
         return F.lit(False)
 
-    def where(k: int) -> list[Column]:
+    def where(k: int, from_: dict[str, Column]) -> list[Column]:
         held = target != "anywhere" and (k == 0 or not compat)
-        return [columns[target]] if held else list(columns.values())
+        return [from_[target]] if held else list(from_.values())
 
-    by_word = all_of([any_of([has_word(word_tokens(c), fold_literal(w), k == len(words) - 1) for c in where(k)]) for k, w in enumerate(words)])
+    def all_words(s: Column) -> Column:
+        own = {name: s[name] for name in columns}
+        return all_of([any_of([has_word(c, fold_literal(w), k == len(words) - 1) for c in where(k, own)]) for k, w in enumerate(words)])
+
+    # The array of one struct binds the tokens of each column, so that they are made once for all words.
+    by_word = F.exists(F.array(F.struct(*[word_tokens(c).alias(name) for name, c in columns.items()])), all_words)
     if len(trimmed) < 3:
         return by_word
     parts = trimmed.lower().split() if compat else [w for w in "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in trimmed.lower()).split()]
     terms = [(k, p) for k, p in enumerate(parts) if len(p) >= 3 or not compat]
     if not terms:
         return by_word
-    by_substring = all_of([any_of([F.contains(F.lower(c), F.lit(p)) for c in where(k)]) for k, p in terms])
+    by_substring = all_of([any_of([F.contains(F.lower(c), F.lit(p)) for c in where(k, columns)]) for k, p in terms])
     return by_word | by_substring

@@ -31,15 +31,17 @@ def trigram_index(texts: DataFrame, columns: list[str], id_column: str = "id") -
 def bm25(texts: DataFrame, query: str, column: str = "text", id_column: str = "id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the texts that hold any query word. Only the query's words are counted; nothing but one row of statistics meets every text.
 
+    A generator of one row a text binds its tokens, so that no filter on the counts is pushed
+    below them and makes the tokens anew.
+
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
     terms = list(dict.fromkeys(literal_tokens(query)))
-    tokens = texts.select(F.col(id_column).alias("id"), word_tokens(F.col(column)).alias("tokens"))
 
-    def times(word: str) -> Column:
-        return F.size("tokens") - F.size(F.array_remove("tokens", word))
+    def count(t: Column) -> Column:
+        return F.struct(F.size(t).alias("length"), *[(F.size(t) - F.size(F.array_remove(t, w))).alias(f"tf{k}") for k, w in enumerate(terms)])
 
-    counted = tokens.select("id", F.size("tokens").alias("length"), *[times(w).alias(f"tf{k}") for k, w in enumerate(terms)])
+    counted = texts.select(F.col(id_column).alias("id"), F.inline(F.transform(F.array(word_tokens(F.col(column))), count)))
     return _scored(counted, len(terms), k1, b)
 
 
@@ -49,15 +51,17 @@ def bm25_columns(texts: DataFrame, query: str, weights: dict[str, float], id_col
     The last word is a prefix, as in the search. Texts without any of the words are left out.
     """
     terms = list(dict.fromkeys(literal_tokens(query)))
-    each = [word_tokens(F.col(c)).alias(f"__t{k}") for k, c in enumerate(weights)]
-    tokens = texts.select(F.col(id_column).alias("id"), *each)
+    each = F.struct(*[word_tokens(F.col(c)).alias(f"t{k}") for k, c in enumerate(weights)])
+
+    def times(s: Column, n: int, word: str) -> Column:
+        own = (lambda t: F.size(F.filter(t, lambda x: x.startswith(word)))) if n == len(terms) - 1 else (lambda t: F.size(t) - F.size(F.array_remove(t, word)))
+        return sum((own(s[f"t{k}"]) * float(w) for k, w in enumerate(weights.values())), F.lit(0.0))
 
-    def times(n: int, word: str) -> Column:
-        own = (lambda c: F.size(F.filter(c, lambda t: t.startswith(word)))) if n == len(terms) - 1 else (lambda c: F.size(c) - F.size(F.array_remove(c, word)))
-        return sum((own(f"__t{k}") * float(w) for k, w in enumerate(weights.values())), F.lit(0.0))
+    def count(s: Column) -> Column:
+        length = sum((F.size(s[f"t{k}"]) for k in range(len(weights))), F.lit(0))
+        return F.struct(length.alias("length"), *[times(s, n, w).alias(f"tf{n}") for n, w in enumerate(terms)])
 
-    length = sum((F.size(f"__t{k}") for k in range(len(weights))), F.lit(0))
-    counted = tokens.select("id", length.alias("length"), *[times(n, w).alias(f"tf{n}") for n, w in enumerate(terms)])
+    counted = texts.select(F.col(id_column).alias("id"), F.inline(F.transform(F.array(each), count)))
     return _scored(counted, len(terms), k1, b)
 
 

@@ -230,7 +230,8 @@ def _(spark, sf_dir):
 
 
 def _docs_where(spark, sf_dir, condition) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", word_tokens(F.col("text")).alias("tokens"))
+    # The generator binds the tokens, so that a condition of several words makes them once.
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(word_tokens(F.col("text")))).alias("tokens"))
     return docs.where(condition(F.col("tokens"))).select("doc_id")
 
 
