@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 _NAMED = """SELECT *,
@@ -46,6 +48,24 @@ UNION ALL SELECT id + 1000000, folder_id, rel_path, concat('new_', filename), zi
 _TABLES = ("documents", "labels", "events", "embeddings", "part", "orders", "lineitem", "pages", "conversations", "benchmark", "customer", "nation", "region", "supplier")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or the checkpoint folder that the session was given.
+
+    Without either a cluster has no safe place, which is an error; one process on one machine,
+    as in tests, gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,19 +97,43 @@ def tick_delta(ticks: DataFrame, key: str, order: list[str], value: str) -> Data
     return ticks.withColumn("delta", F.greatest(F.lit(0).cast("double"), F.col(value) - F.coalesce(before, F.lit(0.0))))
 
 
+def _folded(values: np.ndarray, alpha: float) -> tuple[int, float, float, float]:
+    """What a run of ticks does to a rate: (ticks, factor of a rate before, addition to it, the rate from 0 on)."""
+    n, first = len(values), int(np.argmax(values != 0))
+    fade = (1 - alpha) ** np.arange(n - 1, -1, -1.0)
+    return n, (1 - alpha) ** n, float(alpha * (values * fade).sum()), float(values[first] * fade[first] + alpha * (values[first + 1 :] * fade[first + 1 :]).sum())
+
+
 def ewma(ticks: DataFrame, key: str, order: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
-    """(key, n, rate): an exponential moving average in tick order, seeded by the first value that is not 0.
+    """(key, n, rate): an exponential moving average in tick order, seeded by the first value that is not 0; null is 0.
 
-    The rate stays 0 until a value is not 0, and that value becomes the rate. The fold is
-    order-dependent. It is evaluated in closed form as a weighted sum by rank from the end,
-    so a key's ticks are aggregated and never gathered into one array.
+    The rate stays 0 until a value is not 0, and that value becomes the rate. Ticks are dealt
+    by ranges of key and order; each part of a key's ticks is folded to four numbers, and a
+    key's parts, no more than there are tasks, are combined in order.
     """
-    spec = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    started = F.sum(F.when(F.col(value) != 0, 1).otherwise(0)).over(upto)
-    ranked = ticks.select(key, F.col(value).alias("__v"), F.row_number().over(spec).alias("__r"), started.alias("__s"))
-    fade = F.pow(F.lit(1 - alpha), F.col("__r") - 1)
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("__v") * F.when((F.col("__s") == 1) & (F.col("__v") != 0), fade).otherwise(alpha * fade)).alias("rate"))
+    kind = ticks.schema[key].dataType.simpleString()
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, runs = TaskContext.get().partitionId(), []
+        for frame in frames:
+            keys, values = frame[key].astype(object).where(frame[key].notna(), None).to_numpy(), frame["__v"].to_numpy(float)
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo < hi:
+                    n, factor, plus, fresh = _folded(values[lo:hi], alpha)
+                    if runs and runs[-1][0] == keys[lo]:
+                        _, m, f, p, z = runs.pop()
+                        n, factor, plus, fresh = n + m, factor * f, p * factor + plus, (z * factor + plus if z else fresh)
+                    runs.append((keys[lo], n, factor, plus, fresh))
+            yield from ()
+        if runs:
+            yield pd.DataFrame(runs, columns=[key, "n", "factor", "plus", "fresh"]).assign(part=part)
+
+    dealt = ticks.select(key, *order, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v")).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    parts = dealt.select(key, "__v").mapInPandas(fold, f"{key} {kind}, n bigint, factor double, plus double, fresh double, part int")
+    own = parts.groupBy(key).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "factor", "plus", "fresh"))).alias("__p"))
+    step = lambda r, p: F.when(r == 0, p["fresh"]).otherwise(r * p["factor"] + p["plus"])
+    return own.select(key, "n", F.aggregate("__p", F.lit(0.0), step).alias("rate"))
 
 
 def eta_seconds(total: Column, processed: Column, rate: Column, running: Column) -> Column:

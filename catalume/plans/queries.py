@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.adapters import read, sql, view
+from catalume.adapters import read, shared_folder, sql, view
 from catalume.functions import paths, scalars, vectors
 from catalume.functions.text import word_tokens
 from catalume.operators import diff, duplicates, fulltext, mutations, search, tree, vector, work
@@ -982,11 +982,10 @@ _INDEXES: dict[tuple[str, str], str] = {}
 
 
 def _stored_index(spark: SparkSession, sf_dir: str) -> str:
-    """Where the documents' index is, under the warehouse or the shared folder; it is made once for a session and table."""
+    """Where the documents' index is in the shared folder; it is made once for a session and table."""
     own = (spark.sparkContext.applicationId, sf_dir)
     if own not in _INDEXES:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder.rstrip('/')}/word-index-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark).rstrip('/')}/word-index-{uuid.uuid4().hex}"
         fulltext.write_index(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path, buckets=64)
         _INDEXES[own] = path
     return _INDEXES[own]

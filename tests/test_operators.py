@@ -106,6 +106,27 @@ def test_hybrid_reranks_text_hits_alone(spark):
     assert [r.id for r in vector.hybrid(text, vectors_, 2, 9).collect()] == [3, 1] and [r.id for r in vector.hybrid(text, vectors_, 2).collect()] == [1, 2]
 
 
+def test_ewma_over_many_parts(spark):
+    """A key whose ticks lie in many tasks has the rate of the plain fold."""
+    import random
+
+    draw = random.Random(2)
+    rows = [(k, i, None if draw.random() < 0.05 else float(draw.choice([0, 0, 3, 8]))) for k in ("a", "b", None) for i in range(400)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r.k: (r.n, r.rate) for r in work.ewma(spark.createDataFrame(rows, "k string, i int, v double"), "k", ["i"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for k in ("a", "b", None):
+        rate = 0.0
+        for _, _, v in [r for r in rows if r[0] == k]:
+            rate = (v or 0.0) if rate == 0 else 0.9 * rate + 0.1 * (v or 0.0)
+        assert got[k] == (400, pytest.approx(rate))
+
+
 def test_rates_follow_the_reference(spark):
     ticks = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([0, 0, 10, 10])] + [("z", 0, 0.0)], "k string, i int, v double")
     assert {r.k: r.rate for r in work.ewma(ticks, "k", ["i"], "v").collect()} == {"k": pytest.approx(10.0), "z": 0.0}
