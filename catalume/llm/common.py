@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["documents", "release", "salted_join", "shared_path", "table", "written"]
+from catalume.adapters import shared_folder
+
+__all__ = ["documents", "left", "release", "salted_join", "shared_path", "table", "written"]
 
 #: Rows of one key from which a salted join deals the key over several tasks.
 SALT_ROWS = 512
@@ -23,22 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or the checkpoint folder that the session was given; without one there is no safe place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    have = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    # One process on one machine, as in tests and benchmarks: its warehouse is as shared as it needs.
-    folder = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/.checkpoints"
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder's name in the shared folder; `release` deletes it."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,16 +54,21 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def release(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Deletes what operators have written in this session, but for the folders that `keep` reads.
+def left(spark: SparkSession) -> int:
+    """How many folders operators have written in this session."""
+    return len(_LEFT.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: DataFrame | None = None, since: int = 0) -> None:
+    """Deletes what operators have written in this session (since so many folders), but for the folders that `keep` reads.
 
     To be called when a result has been stored: DataFrames that operators gave read these
     folders until then.
     """
     kept = [f.rsplit("/", 1)[0] for f in keep.inputFiles()] if keep is not None else []
     mine = _LEFT.get(spark.sparkContext.applicationId, [])
-    stay = [p for p in mine if any(k.endswith(p.rsplit("/", 1)[1]) for k in kept)]
-    for path in mine:
+    stay = mine[:since] + [p for p in mine[since:] if any(k.endswith(p.rsplit("/", 1)[1]) for k in kept)]
+    for path in mine[since:]:
         if path not in stay:
             _delete(spark, path)
     _LEFT[spark.sparkContext.applicationId] = stay

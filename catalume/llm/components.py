@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from catalume.llm.common import dropped, salted_join, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
     """Large star: u's larger neighbours point to u's least neighbour. Small star: its smaller ones and itself do.
 
     The least neighbour is aggregated before the shuffle, and a node of very many edges
-    meets it in several tasks.
+    meets it in several tasks. Also gives the table of least neighbours that the result reads.
     """
     own = edges.union(edges.select("v", "u").toDF("u", "v")) if large else edges
     least = own.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
@@ -22,7 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.toDF("u", "v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     edges, before = written(edges, "edges"), None
     while True:
-        middle = written(_star(edges, True), "edges")
-        after = written(_star(middle, False), "edges")
+        step, first = _star(edges, True)
+        middle = written(step, "edges")
+        step, second = _star(middle, False)
+        after = written(step, "edges")
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for old in (edges, middle):
+        for old in (edges, middle, first, second):
             dropped(old)
         edges = after
         if now == before:

@@ -15,8 +15,9 @@ from catalume.llm.chunk_tokens import safe_parts, tokenizer
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
-    One pass without a shuffle; texts go to the tokeniser in slices of equal bytes, and a
-    text longer than a slice in parts cut where no token can span. Null is the empty text
+    One pass without a shuffle; Spark bounds an Arrow batch in rows and in bytes, inside it
+    texts go to the tokeniser in slices of equal bytes, and a text longer than a slice in
+    parts cut where no token can span. Null is the empty text
     (0 bytes, 0 tokens). Repeated rows give repeated results, an empty table none; other
     columns are ignored.
     """
