@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from catalume.llm import decontamination, language_id, ngram_join, packing, secrets
-from catalume.llm.common import documents, release, table, written
+from catalume.llm.common import documents, left, release, table, written
 from catalume.llm.queries import BYTE_BPE, PIECES, WORDS, remainder
 
 
@@ -49,10 +49,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies. Columns beyond those of documents travel along to the last stage. An empty table
     gives no rows.
     """
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), left(spark)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
-            release(spark, docs)
+            release(spark, docs, before)
     return docs
