@@ -818,6 +818,41 @@ def _(spark, sf_dir):
     return named.select("o_orderkey", "c_name", "n_name", "qty")
 
 
+def _streamed(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> str:
+    """Runs a plan over the events as a stream of chunks to its end; the folder of its micro-batches, each under its number, so that one done twice counts once."""
+    out, checkpoint = (f"{shared_folder(spark).rstrip('/')}/{name}-{k}-{uuid.uuid4().hex}" for k in ("out", "checkpoint"))
+    fields = read(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    q = stream.write_batches(plan(source), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"), checkpoint, mode=mode)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return out
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
+def _(spark, sf_dir):
+    """The events as micro-batches into a table: bounded chunks, a sink that can be repeated, a checkpoint."""
+    out = _streamed(spark, sf_dir, "ingest", lambda s: s.select("event_id", "user_id", "event_type"))
+    return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(f"{out}/batch=*")
+
+
+@query("stream_ewma", _SQL["ewma_rate"])
+def _(spark, sf_dir):
+    """The moving average as the state of a stream; a key's last row is its rate at the end."""
+    ticks = lambda s: s.withColumn("v", F.when((F.col("event_id") % 3 == 0) | (F.col("value") < 60), 0.0).otherwise(F.col("value").cast("double")))
+    ordered = lambda s: ticks(s).withColumn("seq", F.concat(F.lpad(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), 20, "0"), F.lpad(F.col("event_id").cast("string"), 20, "0"))).select("user_id", "seq", "v")
+    out = _streamed(spark, sf_dir, "ewma", lambda s: stream.ewma_stream(ordered(s), "user_id", "seq", "v"), "update")
+    last = spark.read.schema("user_id bigint, n bigint, rate double").parquet(f"{out}/batch=*").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("rate", "n").alias("rate"))
+    return last.select("user_id", "n", F.round("rate", 6).alias("rate"))
+
+
+@query("folder_scan", "SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS filename, 'parquet' AS extension, '' AS rel_path, true AS has_bytes")
+def _(spark, sf_dir):
+    """The files of the tables' folder itself."""
+    return archives.files(spark, sf_dir).select("filename", "extension", "rel_path", (F.col("file_size") > 0).alias("has_bytes"))
+
+
 # --- archives, media, encoders --------------------------------------------------------------
 
 

@@ -16,9 +16,9 @@ def chunks(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 3
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Hands each micro-batch to `sink`; a restart from the checkpoint goes on after the last finished batch."""
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+def write_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Hands each micro-batch to `sink` (states that change take mode "update"); a restart from the checkpoint goes on after the last finished batch."""
+    writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
