@@ -76,19 +76,40 @@ def _scored(counted: DataFrame, terms: int, k1: float, b: float) -> DataFrame:
     return some.crossJoin(F.broadcast(stats)).select("id", score.alias("score"))
 
 
+def _index_rows(texts: DataFrame, column: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (token, id, length, places) and lengths (id, length) of the texts."""
+    tokens = texts.select(F.col(id_column).alias("id"), F.explode(F.array(word_tokens(F.col(column)))).alias("t"))
+    counted = tokens.select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
+    postings = counted.groupBy("token", "id", "length").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return postings.select("token", "id", "length", "places"), tokens.select("id", F.size("t").alias("length"))
+
+
+def _write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int) -> None:
+    # A common token's postings lie in several files of its folder, so none grows with the corpus.
+    dealt = postings.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
+    written = lengths.sparkSession.read.schema("id bigint, length int").parquet(f"{path}/lengths")
+    written.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
+
+
 def write_index(texts: DataFrame, path: str, column: str = "text", id_column: str = "id", buckets: int = 256) -> None:
-    """The stored full-text index of a column: postings (token, id, length, places) dealt into folders by a hash of the token, and one row of statistics.
+    """The stored full-text index of a column: postings (token, id, length, places) dealt into folders by a hash of the token, the texts' lengths, and one row of statistics.
 
     A search reads only the folders of its words. It is made once for many searches; a new
     path for a new version.
     """
-    tokens = texts.select(F.col(id_column).alias("id"), word_tokens(F.col(column)).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
-    postings = counted.groupBy("token", "id", "length").agg(F.array_sort(F.collect_list("pos")).alias("places")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-    # A common token's postings lie in several files of its folder, so none grows with the corpus.
-    dealt = postings.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "token", "id")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{path}/stats")
+    _write_index(*_index_rows(texts, column, id_column), path, buckets)
+
+
+def refresh_index(spark: SparkSession, path: str, new_path: str, changed: DataFrame, texts: DataFrame, column: str = "text", id_column: str = "id") -> None:
+    """The index at a new path after changes: the `changed` ids (column id) leave it, and the texts come in; deleted ids have no text."""
+    gone = changed.select(F.col("id")).union(texts.select(F.col(id_column))).distinct()
+    stay = lambda schema, name: spark.read.schema(schema).parquet(f"{path}/{name}").join(gone, "id", "left_anti")
+    postings, lengths = _index_rows(texts, column, id_column)
+    old = stay("token string, id bigint, length int, places array<int>", "postings").select("token", "id", "length", "places")
+    buckets = spark.read.parquet(f"{path}/stats").first()["buckets"]
+    _write_index(old.union(postings), stay("id bigint, length int", "lengths").select("id", "length").union(lengths), new_path, buckets)
 
 
 def _postings(spark: SparkSession, path: str, terms: list[str]) -> tuple[DataFrame, DataFrame]:

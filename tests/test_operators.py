@@ -178,6 +178,10 @@ def test_stored_index(spark, tmp_path):
         want = {r.id: pytest.approx(r.score) for r in fulltext.bm25(texts, q).collect()}
         assert {r.id: r.score for r in fulltext.bm25_from_index(spark, path, q).collect()} == want
     assert sorted(r.id for r in fulltext.phrase_from_index(spark, path, "all rights reserved").collect()) == [2, 3]
+    new = str(tmp_path / "next")
+    fulltext.refresh_index(spark, path, new, spark.createDataFrame([(2,), (5,)], "id long"), spark.createDataFrame([(5, "all metal"), (6, "metal metal here")], "id long, text string"))
+    after = spark.createDataFrame([(1, "metal hit metal"), (3, "All Rights, reserved!"), (4, None), (5, "all metal"), (6, "metal metal here")], "id long, text string")
+    assert {r.id: r.score for r in fulltext.bm25_from_index(spark, new, "all metal").collect()} == {r.id: pytest.approx(r.score) for r in fulltext.bm25(after, "all metal").collect()}
     assert [r.id for r in fulltext.phrase_from_index(spark, path, "metal hit metal").collect()] == [1] and fulltext.bm25_from_index(spark, path, "--").count() == 0
 
 
