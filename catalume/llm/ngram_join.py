@@ -21,8 +21,10 @@ RECALL = 0.998
 #: Bands that a choice of rows may take by itself; where one row needs more, it gets them.
 MAX_BANDS = 32
 #: Documents, and shingles, that a block holds at about most; a verification task takes a pair of blocks.
-BLOCK = 256
-BLOCK_SHINGLES = 1 << 18
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 19
+#: Tasks over which the list of a block's partners is dealt.
+SALTS = 8
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
@@ -154,8 +156,8 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
     rep_id is the least doc_id with the same set of n-word shingles, class_id the least one
     reachable over links, n_links the number of other documents with a Jaccard similarity
     of at least `similarity`. Equal sets are one member, counted. A member's home is its most
-    common band hash; homes are dealt into blocks of bounded rows and shingles, and two
-    blocks meet in one task if any band hash has members in both. There all pairs are
+    common band hash; homes, small ones pooled, are dealt into blocks of bounded rows and
+    shingles, and two blocks meet in one task if any band hash has members in both. There all pairs are
     verified on their full shingle sets, so every pair of band-mates is, each once; only
     each member's number of links and local root leave the task.
 
@@ -169,11 +171,18 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
     key = ["s1", "s2", "n_shingles"]
     reps = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "representatives")
     banded = reps.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1"), "bands")
-    mates = written(salted_join(banded.select("rep", "band"), shared, ["band"], "n", ["rep"]), "band-mates")
-    home = mates.groupBy("rep").agg(F.max(F.struct("n", "band", "size")).alias("h"))
-    parts = F.greatest(F.ceil(F.col("h.n") / BLOCK), F.ceil(F.col("h.size") / BLOCK_SHINGLES))
-    home = written(home.select("rep", F.xxhash64("h.band", F.pmod(F.xxhash64("rep"), parts)).alias("block")), "homes")
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"), "bands")
+    mates = written(salted_join(banded, shared, ["band"], "n", ["rep"]), "band-mates")
+    home = mates.groupBy("rep").agg(F.max(F.struct("n", "band", "least")).alias("h"), F.first("n_shingles").alias("w"))
+    home = written(home.select("rep", "h.band", "h.least", "w"), "homes")
+    # Small homes are pooled with the home of their band's least member, so that a large group lies in few blocks.
+    sizes = home.groupBy("band").agg(F.count("*").alias("n"), F.first("least").alias("rep")).join(home.select("rep", F.col("band").alias("pool")), "rep")
+    pools = written(sizes.select("band", "n", F.when(F.col("n") < BLOCK // 2, F.col("pool")).otherwise(F.col("band")).alias("pool")), "home-pools")
+    home = written(salted_join(home.select("rep", "band", "w"), pools, ["band"], "n", ["rep"]).select("rep", "pool", "w"), "pooled")
+    loads = written(home.groupBy("pool").agg(F.count("*").alias("n"), F.sum("w").alias("size")), "pool-sizes")
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    home = salted_join(home, loads, ["pool"], "n", ["rep"]).select("rep", F.xxhash64("pool", F.pmod(F.xxhash64("rep"), parts)).alias("block"))
+    home = written(home, "blocks")
     # The blocks of each band meet each other: pairs of blocks, as a common band's members lie in few.
     places = mates.select("rep", "band").join(home.hint("merge"), "rep").select("band", "block").distinct()
     meet = places.join(places.withColumnRenamed("block", "other").hint("merge"), "band").where("block <> other").select("block", "other").distinct()
@@ -197,8 +206,8 @@ def near_copies(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY,
     # The members grow with the corpus, so the texts meet them by a shuffle at every size.
     own = docs.select(F.col("doc_id").alias("node"), "text").join(members.hint("merge"), "node")
     own = K.map_batches(own, ["text", "s1", "s2", "block", "node", "copies"], sets, f"block bigint, node {id_kind}, copies bigint, shingles binary")
-    lists = partners.groupBy("block").agg(F.collect_list("other").alias("others"))
-    own = own.join(lists.hint("merge"), "block", "left").withColumn("many", F.col("others").isNotNull())
+    lists = partners.groupBy("block").agg(F.collect_list("other").alias("others")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(lists.hint("merge"), ["block", "salt"], "left").withColumn("many", F.col("others").isNotNull())
     own = own.withColumn("other", F.explode(F.concat(F.array("block"), F.coalesce("others", F.array().cast("array<bigint>"))))).withColumn("pair", F.col("block") != F.col("other"))
     own = own.withColumn("task", F.concat_ws(":", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
 
