@@ -171,13 +171,15 @@ def front_coded(right: np.ndarray, size: np.ndarray, left: np.ndarray, most: np.
     tails = right[(column >= common[:, None]) & (column < size[:, None])]
     lefts = left[np.arange(1, BLOCK) <= most[:, None]]
     head = np.array([len(size), len(tails), len(lefts)], np.int64)
-    return b"".join((head.tobytes(), doc.astype(np.int64).tobytes(), mask.tobytes(), place.astype(np.int64).tobytes(), row.astype(np.int32).tobytes(), common.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), most.astype(np.uint8).tobytes(), tails.tobytes(), lefts.tobytes()))
+    raw = b"".join((head.tobytes(), doc.astype(np.int64).tobytes(), mask.tobytes(), place.astype(np.int64).tobytes(), row.astype(np.int32).tobytes(), common.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), most.astype(np.uint8).tobytes(), tails.tobytes(), lefts.tobytes()))
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
 class Run:
     """A decoded run."""
 
     def __init__(self, raw: bytes) -> None:
+        raw = pa.decompress(raw[8:], int(np.frombuffer(raw, np.int64, 1)[0]), "zstd", asbytes=True)
         n, tails, lefts = np.frombuffer(raw, np.int64, 3).tolist()
         at = 24
         parts = []

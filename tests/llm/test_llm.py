@@ -595,7 +595,7 @@ def test_suffix_dedup_of_a_common_line(spark, monkeypatch, tmp_path):
         for table in K.groups(iter(batches), "bucket"):
             kinds, raws = table.column("kind").to_pylist(), table.column("payload").to_pylist()
             with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
-                f.write(str(sum(int(np.frombuffer(p, np.int64, 1)[0]) for k, p in zip(kinds, raws) if k == 0)))
+                f.write(str(sum(len(suffix_dedup.Run(p).text) for k, p in zip(kinds, raws) if k == 0)))
         yield from merged(iter(batches))
 
     monkeypatch.setattr(suffix_dedup, "_merged", counted)
