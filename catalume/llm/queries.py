@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm import ann, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, suffix_dedup, token_counts
+from catalume.llm import ann, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts
 from catalume.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,9 +74,56 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), every=199, least_length=6, least_n=5, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+#: CRC-32 of the UTF-8 bytes of k, which stand in hexadecimal in x, over a table of the 256 checksums of single bytes.
+_CRC_SQL = """
+crc_table as (
+  select list(list_reduce(list_concat([i], range(8)), lambda c, b: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from range(256) r(i)
+),
+hashed as (
+  select k, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::int, 2))::bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as h
+  from (select k, hex(encode(k)) as x from keys), crc_table
+)"""
+
+_OP12_SQL = f"""
+with recursive docs as (select coalesce(doc_id::varchar, '') as id, coalesce(text, '') as text from documents),
+runs as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from (select id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from docs)
+),
+counted as (select id, run, id || ':' || run as k, count(*) as n from runs where length(run) >= 6 group by all),
+keys as (select distinct k from counted), {_CRC_SQL},
+cut as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+  from counted join hashed using (k)
+),
+words as (select word, sum(n)::bigint as n from cut where length(word) >= 6 group by word having sum(n) >= 5),
+holes as (select word, n, substr(word, 1, i::int) as a, substr(word, i::int + 2) as b from words, lateral (select unnest(range(length(word))) as i)),
+pairs as (
+  select x.word, y.word as near, y.n as near_n from holes x join holes y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from holes x join words y on y.word = x.a || x.b
+  union select y.word, x.word, x.n from holes x join words y on y.word = x.a || x.b
+),
+best as (select word, count(distinct near) as n_near, arg_min(near, (-near_n, near)) as near, max(near_n) as near_n from pairs group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when near_n >= 5 * n then near end as form, case when near_n >= 5 * n then near_n end as form_n
+  from words w left join best using (word)
+),
+chain as (
+  select word, word as root, form as next from forms
+  union all select c.word, f.word, f.form from chain c join forms f on f.word = c.next
+)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word and c.next is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_spelling_variants": _OP12_SQL}
