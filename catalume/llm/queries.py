@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm import ann, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts
+from catalume.llm import ann, collocations, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts
 from catalume.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), longest=3, least=10, share=50, most=2000)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir), every=199, least_length=6, least_n=5, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -82,6 +86,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+_OP11_SQL = """
+with pieces as (
+  select lang, row_number() over () as id, piece from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents)
+),
+split as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+grams as (
+  select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+  from (select lang, w, unnest(range(1, len(w) + 1)) as i from split), range(1, 4) as t(k) where i + k - 1 <= len(w)
+),
+counts as (select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as w from grams group by lang, k, phrase),
+totals as (select lang, sum(f)::bigint as n from counts where k = 1 group by lang),
+candidates as (select lang, k, phrase, w, f as a from counts where k > 1 and f >= 10),
+longer as (select lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) as phrase, a as over from candidates where k = 3),
+kept as (
+  select c.* from candidates c left join (select lang, phrase, max(over) as over from longer group by all) using (lang, phrase)
+  where over is null or 100 * over < 50 * a
+),
+cuts as (select lang, phrase, a, cut, array_to_string(w[1:cut], ' ') as x, array_to_string(w[cut + 1:], ' ') as y from kept, range(1, 3) as t(cut) where cut < k),
+scored as (
+  select lang, cuts.phrase, a, cut, u.f as l, v.f as r, ((a::hugeint * a * 1000000) // (u.f::hugeint * v.f))::bigint as score
+  from cuts join counts u using (lang) join counts v using (lang) where u.phrase = x and v.phrase = y
+),
+best as (select lang, phrase, a, arg_min(struct_pack(l, r, score), (score, cut)) as s from scored group by lang, phrase, a),
+ranked as (select lang, row_number() over (partition by lang order by s.score desc, a desc, phrase) as rank, phrase, a, s.l as l, s.r as r, s.score as score from best)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 #: CRC-32 of the UTF-8 bytes of k, which stand in hexadecimal in x, over a table of the 256 checksums of single bytes.
 _CRC_SQL = """
 crc_table as (
@@ -126,4 +158,4 @@ select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_spelling_variants": _OP12_SQL}
+    return {"op11_collocations": _OP11_SQL, "op12_spelling_variants": _OP12_SQL}
