@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalume.llm import ann, collocations, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts
+from catalume.llm import ann, collocations, decontamination, language_id, licenses, maxent_lm, ngram_join, packing, secrets, spelling, suffix_dedup, token_counts, warc
 from catalume.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,6 +82,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir), every=199, least_length=6, least_n=5, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -157,5 +161,19 @@ select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c
 """
 
 
+_OP13_SQL = """
+with pages_ as (select page_id, coalesce(html, '') as html from pages),
+bits as (select page_id, octet_length(encode(html))::bigint as payload_bytes, unhex(sha1(html))::bit::varchar as b from pages_),
+coded as (
+  select page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_reduce(list_concat([0], list_transform(range(5), lambda j: substr(b, (5 * i + j + 1)::int, 1)::int)), lambda x, y: 2 * x + y)::int + 1, 1)), 'string_agg', '') as payload_digest
+  from bits
+),
+ranked as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as best from coded)
+select page_id, payload_bytes, payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to
+from ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_collocations": _OP11_SQL, "op12_spelling_variants": _OP12_SQL}
+    return {"op11_collocations": _OP11_SQL, "op12_spelling_variants": _OP12_SQL, "op13_warc": _OP13_SQL}
