@@ -81,7 +81,7 @@ def _n_words(text: bytes) -> int:
     return text.count(b" ") + text.count(b"\n") + bool(text)
 
 
-def blocks(docs: DataFrame, longest: int = 3) -> DataFrame:
+def blocks(docs: DataFrame, longest: int = 3, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, lang, body, again, n_words: the texts of each language in blocks, see `parts`; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,8 @@ def blocks(docs: DataFrame, longest: int = 3) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 own = lang.as_py()
-                for body, again in parts(normalised(text.as_py() or ""), BLOCK_BYTES, longest):
-                    if sizes.get(own, 0) + len(body) > BLOCK_BYTES and own in held:
+                for body, again in parts(normalised(text.as_py() or ""), block_bytes, longest):
+                    if sizes.get(own, 0) + len(body) > block_bytes and own in held:
                         yield given(own)
                     bodies, agains = held.setdefault(own, ([], []))
                     bodies.append(body)

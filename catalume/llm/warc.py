@@ -78,7 +78,7 @@ def http_records(pages: DataFrame, date: str = "20000101000000") -> DataFrame:
     return pages.select("url", F.lit("0.0.0.0").alias("ip"), F.lit(date).alias("date"), F.lit("text/html").alias("content_type"), F.concat(head, html).cast("binary").alias("block"))
 
 
-def write_arc(records: DataFrame, path: str) -> None:
+def write_arc(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes url, ip, date (14 digits), content_type and block as ARC files, of version 1 and 2 in turn; no shuffle.
 
     Spaces and control characters of URLs are percent-encoded, a null URL is `unknown:`; a
@@ -96,7 +96,7 @@ def write_arc(records: DataFrame, path: str) -> None:
 
         for batch in batches:
             for url, ip, date, kind, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and now.size + len(block or b"") > ARCHIVE_BYTES:
+                if now is not None and now.size + len(block or b"") > archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([now.line()], pa.binary())], ["archive"])
                     now, number = None, number + 1
                 if now is None:
