@@ -116,7 +116,7 @@ def _opened(content: bytes) -> io.BufferedIOBase:
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
-    """offset (uncompressed), the fields by lower-case name, block and error of each record of an ARC file, plain or gzip.
+    """at (uncompressed offset), the fields by lower-case name, block and error of each record of an ARC file, plain or gzip.
 
     The version block's second line names the fields; without one, lines of five fields
     are version 1 and lines of ten version 2. Where a declared length doesn't lead to the next
@@ -132,7 +132,7 @@ def arc_records(content: bytes) -> Iterator[dict]:
                 continue
             found = _LINE.match(line)
             if not found:
-                yield {"offset": start, "url": "", "block": b"", "error": "no header line"}
+                yield {"at": start, "url": "", "block": b"", "error": "no header line"}
                 while (line := stream.readline()) and not _LINE.match(line):
                     at += len(line)
                 if not line:
@@ -149,9 +149,9 @@ def arc_records(content: bytes) -> Iterator[dict]:
                 fields = lines[1].lower().split() if len(lines) > 1 else []
                 if "url" in fields and "archive-length" in fields:
                     declared, names[len(fields)] = len(fields), fields
-            yield {"offset": start, **row, "block": block, "error": None if len(block) == length else "shorter than declared"}
+            yield {"at": start, **row, "block": block, "error": None if len(block) == length else "shorter than declared"}
     except (OSError, EOFError, zlib.error) as e:
-        yield {"offset": at, "url": "", "block": b"", "error": f"damaged: {e}"}
+        yield {"at": at, "url": "", "block": b"", "error": f"damaged: {e}"}
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes]:
@@ -195,7 +195,7 @@ def warc_record(archive: str, row: dict, revisit: dict | None = None) -> bytes:
     """The WARC record of an ARC record; as a revisit it keeps the HTTP head alone."""
     kind, block = warc_type(row), row["block"]
     head, payload = http_parts(block)
-    fields = [("WARC-Type", "revisit" if revisit else kind), ("WARC-Record-ID", f"<{record_id(archive, row['offset'])}>"), ("WARC-Date", warc_date(row.get("archive-date")))]
+    fields = [("WARC-Type", "revisit" if revisit else kind), ("WARC-Record-ID", f"<{record_id(archive, row['at'])}>"), ("WARC-Date", warc_date(row.get("archive-date")))]
     if kind == "warcinfo":
         fields += [("WARC-Filename", row["url"].removeprefix("filedesc://"))]
     else:
@@ -219,7 +219,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for row in arc_records(content or b""):
                     head, payload = http_parts(row["block"])
-                    rows.append((archive, row["offset"], warc_type(row), row["url"], warc_date(row.get("archive-date")), len(payload), base32_sha1(payload), _integer(header(head, RANK_HEADER)), row["error"]))
+                    rows.append((archive, row["at"], warc_type(row), row["url"], warc_date(row.get("archive-date")), len(payload), base32_sha1(payload), _integer(header(head, RANK_HEADER)), row["error"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
@@ -255,7 +255,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
                 now = None
                 for row in arc_records(content or b""):
                     if row["error"] is None:
-                        record = warc_record(archive, row, again.get(row["offset"]))
+                        record = warc_record(archive, row, again.get(row["at"]))
                         if now is None:
                             now = _Archive(record)
                         else:
