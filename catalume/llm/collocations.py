@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from operator import itemgetter
@@ -20,7 +21,7 @@ from catalume.llm import kernels as K
 from catalume.llm.common import salted_join, written
 
 #: Bytes of one language's text in a block, which is the unit of the sketch's messages and has an automaton of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Bytes of blocks of all languages that a task holds before it gives the largest away.
 HELD_BYTES = 32 << 20
 #: Cells of a bucket of the sketch, and phrase occurrences for each bucket: the sketch grows with the corpus.
@@ -133,18 +134,26 @@ class _Phrases:
             end.append(ends[whole + k - 1])
         self.start, self.end, self.keys = map(np.concatenate, (start, end, keys))
 
-    def strings(self, rows: np.ndarray) -> list[str]:
-        """The distinct phrases that stand at these rows."""
+        self.n_words = len(starts)
+
+    def texts(self, rows: np.ndarray) -> pa.Array:
+        """The phrases that stand at these rows."""
         own = self.end[rows] - self.start[rows]
         at = np.concatenate(([0], np.cumsum(own))).astype(np.int64)
-        return pc.unique(pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(at), pa.py_buffer(self.data[K.ranges(self.start[rows], own)]))).to_pylist()
+        return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(at), pa.py_buffer(self.data[K.ranges(self.start[rows], own)])).cast(pa.string())
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row after the other, so that no more than one block is held beside the batch."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _messages(stored: DataFrame, longest: int, buckets: int) -> DataFrame:
     """bucket, block, cells, counts: what each block adds to each bucket of the sketch, cells ascending."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             cells, counts = np.unique(_Phrases(row["lang"], row["body"], longest, buckets).keys, return_counts=True)
             bucket = (cells >> np.uint64(CELL_BITS)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
@@ -180,31 +189,43 @@ def _guarded(text: bytes) -> str:
     return f" {text.decode()} ".replace("\n", " \n ")
 
 
+def _candidates(row: dict, longest: int, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """A block's words in hot cells, one for each occurrence, and its longer phrases there, each once."""
+    found = _Phrases(row["lang"], row["body"], longest, buckets)
+    cells, inverse = np.unique(found.keys, return_inverse=True)
+    bucket, hot = cells >> np.uint64(CELL_BITS), np.zeros(len(cells), bool)
+    for reply in row["replies"]:
+        a, b = np.searchsorted(bucket, [reply["bucket"], reply["bucket"] + 1])
+        hot[a:b] = np.unpackbits(np.frombuffer(reply["flags"], np.uint8), count=b - a)
+    rows = np.flatnonzero(hot[inverse])
+    n = np.searchsorted(rows, found.n_words)
+    return found.texts(rows[:n]), pc.unique(found.texts(rows[n:]))
+
+
+def _matches(phrases: pa.Array, texts: list[bytes]) -> Iterator[np.ndarray]:
+    """How often each phrase stands in each text, overlaps included: an automaton of the phrases, guarded by spaces."""
+    automaton = ahocorasick.Automaton()
+    for i, phrase in enumerate(phrases.to_pylist()):
+        automaton.add_word(f" {phrase} ", i)
+    automaton.make_automaton()
+    for text in texts:
+        found = map(itemgetter(1), automaton.iter(_guarded(text))) if len(phrases) and text else ()
+        yield np.bincount(np.fromiter(found, np.int64), minlength=len(phrases))
+
+
 def _counted(joined: DataFrame, longest: int, buckets: int) -> DataFrame:
-    """lang, phrase, f: exact counts of each block's phrases in hot cells, by an automaton of these, guarded by spaces."""
+    """lang, phrase, f: exact counts of each block's words and phrases in hot cells."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for row in batch.to_pylist():
-            found = _Phrases(row["lang"], row["body"], longest, buckets)
-            cells, inverse = np.unique(found.keys, return_inverse=True)
-            bucket, hot = cells >> np.uint64(CELL_BITS), np.zeros(len(cells), bool)
-            for reply in row["replies"]:
-                a, b = np.searchsorted(bucket, [reply["bucket"], reply["bucket"] + 1])
-                hot[a:b] = np.unpackbits(np.frombuffer(reply["flags"], np.uint8), count=b - a)
-            phrases = found.strings(np.flatnonzero(hot[inverse]))
-            if not phrases:
-                continue
-            automaton = ahocorasick.Automaton()
-            for i, phrase in enumerate(phrases):
-                automaton.add_word(f" {phrase} ", i)
-            automaton.make_automaton()
-
-            def counts(text: bytes) -> np.ndarray:
-                return np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(_guarded(text))), np.int64), minlength=len(phrases))
-
-            f = counts(row["body"]) - (counts(row["again"]) if row["again"] else 0)
+        for row in _rows(batch):
+            words, phrases = _candidates(row, longest, buckets)
+            counts = pc.value_counts(words)
+            again = Counter(w for w in row["again"].replace(b"\n", b" ").decode().split(" ") if w)
+            n = counts.field("counts").to_numpy() - (np.array([again[w] for w in counts.field("values").to_pylist()], np.int64) if again else 0)
+            body, less = _matches(phrases, [row["body"], row["again"]])
+            f = np.concatenate((n, body - less))
             some = np.flatnonzero(f)
-            yield {"lang": pa.array([row["lang"]] * len(some), pa.string()), "phrase": pa.array(phrases, pa.string()).take(pa.array(some)), "f": f[some]}
+            yield {"lang": pa.array([row["lang"]] * len(some), pa.string()), "phrase": pa.concat_arrays([counts.field("values"), phrases]).take(pa.array(some)), "f": f[some]}
 
     return K.map_batches(joined, ["lang", "body", "again", "replies"], run, "lang string, phrase string, f bigint")
 
@@ -215,7 +236,8 @@ def frequent_phrases(stored: DataFrame, longest: int = 3, least: int = 10) -> Da
     `stored` is a written table of `blocks`. Each block adds its phrases' counts to a sketch
     dealt over buckets, as many as the corpus needs; a cell's sum bounds the counts of all
     phrases in it from above. Blocks learn which of their cells may be frequent, compile
-    their phrases there into an automaton and count overlapping matches; the sums are exact.
+    their longer phrases there into an automaton and count overlapping matches, and words
+    there one by one; the sums are exact.
     """
     if not 1 <= least <= MOST:
         raise ValueError(f"least must be from 1 to {MOST}")
