@@ -26,6 +26,8 @@ BLOCK_BYTES = 1 << 20
 HELD_BYTES = 32 << 20
 #: Cells of a bucket of the sketch, and phrase occurrences for each bucket: the sketch grows with the corpus.
 CELL_BITS, BUCKET_PHRASES = 22, 1 << 21
+#: Parts of a language that are ranked before the whole language.
+RANK_SALTS = 64
 #: Counts in a message end here; thresholds may not be larger.
 MOST = 255
 
@@ -280,7 +282,10 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
     wide = reduce(lambda df, c: df.withColumn(f"_{c}", F.col(c).cast("decimal(19,0)")), "alr", scored)
     scored = wide.withColumn("score", F.expr("(_a * _a * 1000000) div (_l * _r)"))
     best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("x")).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    # Spark cuts each task's rows to `most` before a window's shuffle; the first window, dealt over RANK_SALTS, keeps what then meets in one task the same at every number of tasks.
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    salted = best.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SALTS)))
+    best = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most).drop("rank", "salt")
     totals = stored.groupBy("lang").agg(F.sum("n_words").alias("n"))
-    top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    top = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
