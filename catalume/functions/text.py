@@ -59,6 +59,21 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
+def query_words(text: str, compat: bool = False) -> list[str]:
+    """The words of a search, the last one a prefix; with compat they are what spaces separate, folded."""
+    trimmed = text.strip()
+    return [fold_literal(w) for w in trimmed.lower().split()] if compat else literal_tokens(trimmed)
+
+
+def query_parts(text: str, compat: bool = False) -> list[str]:
+    """The substrings of a search, from three characters on."""
+    trimmed = text.strip()
+    if len(trimmed) < 3:
+        return []
+    parts = trimmed.lower().split() if compat else "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in trimmed.lower()).split()
+    return [p for p in parts if len(p) >= 3 or not compat]
+
+
 def match_text(text: str, columns: dict[str, Column], target: str = "anywhere", compat: bool = False) -> Column:
     """Whether the columns match the query: by words (the last one a prefix) or, from three characters on, by substrings.
 

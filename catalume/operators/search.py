@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalume.functions import paths
 from catalume.functions.text import all_of, match_text
 from catalume.operators import fulltext
+from catalume.operators.text_index import TextIndex
 from catalume.schema import FolderLocation, SearchParams
 
 
@@ -52,8 +53,15 @@ def with_searchable_path(assets: DataFrame, excludes: DataFrame | None = None) -
     return joined.withColumn("searchable_path", paths.searchable_path(F.col("rel_path"), F.col("zip_file"), F.col("zip_entry"), F.col("__excluded"))).drop("__excluded")
 
 
-def matching(assets: DataFrame, audio_metadata: DataFrame | None, params: SearchParams) -> DataFrame:
-    """The assets that pass all filters. The audio table is joined only for a duration bound."""
+def matching(assets: DataFrame, audio_metadata: DataFrame | None, params: SearchParams, index: TextIndex | None = None) -> DataFrame:
+    """The assets that pass all filters. The audio table is joined only for a duration bound.
+
+    With an index of filename and searchable_path, the text's conditions are tested on the
+    rows alone whose ids the postings give.
+    """
+    ids = index.candidates(params.text, params.column, params.compat) if index is not None and params.text.strip() else None
+    if ids is not None:
+        assets = assets.join(ids, "id", "left_semi")
     out = assets.where(all_of(conditions(params)))
     if params.min_duration_ms is None and params.max_duration_ms is None:
         return out
@@ -82,7 +90,7 @@ SORTS = {
 }
 
 
-def page(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame, params: SearchParams) -> DataFrame:
+def page(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFrame, params: SearchParams, index: TextIndex | None = None) -> DataFrame:
     """One page of matches in order: filter, sort and cut first, then the metadata of the page's rows alone.
 
     The order by relevance is that of BM25 over filename and searchable path, the filename
@@ -90,11 +98,11 @@ def page(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFr
     """
     if params.is_empty and params.extra.get("empty_is_none"):
         return projected(assets.limit(0), folders, images, audio)
-    hits = matching(assets, audio, params).join(folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi")
+    hits = matching(assets, audio, params, index).join(folders.select(F.col("id").alias("folder_id")), "folder_id", "left_semi")
     if params.sort == "duration":
         hits = hits.join(audio.select(F.col("asset_id").alias("id"), "duration_ms"), "id", "left")
     if params.sort == "relevance":
-        hits = with_score(hits, assets, params.text)
+        hits = with_score(hits, assets, params.text, index)
     order = SORTS[params.sort]()
     hits = hits.orderBy(*order)
     hits = (hits.offset(params.offset) if params.offset else hits).limit(params.limit).drop("duration_ms")
@@ -107,15 +115,15 @@ def page(assets: DataFrame, folders: DataFrame, images: DataFrame, audio: DataFr
 RELEVANCE = {"filename": 2.0, "searchable_path": 1.0}
 
 
-def with_score(hits: DataFrame, assets: DataFrame, text: str) -> DataFrame:
+def with_score(hits: DataFrame, assets: DataFrame, text: str, index: TextIndex | None = None) -> DataFrame:
     """hits with score, 0 for rows that match by substrings alone."""
-    scored = fulltext.bm25_columns(assets, text, RELEVANCE)
+    scored = index.bm25(text, RELEVANCE) if index is not None else fulltext.bm25_columns(assets, text, RELEVANCE)
     return hits.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def count(assets: DataFrame, audio: DataFrame, params: SearchParams) -> DataFrame:
+def count(assets: DataFrame, audio: DataFrame, params: SearchParams, index: TextIndex | None = None) -> DataFrame:
     """One row n: a plan of its own, without the joins that cannot change the number."""
-    return matching(assets, audio, params).agg(F.count("*").alias("n"))
+    return matching(assets, audio, params, index).agg(F.count("*").alias("n"))
 
 
 def has_more(assets: DataFrame, audio: DataFrame, params: SearchParams) -> DataFrame:

@@ -1036,3 +1036,7 @@ def _(spark, sf_dir):
         "doc_id", scalars.format_similarity((F.col("n_chars") % 1000) / 1000.0).alias("share"), scalars.warnings_json(F.when(d % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("w"), text)))).alias("warnings"),
         scalars.parse_category(F.element_at(F.array(F.lit("Image"), F.lit("AUDIO"), F.lit("clap")), (d % 3 + 1).cast("int"))).alias("category"), scalars.slow_load_ms(F.col("n_chars") * 4096).alias("slow_ms"),
         paths.relative_path(F.concat(F.lit("D:\\A\\sfx\\"), text, F.lit("\\")), F.lit("D:/A/")).alias("rel_path"), vectors.middle(wave, 4).alias("middle"), vectors.head(wave, 4).alias("head"))
+
+
+# Further queries register themselves here; they take what stands above.
+from catalume.plans import kept_queries  # noqa: E402, F401

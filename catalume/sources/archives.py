@@ -118,22 +118,34 @@ def _in_archives(spark: SparkSession, root: str) -> DataFrame:
     return entries(archive_paths(spark, root)).withColumnRenamed("zip_path", "path").join(archives, "path")
 
 
-def listing(spark: SparkSession, root: str, folder_id: int) -> DataFrame:
-    """The assets below root, in folders and in (nested) archives; other file types are dropped. Ids are left to the writer."""
-    plain = files(spark, root).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
+def scan(spark: SparkSession, root: str, folder_id: int) -> DataFrame:
+    """All that one pass over root finds: the rows of `listing` with error, and a row for each broken archive, whose place is in zip_file and zip_entry.
+
+    Files of other types than the assets' are dropped. Ids are left to the writer.
+    """
     none = F.lit(None).cast("string")
-    plain = plain.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", "filename", none.alias("zip_file"), none.alias("zip_entry"), none.alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at")
+    plain = files(spark, root).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
+    plain = plain.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", "filename", none.alias("zip_file"), none.alias("zip_entry"), none.alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at", none.alias("error"))
     name = F.element_at(F.split("zip_entry", "/"), -1)
-    inner = _in_archives(spark, root).where("error is null").withColumn("extension", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null")
-    inside = inner.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", name.alias("filename"), "zip_file", "zip_entry", compression_name(F.col("method")).alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at")
+    inner = _in_archives(spark, root).withColumn("extension", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).withColumn("asset_type", asset_type(F.col("extension"))).where("asset_type is not null or error is not null")
+    inside = inner.select(F.lit(folder_id).cast("bigint").alias("folder_id"), "rel_path", name.alias("filename"), "zip_file", "zip_entry", compression_name(F.col("method")).alias("zip_compression"), "asset_type", F.col("extension").alias("format"), "file_size", "fs_modified_at", "error")
     return plain.unionByName(inside)
 
 
-def scan_warnings(spark: SparkSession, root: str) -> DataFrame:
-    """One row: the warnings of a listing as a JSON array (null if there are none), `place: error` for each broken archive, in order."""
-    broken = _in_archives(spark, root).where("error is not null")
+def listing(spark: SparkSession, root: str, folder_id: int) -> DataFrame:
+    """The assets below root, in folders and in (nested) archives."""
+    return scan(spark, root, folder_id).where("error is null").drop("error")
+
+
+def warnings(found: DataFrame) -> DataFrame:
+    """One row: the warnings of a scan as a JSON array (null if there are none), `place: error` for each broken archive, in order."""
     place = F.concat_ws("/", F.nullif("rel_path", F.lit("")), "zip_file", "zip_entry")
-    return broken.select(F.concat(place, F.lit(": "), "error").alias("w")).agg(F.sort_array(F.collect_list("w")).alias("w")).select(warnings_json(F.col("w")).alias("scan_warnings"))
+    broken = found.where("error is not null").select(F.concat(place, F.lit(": "), "error").alias("w"))
+    return broken.agg(F.sort_array(F.collect_list("w")).alias("w")).select(warnings_json(F.col("w")).alias("scan_warnings"))
+
+
+def scan_warnings(spark: SparkSession, root: str) -> DataFrame:
+    return warnings(scan(spark, root, 0))
 
 
 def _read(archive: zipfile.ZipFile, entry: str, inner: dict[str, zipfile.ZipFile]) -> bytes:
