@@ -21,11 +21,13 @@ from catalume.llm import kernels as K
 from catalume.llm.common import salted_join, written
 
 #: Bytes of one language's text in a block, which is the unit of the sketch's messages and has an automaton of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of blocks of all languages that a task holds before it gives the largest away.
 HELD_BYTES = 32 << 20
 #: Cells of a bucket of the sketch, and phrase occurrences for each bucket: the sketch grows with the corpus.
 CELL_BITS, BUCKET_PHRASES = 22, 1 << 21
+#: Phrases of one automaton; a block with more is scanned once for each.
+AUTOMATON_PHRASES = 1 << 14
 #: Parts of a language that are ranked before the whole language.
 RANK_SALTS = 64
 #: Counts in a message end here; thresholds may not be larger.
@@ -204,15 +206,18 @@ def _candidates(row: dict, longest: int, buckets: int) -> tuple[pa.Array, pa.Arr
     return found.texts(rows[:n]), pc.unique(found.texts(rows[n:]))
 
 
-def _matches(phrases: pa.Array, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """How often each phrase stands in each text, overlaps included: an automaton of the phrases, guarded by spaces."""
-    automaton = ahocorasick.Automaton()
-    for i, phrase in enumerate(phrases.to_pylist()):
-        automaton.add_word(f" {phrase} ", i)
-    automaton.make_automaton()
-    for text in texts:
-        found = map(itemgetter(1), automaton.iter(_guarded(text))) if len(phrases) and text else ()
-        yield np.bincount(np.fromiter(found, np.int64), minlength=len(phrases))
+def _matches(phrases: pa.Array, texts: list[bytes]) -> list[np.ndarray]:
+    """How often each phrase stands in each text, overlaps included: automata of the phrases, guarded by spaces."""
+    guarded, counts = [_guarded(t) for t in texts], [[np.zeros(0, np.int64)] for _ in texts]
+    for lo in range(0, len(phrases), AUTOMATON_PHRASES):
+        own = phrases.slice(lo, AUTOMATON_PHRASES).to_pylist()
+        automaton = ahocorasick.Automaton()
+        for i, phrase in enumerate(own):
+            automaton.add_word(f" {phrase} ", i)
+        automaton.make_automaton()
+        for text, found in zip(guarded, counts):
+            found.append(np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(own)))
+    return [np.concatenate(found) for found in counts]
 
 
 def _counted(joined: DataFrame, longest: int, buckets: int) -> DataFrame:
