@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalume.commits import file_system
+
 _NAMED = """SELECT *,
     CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang WHEN 2 THEN concat(lang, '/s', CAST(doc_id % 5 AS STRING))
       ELSE concat(lang, '/s', CAST(doc_id % 5 AS STRING), '/t', CAST(doc_id % 2 AS STRING)) END AS rel_path,
@@ -66,6 +69,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders that the library's own steps have left in the shared folder, by session.
+_LEFT: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; `release` deletes it."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there, and what reads it twice computes it once."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what the library's steps have left in this session; to be called when their results are stored elsewhere."""
+    for path in _LEFT.pop(spark.sparkContext.applicationId, []):
+        fs, at = file_system(spark, path)
+        fs.delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

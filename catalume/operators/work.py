@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from catalume.adapters import stored
 from catalume.functions import paths
 
 #: Ids of one slice when rows are numbered inside a group.
@@ -91,10 +92,36 @@ def progress(rows: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
+def _cut(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows, stored, with __part: ranges of (key, order) of about equal size, so a key that holds a third of all rows has many parts."""
+    return stored(rows.repartitionByRange(F.col(key).asc_nulls_first(), *order).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _with_part_before(rows: DataFrame, key: str, own: Column, name: str, before: Column) -> DataFrame:
+    """rows of `_cut` with what the key's parts before leave behind: `own` is aggregated for each part, `before` is taken over these, one row a part."""
+    parts = rows.groupBy(key, "__part").agg(own.alias("__own")).withColumn(name, before).select(F.col(key).alias("__key"), F.col("__part").alias("__at"), name)
+    return rows.join(parts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at"))).drop("__key", "__at")
+
+
 def tick_delta(ticks: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """ticks with delta: what came since the tick before, never negative; the first tick's own value."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
-    return ticks.withColumn("delta", F.greatest(F.lit(0).cast("double"), F.col(value) - F.coalesce(before, F.lit(0.0))))
+    """ticks with delta: what came since the tick before, never negative; the first tick's own value.
+
+    A key's ticks are dealt by ranges; the first tick of a range takes the last one of the
+    range before. Ticks of one key and order come in any order.
+    """
+    last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order))
+    rows = _with_part_before(_cut(ticks, key, order), key, last, "__last", F.lag("__own").over(Window.partitionBy(key).orderBy("__part")))
+    spec = Window.partitionBy(key, "__part").orderBy(*order)
+    before = F.when(F.row_number().over(spec) == 1, F.col("__last")["v"]).otherwise(F.lag(value).over(spec))
+    return rows.withColumn("delta", F.greatest(F.lit(0).cast("double"), F.col(value) - F.coalesce(before, F.lit(0.0)))).drop("__part", "__last")
+
+
+def running_total(rows: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with `name`, the sum of the key's values up to and with the row; a key's rows are summed in parts, after the totals of the parts before."""
+    before = F.sum("__own").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    cut = _with_part_before(_cut(rows, key, order), key, F.sum(value), "__total", F.coalesce(before, F.lit(0)))
+    spec = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.withColumn(name, F.sum(value).over(spec) + F.col("__total")).drop("__part", "__total")
 
 
 def _folded(values: np.ndarray, alpha: float) -> tuple[int, float, float, float]:
@@ -142,9 +169,20 @@ def eta_seconds(total: Column, processed: Column, rate: Column, running: Column)
 
 
 def sliding_rate(events: DataFrame, key: str, millis: Column, success: Column, width: int = 5) -> DataFrame:
-    """events with rate: the successes strictly later than `width` seconds ago, a second."""
-    spec = Window.partitionBy(key).orderBy("__ms").rangeBetween(-(width * 1000 - 1), 0)
-    return events.withColumn("__ms", millis.cast("bigint")).withColumn("rate", F.sum(success.cast("int")).over(spec) / float(width)).drop("__ms")
+    """events with rate: the successes strictly later than `width` seconds ago, a second.
+
+    The sum over a window is the difference of two running totals, at its end and at its
+    beginning; both are looked up in one order of times and beginnings, so neither a long
+    window nor a key of very many events is one task. Rows whose time is null have no rate.
+    """
+    own = events.withColumn("__ms", millis.cast("bigint"))
+    sums = own.where("__ms is not null").groupBy(F.col(key).alias("key"), "__ms").agg(F.coalesce(F.sum(success.cast("int")), F.lit(0)).cast("bigint").alias("s"))
+    # At equal times the events come before the beginnings, which are exclusive.
+    both = sums.select("key", F.explode(F.array(F.struct(F.col("__ms").alias("at"), F.lit(0).alias("probe"), "s"), F.struct((F.col("__ms") - width * 1000).alias("at"), F.lit(1).alias("probe"), F.lit(0).cast("bigint").alias("s")))).alias("x"))
+    totals = running_total(both.select("key", "x.*"), "key", ["at", "probe"], "s", "total")
+    ms = F.when(F.col("probe") == 1, F.col("at") + width * 1000).otherwise(F.col("at"))
+    rates = totals.groupBy(F.col("key").alias("__key"), ms.alias("__at")).agg((F.sum(F.when(F.col("probe") == 1, -F.col("total")).otherwise(F.col("total"))) / float(width)).alias("rate"))
+    return own.join(rates, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__ms") == F.col("__at")), "left").select(*events.columns, "rate")
 
 
 def latest_requests(requests: DataFrame, most: int = 48) -> DataFrame:
@@ -153,6 +191,52 @@ def latest_requests(requests: DataFrame, most: int = 48) -> DataFrame:
     return last.where("action = 'request'").orderBy(F.desc("seq")).limit(most)
 
 
+#: Rows of one key among which a median is picked by sorting, and buckets of a pass that narrows down to them.
+SELECT_ROWS, SELECT_BUCKETS = 1 << 16, 1024
+
+
+def _at_ranks(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(key, rank, v): the rank-th smallest of each key's values (key, v), by passes that count into buckets.
+
+    Each pass keeps the bucket that holds the rank, until it has SELECT_ROWS values or one
+    value alone; so no task holds or sorts a key's values. Order: -inf, numbers, inf, NaN.
+    """
+    finite = F.abs("v") < float("inf")
+    state = ranks.select("key", "rank", F.col("rank").alias("want"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("bigint").alias("n"), F.lit(False).alias("odd"))
+    bounds = values.where(finite & ~F.isnan("v")).groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = values.groupBy("key").agg(F.count("*").alias("n"))
+    state = stored(state.drop("lo", "hi", "n").join(counts, "key").join(bounds, "key", "left"), "ranks")
+    inside = lambda: values.join(state.withColumnRenamed("n", "in_range"), "key")
+    within = F.col("v").between(F.col("lo"), F.col("hi")) & ~F.isnan("v")
+    first = True
+    while state.where(f"not odd and lo < hi and (n > {SELECT_ROWS} or {first})".replace("True", "true").replace("False", "false")).limit(1).count() or first:
+        place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SELECT_BUCKETS)
+        bucket = F.when(F.isnan("v"), SELECT_BUCKETS + 1).when(F.col("v") == float("inf"), SELECT_BUCKETS).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(F.least(place, F.lit(SELECT_BUCKETS - 1)), F.lit(0))).cast("int")
+        rows = inside().where("not odd") if first else inside().where(within & ~F.col("odd"))
+        sizes = rows.groupBy("key", "rank", "want", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("key", "rank").orderBy("bucket"))
+        found = sizes.withColumn("upto", upto).where("upto >= want and upto - n < want")
+        step = found.select("key", "rank", (F.col("want") - F.col("upto") + F.col("n")).alias("want"), (~F.col("bucket").between(0, SELECT_BUCKETS - 1)).alias("odd"), "n", "lo", "hi")
+        state = stored(step if first else step.unionByName(state.where("odd")), "ranks")
+        first = False
+    one = state.where("odd or lo = hi").select("key", "rank", F.col("lo").alias("v"))
+    spec = Window.partitionBy("key", "rank").orderBy("v")
+    few = inside().where(within & ~F.col("odd") & (F.col("lo") < F.col("hi"))).withColumn("at", F.row_number().over(spec)).where("at = want").select("key", "rank", "v")
+    return one.unionByName(few)
+
+
+def medians(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median): the exact median of each key's values, see `_at_ranks`; nulls don't count, without values it is null."""
+    kinds = samples.select(F.col(key).alias("name")).distinct().withColumn("key", F.xxhash64("name", F.col("name").isNull()))
+    values = samples.where(F.col(value).isNotNull()).select(F.xxhash64(F.col(key), F.col(key).isNull()).alias("key"), F.col(value).cast("double").alias("v"))
+    middle = values.groupBy("key").agg(F.count("*").alias("n")).select("key", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("rank"))
+    found = _at_ranks(values, middle).groupBy("key").agg(F.avg("v").alias("median"))
+    return kinds.join(found, "key", "left").select(F.col("name").alias(key), "median")
+
+
 def timing_stats(samples: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, median, least, most, total) of each key's values; n counts rows."""
     v = F.col(value)
-    return samples.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"))
+    stats = samples.groupBy(key).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.sum(v).alias("total"))
+    own = medians(samples, key, value).withColumnRenamed(key, "__key")
+    return stats.join(own, F.col(key).eqNullSafe(F.col("__key"))).select(key, "n", "mean", "median", "least", "most", "total")

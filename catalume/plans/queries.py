@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalume.adapters import read, shared_folder, sql, view
+from catalume.adapters import read, shared_path, sql, view
 from catalume.functions import paths, scalars, vectors
 from catalume.functions.text import word_tokens
 from catalume.operators import diff, duplicates, fulltext, mutations, search, tree, vector, work
@@ -820,7 +819,7 @@ def _(spark, sf_dir):
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> str:
     """Runs a plan over the events as a stream of chunks to its end; the folder of its micro-batches, each under its number, so that one done twice counts once."""
-    out, checkpoint = (f"{shared_folder(spark).rstrip('/')}/{name}-{k}-{uuid.uuid4().hex}" for k in ("out", "checkpoint"))
+    out, checkpoint = (shared_path(spark, f"{name}-{k}") for k in ("out", "checkpoint"))
     fields = read(spark, sf_dir, "events").schema
     source = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     q = stream.write_batches(plan(source), lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}"), checkpoint, mode=mode)
@@ -1020,7 +1019,7 @@ def _stored_index(spark: SparkSession, sf_dir: str) -> str:
     """Where the documents' index is in the shared folder; it is made once for a session and table."""
     own = (spark.sparkContext.applicationId, sf_dir)
     if own not in _INDEXES:
-        path = f"{shared_folder(spark).rstrip('/')}/word-index-{uuid.uuid4().hex}"
+        path = shared_path(spark, "word-index")
         fulltext.write_index(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), path, buckets=64)
         _INDEXES[own] = path
     return _INDEXES[own]
