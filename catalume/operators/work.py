@@ -192,37 +192,39 @@ def latest_requests(requests: DataFrame, most: int = 48) -> DataFrame:
 
 
 #: Rows of one key among which a median is picked by sorting, and buckets of a pass that narrows down to them.
-SELECT_ROWS, SELECT_BUCKETS = 1 << 16, 1024
+SELECT_ROWS, SELECT_BUCKETS = 1 << 16, 64
 
 
 def _at_ranks(values: DataFrame, ranks: DataFrame) -> DataFrame:
     """(key, rank, v): the rank-th smallest of each key's values (key, v), by passes that count into buckets.
 
-    Each pass keeps the bucket that holds the rank, until it has SELECT_ROWS values or one
-    value alone; so no task holds or sorts a key's values. Order: -inf, numbers, inf, NaN.
+    A pass cuts a key's values at approximate quantiles, counts exactly between the cuts and
+    keeps the bucket that holds the rank, until it has SELECT_ROWS values or one value alone;
+    so no task holds or sorts a key's values. The least and the largest value have buckets
+    of their own, so every pass gets on. Order: -inf, numbers, inf, NaN.
     """
-    finite = F.abs("v") < float("inf")
-    state = ranks.select("key", "rank", F.col("rank").alias("want"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("bigint").alias("n"), F.lit(False).alias("odd"))
-    bounds = values.where(finite & ~F.isnan("v")).groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    counts = values.groupBy("key").agg(F.count("*").alias("n"))
-    state = stored(state.drop("lo", "hi", "n").join(counts, "key").join(bounds, "key", "left"), "ranks")
-    inside = lambda: values.join(state.withColumnRenamed("n", "in_range"), "key")
-    within = F.col("v").between(F.col("lo"), F.col("hi")) & ~F.isnan("v")
+    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
+    bounds = values.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"))
+    state = stored(ranks.select("key", "rank", F.col("rank").alias("want"), F.lit(False).alias("odd")).join(bounds, "key"), "ranks")
+    within = finite & F.col("v").between(F.col("lo"), F.col("hi"))
     first = True
-    while state.where(f"not odd and lo < hi and (n > {SELECT_ROWS} or {first})".replace("True", "true").replace("False", "false")).limit(1).count() or first:
-        place = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * SELECT_BUCKETS)
-        bucket = F.when(F.isnan("v"), SELECT_BUCKETS + 1).when(F.col("v") == float("inf"), SELECT_BUCKETS).when(F.col("v") == float("-inf"), -1).otherwise(F.coalesce(F.least(place, F.lit(SELECT_BUCKETS - 1)), F.lit(0))).cast("int")
-        rows = inside().where("not odd") if first else inside().where(within & ~F.col("odd"))
-        sizes = rows.groupBy("key", "rank", "want", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        upto = F.sum("n").over(Window.partitionBy("key", "rank").orderBy("bucket"))
-        found = sizes.withColumn("upto", upto).where("upto >= want and upto - n < want")
-        step = found.select("key", "rank", (F.col("want") - F.col("upto") + F.col("n")).alias("want"), (~F.col("bucket").between(0, SELECT_BUCKETS - 1)).alias("odd"), "n", "lo", "hi")
-        state = stored(step if first else step.unionByName(state.where("odd")), "ranks")
-        first = False
-    one = state.where("odd or lo = hi").select("key", "rank", F.col("lo").alias("v"))
-    spec = Window.partitionBy("key", "rank").orderBy("v")
-    few = inside().where(within & ~F.col("odd") & (F.col("lo") < F.col("hi"))).withColumn("at", F.row_number().over(spec)).where("at = want").select("key", "rank", "v")
-    return one.unionByName(few)
+    while first or state.where(~F.col("odd") & (F.col("lo") < F.col("hi")) & (F.col("n") > SELECT_ROWS)).limit(1).count():
+        # On the first pass every key goes, so that infinities and NaN are told from numbers.
+        active = state if first else state.where(~F.col("odd") & (F.col("lo") < F.col("hi")) & (F.col("n") > SELECT_ROWS))
+        rows = values.join(active.drop("n", "odd"), "key").where(F.lit(True) if first else within)
+        share = [k / SELECT_BUCKETS for k in range(1, SELECT_BUCKETS)]
+        cuts = stored(rows.groupBy("key", "rank").agg(F.percentile_approx(F.when(finite, F.col("v")), share, 1000).alias("cuts")), "cuts")
+        place = F.when(F.col("v") == F.col("hi"), SELECT_BUCKETS + 1).when(F.col("v") == F.col("lo"), 0).otherwise(1 + F.size(F.filter("cuts", lambda c: c < F.col("v"))))
+        bucket = F.when(F.isnan("v"), SELECT_BUCKETS + 3).when(F.col("v") == float("inf"), SELECT_BUCKETS + 2).when(F.col("v") == float("-inf"), -1).otherwise(place).cast("int")
+        sizes = rows.join(cuts, ["key", "rank"]).groupBy("key", "rank", "want", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        found = sizes.withColumn("upto", F.sum("n").over(Window.partitionBy("key", "rank").orderBy("bucket"))).where("upto >= want and upto - n < want")
+        step = found.select("key", "rank", (F.col("want") - F.col("upto") + F.col("n")).alias("want"), ((F.col("bucket") < 0) | (F.col("bucket") > SELECT_BUCKETS + 1)).alias("odd"), "n", "lo", "hi")
+        rest = state.join(active.select("key", "rank"), ["key", "rank"], "left_anti").select(*step.columns)
+        state, first = stored(step.unionByName(rest), "ranks"), False
+    one = state.where(F.col("odd") | (F.col("lo") == F.col("hi"))).select("key", "rank", F.col("lo").alias("v"))
+    few = values.join(state.where(~F.col("odd") & (F.col("lo") < F.col("hi"))), "key").where(within)
+    picked = few.withColumn("at", F.row_number().over(Window.partitionBy("key", "rank").orderBy("v"))).where("at = want").select("key", "rank", "v")
+    return one.unionByName(picked)
 
 
 def medians(samples: DataFrame, key: str, value: str) -> DataFrame:
