@@ -99,8 +99,68 @@ def _mp3(data: bytes) -> tuple[int, int, int] | None:
     return (samples * 1000 // first[0], *first) if first else None
 
 
+def _boxes(data: bytes, lo: int, hi: int) -> Iterator[tuple[bytes, int, int]]:
+    """(type, start, end) of the boxes of an MP4 file between two places, contents alone; a size of 0 runs to the end."""
+    while lo + 8 <= hi:
+        size, kind = struct.unpack(">I4s", data[lo : lo + 8])
+        head = 8
+        if size == 1:
+            size, head = struct.unpack(">Q", data[lo + 8 : lo + 16])[0], 16
+        end = min(hi, lo + size) if size else hi
+        if end < lo + head:
+            return
+        yield kind, lo + head, end
+        lo = end
+
+
+def _box(data: bytes, lo: int, hi: int, *path: bytes) -> tuple[int, int] | None:
+    """The contents of the first box that the path leads to."""
+    for step in path:
+        found = next(((a, b) for kind, a, b in _boxes(data, lo, hi) if kind == step), None)
+        if found is None:
+            return None
+        lo, hi = found
+    return lo, hi
+
+
+def _m4a(data: bytes) -> tuple[int, int, int] | None:
+    """The first sound track of an MP4 file: its own clock's duration (mdhd), rate and channels of its sample entry (stsd)."""
+    movie = _box(data, 0, len(data), b"moov") if data[4:8] in (b"ftyp", b"moov", b"mdat", b"free", b"wide") else None
+    for kind, lo, hi in _boxes(data, *movie) if movie else ():
+        handler, clock, entry = (_box(data, lo, hi, b"mdia", *path) for path in ((b"hdlr",), (b"mdhd",), (b"minf", b"stbl", b"stsd")))
+        if kind != b"trak" or not (handler and clock and entry) or data[handler[0] + 8 : handler[0] + 12] != b"soun":
+            continue
+        at = clock[0]
+        scale, length = struct.unpack(">IQ", data[at + 20 : at + 32]) if data[at] == 1 else struct.unpack(">II", data[at + 12 : at + 20])
+        # The first entry follows a count; version and flags, then 8 bytes of box head and 8 of reference precede its fields.
+        sound = entry[0] + 8 + 16
+        channels, rate = struct.unpack(">H", data[sound + 8 : sound + 10])[0], struct.unpack(">I", data[sound + 16 : sound + 20])[0] >> 16
+        return (length * 1000 // scale if scale else 0), rate or scale, channels
+    return None
+
+
+#: Sampling rates of ADTS frames by index.
+_ADTS_HZ = [96_000, 88_200, 64_000, 48_000, 44_100, 32_000, 24_000, 22_050, 16_000, 12_000, 11_025, 8_000, 7_350]
+
+
+def _adts(data: bytes) -> tuple[int, int, int] | None:
+    """AAC as a chain of ADTS frames, whose blocks of 1024 samples are counted; a tag in front is left out."""
+    at, samples, first = 0, 0, None
+    if data[:3] == b"ID3" and len(data) >= 10:
+        at = 10 + sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(data[6:10]))
+    while at + 7 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xF6 == 0xF0:
+        index, channels = data[at + 2] >> 2 & 15, (data[at + 2] & 1) << 2 | data[at + 3] >> 6
+        size = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
+        if index >= len(_ADTS_HZ) or size < 7:
+            break
+        first = first or (_ADTS_HZ[index], {0: 2, 7: 8}.get(channels, channels))
+        samples += 1024 * (1 + (data[at + 6] & 3))
+        at += size
+    return (samples * 1000 // first[0], *first) if first else None
+
+
 #: Tried in this order; the first that knows the data answers.
-AUDIO_READERS = [_wav, _flac, _ogg, _mp3]
+AUDIO_READERS = [_wav, _flac, _ogg, _mp3, _m4a, _adts]
 
 
 def audio_properties(data: bytes, readers=None) -> tuple[int, int, int] | None:

@@ -328,3 +328,33 @@ def test_ewma_stream_waits_for_a_rate(spark, tmp_path):
     out = progress.ewma_stream(progress.chunks(spark, str(tmp_path / "t"), "k string, i int, v double"), "k", "i", "v")
     q = out.writeStream.format("memory").queryName("waits").outputMode("update").option("checkpointLocation", str(tmp_path / "tc")).trigger(availableNow=True).start()
     assert q.awaitTermination(120) and spark.table("waits").first().rate == 10.0
+
+
+def mp4(duration, scale, rate, channels, version=0, video_first=True):
+    box = lambda kind, body: packing.pack(">I", 8 + len(body)) + kind + body
+
+    def track(kind, entry):
+        times = bytes([version, 0, 0, 0]) + (bytes(16) + packing.pack(">IQ", scale, duration) if version else bytes(8) + packing.pack(">II", scale, duration))
+        handler = bytes(8) + kind + bytes(12)
+        return box(b"trak", box(b"tkhd", bytes(80)) + box(b"mdia", box(b"mdhd", times + bytes(4)) + box(b"hdlr", handler) + box(b"minf", box(b"stbl", box(b"stsd", packing.pack(">II", 0, 1) + entry)))))
+
+    sound = box(b"mp4a", bytes(8) + bytes(8) + packing.pack(">HHHHI", channels, 16, 0, 0, rate << 16))
+    tracks = track(b"vide", box(b"avc1", bytes(70))) * video_first + track(b"soun", sound)
+    wide = packing.pack(">I", 1) + b"mdat" + packing.pack(">Q", 16 + 20) + bytes(20)
+    return box(b"ftyp", b"M4A \0\0\0\0") + wide + box(b"moov", box(b"mvhd", bytes(100)) + tracks)
+
+
+def test_m4a_and_adts_headers():
+    for version in (0, 1):
+        assert media.audio_properties(mp4(441_000, 44_100, 44_100, 2, version)) == (10_000, 44_100, 2)
+    assert media.audio_properties(mp4(48_000, 48_000, 0, 1, video_first=False)) == (1000, 48_000, 1)
+    assert media.audio_properties(mp4(5, 0, 8_000, 1)) == (0, 8_000, 1)
+    assert media.audio_properties(mp4(1, 1, 1, 1)[:60]) is None
+
+    def frame(size, index=4, channels=2, blocks=1):
+        head = bytes([0xFF, 0xF1, 1 << 6 | index << 2 | channels >> 2, (channels & 3) << 6 | size >> 11, size >> 3 & 255, (size & 7) << 5 | 0x1F, 0xFC | blocks - 1])
+        return head + bytes(size - 7)
+
+    assert media.audio_properties(frame(300) * 430) == (430 * 1024 * 1000 // 44_100, 44_100, 2)
+    assert media.audio_properties(b"ID3\x04\0\0\0\0\0\x05" + bytes(5) + frame(9, 11, 1, 2) * 3 + b"end") == (3 * 2048 * 1000 // 8000, 8_000, 1)
+    assert media.audio_properties(frame(300, 15)) is None and media.audio_properties(bytes([0xFF, 0xF1, 0x50, 0, 0, 0, 0])) is None
