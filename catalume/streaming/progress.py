@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,6 +61,118 @@ def ewma_stream(ticks: DataFrame, key: str, order: str, value: str, alpha: float
     return ticks.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, n bigint, rate double", "n bigint, rate double", "update", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of a write, and how often what has come is written.
+FLUSH_ROWS, FLUSH_EVERY = 64, "100 milliseconds"
+
+
+def write_slices(rows: DataFrame, key: str, write: Callable[[pd.DataFrame, str], None], name: str, size: int = FLUSH_ROWS) -> DataFrame:
+    """(key, error) of rows handed to `write` in slices of at most `size`; a slice that fails is repeated row by row, so a bad row fails alone.
+
+    `write` runs in tasks and gets a slice and its name, which is the same when a task or a
+    micro-batch is repeated (for equal input), so that it can put the slice in place of an earlier attempt. A slice
+    that has failed has stored nothing that counts: `write` is all or nothing.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, n = TaskContext.get().partitionId(), 0
+        for frame in frames:
+            for lo in range(0, len(frame), size):
+                own, label = frame.iloc[lo : lo + size], f"{name}-{part}-{n}"
+                n += 1
+                errors: list[str | None] = [None] * len(own)
+                try:
+                    write(own, label)
+                except Exception:
+                    for i in range(len(own)):
+                        try:
+                            write(own.iloc[i : i + 1], f"{label}-{i}")
+                        except Exception as e:  # the row's own failure
+                            errors[i] = str(e) or type(e).__name__
+                yield pd.DataFrame({key: own[key].to_numpy(), "error": errors})
+
+    return rows.mapInPandas(run, f"{key} {kind}, error string")
+
+
+def flushed(stream: DataFrame, key: str, write: Callable[[pd.DataFrame, str], None], outcome: str, checkpoint: str, every: str | None = FLUSH_EVERY, size: int = FLUSH_ROWS) -> StreamingQuery:
+    """Writes a stream's rows by `write_slices` when `size` have come or `every` has passed; what became of each row is stored under `outcome`.
+
+    A micro-batch repeated from the checkpoint has the names of the first attempt. Without
+    `every` what is there is written and the query ends.
+    """
+
+    def flush(rows: DataFrame, batch: int) -> None:
+        write_slices(rows, key, write, f"batch-{batch}", size).write.mode("overwrite").parquet(f"{outcome}/batch={batch}")
+
+    return write_batches(stream, flush, checkpoint, every)
+
+
+def folded_requests(state: dict, messages: list[tuple]) -> list[tuple]:
+    """Plays messages (seq, action, ids, n) against a session's state and gives a row for each `take`: (seq, ids, queued, processing, loaded, failed).
+
+    state has pending (ids, the latest last), taken, loaded and failed. request: ids that are
+    neither pending nor taken come on top, in their order. cancel: ids leave both, and may be
+    asked for again. take: up to n ids from the top are taken. done and fail: taken ids leave
+    and are counted; others are ignored. clear: all is as in the beginning.
+    """
+    out = []
+    pending, taken = dict.fromkeys(state["pending"]), dict.fromkeys(state["taken"])
+    for seq, action, ids, n in messages:
+        if action == "request":
+            pending.update(dict.fromkeys(i for i in ids if i not in pending and i not in taken))
+        elif action == "cancel":
+            for i in ids:
+                pending.pop(i, None)
+                taken.pop(i, None)
+        elif action in ("done", "fail"):
+            ended = [i for i in dict.fromkeys(ids) if i in taken]
+            for i in ended:
+                del taken[i]
+            state["loaded" if action == "done" else "failed"] += len(ended)
+        elif action == "clear":
+            pending, taken = {}, {}
+            state["loaded"] = state["failed"] = 0
+        elif action == "take":
+            batch = [pending.popitem()[0] for _ in range(min(max(0, n), len(pending)))]
+            taken.update(dict.fromkeys(batch))
+            out.append((seq, batch, len(pending), len(taken), state["loaded"], state["failed"]))
+    state["pending"], state["taken"] = list(pending), list(taken)
+    return out
+
+
+_TAKES = "seq bigint, ids array<bigint>, queued int, processing int, loaded bigint, failed bigint"
+
+
+def request_stack(messages: DataFrame, key: str, idle_ms: int | None = None) -> DataFrame:
+    """(key, seq, ids, queued, processing, loaded, failed): the batches that workers take from each session's stack of requests, see `folded_requests`.
+
+    messages: key, seq (the order inside a key and micro-batch), action, ids and n. A stack
+    lives as the state of its key and, with `idle_ms`, is forgotten after that time without a
+    message (for queries that go on; one that ends when all is read waits for its timers).
+    Null ids and actions of another name count as nothing.
+    """
+    kind = messages.schema[key].dataType.simpleString()
+    columns = ["seq", "ids", "queued", "processing", "loaded", "failed"]
+
+    def fold(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pending, taken, loaded, failed = state.get if state.exists else ([], [], 0, 0)
+        own = {"pending": list(pending), "taken": list(taken), "loaded": loaded, "failed": failed}
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        played = [(int(s), a, [int(i) for i in (ids if ids is not None else []) if i == i and i is not None], 0 if n != n or n is None else int(n)) for s, a, ids, n in zip(rows["seq"], rows["action"], rows["ids"], rows["n"])]
+        found = folded_requests(own, played)
+        state.update((own["pending"], own["taken"], own["loaded"], own["failed"]))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        if found:
+            yield pd.DataFrame(found, columns=columns).assign(**{key: name[0]})[[key, *columns]]
+
+    held = "pending array<bigint>, taken array<bigint>, loaded bigint, failed bigint"
+    return messages.select(key, "seq", "action", "ids", "n").groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {_TAKES}", held, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
 class Latest:
     """Latest wins: a newer query of the same name cancels the one that runs."""
 
