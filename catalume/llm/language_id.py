@@ -23,6 +23,8 @@ SAMPLE_DOCS = 150
 ROUNDS = 3
 #: Bytes up to which a word's scaled sums fit a double; longer words are summed in logarithms, and the fit cuts them here.
 WORD_BYTES = 64
+#: Scaled sums below this are taken again in logarithms.
+FLOOR = 1e-200
 #: Every piece's probability is scaled by this to the power of its length, against underflow.
 SCALE = 16.0
 CACHE_WORDS = 400_000
@@ -122,7 +124,12 @@ class Model:
         return alpha[offsets[1:] + np.arange(len(offsets) - 1)]
 
     def log_probability(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each word in each language."""
+        """Natural log-probability of each word in each language.
+
+        Short words are summed with scaled probabilities, and again in logarithms where that comes
+        near to what a double holds: over WORD_BYTES bytes the scaling gains at most a factor
+        of 10^80, so a sum over FLOOR has lost nothing to underflow on its way.
+        """
         out, size = np.empty((len(offsets) - 1, len(self.languages))), np.diff(offsets)
         short = size <= WORD_BYTES + len(_MARK)
         for rows, logs in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
@@ -132,8 +139,11 @@ class Model:
                 if logs:
                     out[own] = self.forward_logs(part, at)
                 else:
-                    alpha = self.forward(part, at, self.edges(part, at))
-                    out[own] = np.log(np.maximum(alpha[at[1:] + np.arange(len(own))], 1e-300)) - (size[own] * np.log(SCALE))[:, None]
+                    alpha = self.forward(part, at, self.edges(part, at))[at[1:] + np.arange(len(own))]
+                    out[own] = np.log(np.maximum(alpha, FLOOR)) - (size[own] * np.log(SCALE))[:, None]
+                    faint = own[(alpha < FLOOR).any(1)]
+                    if len(faint):
+                        out[faint] = self.forward_logs(data[K.ranges(offsets[faint], size[faint])], np.concatenate(([0], np.cumsum(size[faint]))))
         return out
 
     def learn(self, data: np.ndarray, offsets: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> None:

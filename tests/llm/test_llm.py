@@ -896,6 +896,18 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(long[1], model.forward_logs(junk[5000:], np.array([0, 80])))
 
 
+def test_faint_words_lose_no_evidence():
+    """Words of 54 to 64 bytes that no piece covers score as their logarithmic sums, and longer words score lower."""
+    pieces = [bytes([b]) for b in range(256)]
+    hashes = K.span_hashes(K.prefix_hashes(np.frombuffer(b"".join(pieces), np.uint8)), np.arange(256), np.arange(1, 257))
+    order = np.argsort(hashes)
+    model = language_id.Model(["x", "y"], np.zeros(2), hashes[order], np.tile([1e-7, 2e-7], (256, 1)), [1])
+    sizes = np.arange(40, 75)
+    data, offsets = np.full(sizes.sum(), ord("q"), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
+    got = model.log_probability(data, offsets)
+    assert np.allclose(got, sizes[:, None] * np.log([[1e-7, 2e-7]])) and (np.diff(got, axis=0) < 0).all()
+
+
 def test_language_id_against_brute_force(spark, docs, rows):
     """Language and score of each text from a plain sum over all segmentations of its words."""
     df = spark.read.parquet(f"{SF}/documents.parquet")
