@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections import Counter, OrderedDict
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack, contextmanager
+from functools import partial
 from typing import BinaryIO
 
 import pandas as pd
@@ -41,9 +44,13 @@ def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
     return files(spark, root).agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))
 
 
+def _located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+
+
 def opened(path: str) -> BinaryIO:
     """A file that can seek, on any file system that Arrow knows by the path's scheme."""
-    fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+    fs, at = _located(path)
     return fs.open_input_file(at)
 
 
@@ -59,7 +66,7 @@ def list_entries(data: bytes | BinaryIO, prefix: str = "") -> Iterator[tuple[str
             name = prefix + info.filename
             if info.filename.lower().endswith(".zip"):
                 try:
-                    inner = list(list_entries(archive.read(info), name + "/"))
+                    inner = list(list_entries(_inner(archive, info.filename), name + "/"))
                 except Exception as e:  # whatever a broken archive raises is this entry's
                     inner = [(name, None, None, str(e) or type(e).__name__)]
                 yield from inner
@@ -148,22 +155,87 @@ def scan_warnings(spark: SparkSession, root: str) -> DataFrame:
     return warnings(scan(spark, root, 0))
 
 
-def _read(archive: zipfile.ZipFile, entry: str, inner: dict[str, zipfile.ZipFile]) -> bytes:
-    """The bytes of an entry; each nested archive on the way is opened once."""
+#: Bytes of nested archives that a worker keeps, and of one nested archive at most.
+CACHE_BYTES, MOST_INNER = 256 << 20, 1 << 30
+
+
+class ArchiveCache:
+    """Opened nested archives by key, the least recently used ones dropped when their bytes are over the budget.
+
+    An archive is pinned while it is read from; pinned ones stay even over the budget, so one
+    that is larger than the budget is held for as long as it is in use and no longer.
+    """
+
+    def __init__(self, budget: int = CACHE_BYTES) -> None:
+        self.budget, self.bytes, self.opened = budget, 0, 0
+        self.held: OrderedDict[str, tuple[zipfile.ZipFile, int]] = OrderedDict()
+        self.pins: Counter[str] = Counter()
+
+    @contextmanager
+    def open(self, key: str, load: Callable[[], bytes]) -> Iterator[zipfile.ZipFile]:
+        if key not in self.held:
+            data = load()
+            self.held[key] = (zipfile.ZipFile(io.BytesIO(data)), len(data))
+            self.bytes += len(data)
+            self.opened += 1
+        self.held.move_to_end(key)
+        self.pins[key] += 1
+        self._drop()
+        try:
+            yield self.held[key][0]
+        finally:
+            self.pins[key] -= 1
+            self._drop()
+
+    def _drop(self) -> None:
+        for key in [k for k in self.held if not self.pins[k]]:
+            if self.bytes <= self.budget:
+                return
+            archive, size = self.held.pop(key)
+            archive.close()
+            self.bytes -= size
+
+
+_CACHE = ArchiveCache()
+
+
+def worker_cache() -> ArchiveCache:
+    """What a worker keeps from one batch to the next; a function, so that tasks take their own process's and no copy."""
+    return _CACHE
+
+
+def _inner(archive: zipfile.ZipFile, entry: str, most: int = MOST_INNER) -> bytes:
+    """A nested archive's bytes; one that is larger than `most`, whatever its directory says, is an error."""
+    with archive.open(entry) as f:
+        data = f.read(most + 1)
+    if len(data) > most:
+        raise ValueError(f"nested archive of more than {most} bytes")
+    return data
+
+
+def _read(archive: zipfile.ZipFile, entry: str, cache: ArchiveCache, name: str) -> bytes:
+    """The bytes of an entry; the nested archives on the way come from the cache, under the outer one's name and their own path."""
     low, at = entry.lower(), 0
-    while (end := low.find(".zip/", at)) >= 0:
-        key = entry[: end + 4]
-        if key not in inner:
-            inner[key] = zipfile.ZipFile(io.BytesIO(archive.read(entry[at : end + 4])))
-        archive, at = inner[key], end + 5
-    return archive.read(entry[at:])
+    with ExitStack() as pinned:
+        while (end := low.find(".zip/", at)) >= 0:
+            load = partial(_inner, archive, entry[at : end + 4])
+            archive, at = pinned.enter_context(cache.open(f"{name}::{entry[: end + 4]}", load)), end + 5
+        return archive.read(entry[at:])
+
+
+def _version(path: str) -> str:
+    """A file's path with its size and time, so that a changed archive is another one."""
+    fs, at = _located(path)
+    info = fs.get_file_info(at)
+    return f"{path}@{info.size}@{info.mtime_ns}"
 
 
 def read_entries(contents: DataFrame | None, wanted: DataFrame) -> DataFrame:
     """(zip_path, zip_entry, data, error) of the wanted (zip_path, zip_entry) rows; what fails is an error in its row.
 
     An archive's wanted entries are gathered beside it, so it is opened once: where it lies,
-    or, with contents (path, content), from there.
+    or, with contents (path, content), from there. Nested archives of those that lie in files
+    stay open from batch to batch, see `ArchiveCache`.
     """
     lists = wanted.groupBy("zip_path").agg(F.collect_set("zip_entry").alias("entries"))
     held = contents is not None
@@ -177,10 +249,10 @@ def read_entries(contents: DataFrame | None, wanted: DataFrame) -> DataFrame:
                 except Exception as e:  # a broken archive fails for each of its wanted entries
                     yield pd.DataFrame({"zip_path": path, "zip_entry": list(names), "data": None, "error": str(e)})
                     continue
-                inner: dict[str, zipfile.ZipFile] = {}
+                cache, own = (ArchiveCache(), "held") if held else (worker_cache(), _version(path))
                 for name in sorted(names):
                     try:
-                        row = {"data": [_read(archive, name, inner)], "error": [None]}
+                        row = {"data": [_read(archive, name, cache, own)], "error": [None]}
                     except Exception as e:  # the entry's own failure
                         row = {"data": [None], "error": [str(e)]}
                     yield pd.DataFrame({"zip_path": [path], "zip_entry": [name]} | row)

@@ -8,6 +8,7 @@ import zipfile
 import zlib
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from catalume.plans.catalogue import Catalogue
@@ -358,3 +359,67 @@ def test_m4a_and_adts_headers():
     assert media.audio_properties(frame(300) * 430) == (430 * 1024 * 1000 // 44_100, 44_100, 2)
     assert media.audio_properties(b"ID3\x04\0\0\0\0\0\x05" + bytes(5) + frame(9, 11, 1, 2) * 3 + b"end") == (3 * 2048 * 1000 // 8000, 8_000, 1)
     assert media.audio_properties(frame(300, 15)) is None and media.audio_properties(bytes([0xFF, 0xF1, 0x50, 0, 0, 0, 0])) is None
+
+
+def nested_zip(tmp_path, names=("i.zip", "j.zip", "k.zip"), size=3000):
+    import io
+    import zipfile
+
+    outer = io.BytesIO()
+    with zipfile.ZipFile(outer, "w") as z:
+        for name in names:
+            inner = io.BytesIO()
+            with zipfile.ZipFile(inner, "w") as y:
+                y.writestr("deep.zip", _one_entry())
+                for k in range(6):
+                    y.writestr(f"{k}.bin", bytes([k]) * (size // 6))
+            z.writestr(name, inner.getvalue())
+    path = tmp_path / "outer.zip"
+    path.write_bytes(outer.getvalue())
+    return str(path)
+
+
+def _one_entry():
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("x.txt", "x")
+    return out.getvalue()
+
+
+def test_nested_archives_are_opened_once_under_a_budget(tmp_path, monkeypatch):
+    import zipfile
+
+    cache, outer = archives.ArchiveCache(budget=9000), zipfile.ZipFile(nested_zip(tmp_path))
+    for _ in range(4):
+        for name in ("i.zip", "j.zip"):
+            assert archives._read(outer, f"{name}/3.bin", cache, "o") == bytes([3]) * 500
+    assert cache.opened == 2 and 0 < cache.bytes <= 9000
+    assert archives._read(outer, "i.zip/deep.zip/x.txt", cache, "o") == b"x" and "o::i.zip/deep.zip" in cache.held
+    archives._read(outer, "k.zip/0.bin", cache, "o")
+    assert cache.bytes <= 9000 and "o::j.zip" not in cache.held  # the least recently used one went
+    archives._read(outer, "j.zip/0.bin", cache, "another outer")
+    assert cache.opened == 5
+    small = archives.ArchiveCache(budget=10)
+    assert archives._read(outer, "i.zip/deep.zip/x.txt", small, "o") == b"x" and small.bytes == 0 and not small.held
+    with pytest.raises(ValueError, match="more than 100 bytes"):
+        archives._inner(outer, "i.zip", 100)
+    with pytest.raises(KeyError):
+        archives._read(outer, "i.zip/none", cache, "o")
+    assert not +cache.pins
+
+
+def test_nested_entries_through_the_workers_cache(spark, tmp_path):
+    """A second pass, which may meet what a worker has kept, and a changed file, which must not."""
+    path = nested_zip(tmp_path)
+    wanted = spark.createDataFrame([(path, f"{n}/{k}.bin") for n in ("i.zip", "j.zip") for k in range(6)], "zip_path string, zip_entry string").coalesce(1)
+    for _ in range(2):
+        rows = archives.read_entries(None, wanted).collect()
+        assert len(rows) == 12 and all(r.error is None and r.data == bytes([int(r.zip_entry[6])]) * 500 for r in rows)
+    (tmp_path / "outer.zip").unlink()
+    nested_zip(tmp_path, size=600)
+    assert {len(r.data) for r in archives.read_entries(None, wanted).collect()} == {100}
+    cloudpickle.loads(cloudpickle.dumps(archives.worker_cache))  # by name: tasks take their own process's cache
+    assert cloudpickle.loads(cloudpickle.dumps(archives.worker_cache))() is archives.worker_cache()
