@@ -59,6 +59,8 @@ TEMPLATES = {
 
 #: Share of a template's distinct words that a block must hold.
 CONTAINMENT = 0.8
+#: Words of a line that counts as a block, in windows; what stands scattered over a longer line is no statement.
+LINE_WINDOWS = 2
 #: Words of a window for each word of the template: room for a few words of a comment's frame.
 WINDOW = 1.25
 
@@ -195,7 +197,7 @@ class TemplateIndex:
         for (b, number), place in places.items():
             entry = self.entries[number]
             lo, hi = (int(x) for x in np.searchsorted(block, (b, b + 1)))
-            if hi - lo < entry.least:  # length: too few words
+            if not entry.least <= hi - lo <= LINE_WINDOWS * entry.width:  # length: too few words, or a line that is no block
                 continue
             if b not in ranks:
                 own = np.unique(hashes[lo:hi])
@@ -256,8 +258,8 @@ class TemplateIndex:
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, containment: float = CONTAINMENT, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every whole text.
 
-    A block is a line, or a window of consecutive words, over line ends, of WINDOW times the
-    template's length (shorter where the text ends). It carries a template's label if it holds
+    A block is a window of consecutive words, over line ends, of WINDOW times the template's
+    length (shorter where the text ends), or a line of at most LINE_WINDOWS times as many words. It carries a template's label if it holds
     at least `containment` of the template's distinct words and all that tell it apart from
     templates alike (see TemplateIndex); prefix words by global frequency propose, and the
     length and position filters prune before the sets are compared, so every such block is

@@ -786,7 +786,7 @@ def brute_license(text, windows=False):
     for line in low.split("\n"):
         lines.append((at, at := at + len(words(line))))
     for k, (label, own, _, _, _, width) in enumerate(entries):
-        blocks = lines + [(i, min(i + width, len(w))) for i in range(len(w) if windows else 0)]
+        blocks = [(lo, hi) for lo, hi in lines if hi - lo <= 2 * width] + [(i, min(i + width, len(w))) for i in range(len(w) if windows else 0)]
         for lo, hi in blocks:
             have = set(w[lo:hi])
             if holds(k, have) and not outdone(k, lo, hi):
@@ -842,6 +842,19 @@ def test_licenses_in_a_very_long_text(spark):
     assert row.labels == "apache-2.0" and row.n_words > 201_000
 
 
+def test_scattered_words_of_a_long_line_are_no_statement(spark):
+    """The words of each template, fifty words apart on one line, give no label; the template itself in the midst of a line does."""
+    rows, k = [], 0
+    for label, group in licenses.TEMPLATES.items():
+        for text in group:
+            apart = (" " + " ".join(f"filler{i}" for i in range(50)) + " ").join(text.split())
+            rows += [(k, apart, ""), (k + 1, f"{'before ' * 300}{text}{' after' * 300}", label)]
+            k += 2
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for k, _, label in rows:
+        assert label in got[k].split(",") if label else not got[k], (k, got[k])
+
+
 def test_the_position_filter_prunes(monkeypatch):
     """A line that holds a prefix word but too few template words after it is not compared."""
     index = licenses.TemplateIndex({"x": ["alpha beta gamma delta epsilon"]}, {}, 0.8)
