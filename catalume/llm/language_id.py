@@ -23,6 +23,8 @@ SAMPLE_DOCS = 150
 ROUNDS = 3
 #: Bytes up to which a word's scaled sums fit a double; longer words are summed in logarithms, and the fit cuts them here.
 WORD_BYTES = 64
+#: Words that are summed at once, which bounds a worker's memory.
+STEP_WORDS = 5_000
 #: Scaled sums below this are taken again in logarithms.
 FLOOR = 1e-200
 #: Every piece's probability is scaled by this to the power of its length, against underflow.
@@ -133,8 +135,8 @@ class Model:
         out, size = np.empty((len(offsets) - 1, len(self.languages))), np.diff(offsets)
         short = size <= WORD_BYTES + len(_MARK)
         for rows, logs in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
-            for lo in range(0, len(rows), 20_000):
-                own = rows[lo : lo + 20_000]
+            for lo in range(0, len(rows), STEP_WORDS):
+                own = rows[lo : lo + STEP_WORDS]
                 part, at = data[K.ranges(offsets[own], size[own])], np.concatenate(([0], np.cumsum(size[own])))
                 if logs:
                     out[own] = self.forward_logs(part, at)
