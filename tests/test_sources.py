@@ -35,6 +35,14 @@ def wav(samples=4410):
     return out.getvalue()
 
 
+def test_wav_durations_are_whole_milliseconds():
+    """8 * 1011 samples at 8000 Hz are 1011 ms; as a quotient of floats they were 1010."""
+    for ms in (1010, 1011, 4047, 4079, 16313):
+        n = 8 * ms
+        head = b"RIFF" + packing.pack("<I", 36 + n) + b"WAVEfmt " + packing.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + packing.pack("<I", n)
+        assert media.audio_properties(head + bytes(n)) == (ms, 8000, 1)
+
+
 def zipped(entries):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
