@@ -39,6 +39,14 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return out.where(~F.col("filename").startswith(".") & ~F.col("rel_path").rlike(r"(^|/)\."))
 
 
+def places(spark: SparkSession, root: str) -> DataFrame:
+    """(filename, extension, rel_path, file_size) of what lies directly below root: its files, and each folder in it as one place with the bytes of all files below it."""
+    found = files(spark, root)
+    top = F.when(F.col("rel_path") == "", F.col("filename")).otherwise(F.substring_index("rel_path", "/", 1))
+    each = found.groupBy(top.alias("filename")).agg(F.sum("file_size").alias("file_size"))
+    return each.select("filename", F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)).alias("extension"), F.lit("").alias("rel_path"), "file_size")
+
+
 def folder_bytes(spark: SparkSession, root: str) -> DataFrame:
     """One row: the files below root and their bytes."""
     return files(spark, root).agg(F.count("*").alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))

@@ -71,6 +71,26 @@ def test_listing(spark, folder):
     assert archives.folder_bytes(spark, str(folder)).first().files == 5
 
 
+def test_a_folder_of_parts_is_one_place(spark, tmp_path):
+    """Tables as a file, as a folder of parts and as nested parts."""
+    for name in ("a.parquet", "b.parquet/part-0", "b.parquet/part-1", "c.PARQUET/k=1/part-0", "b.parquet/.part-1.crc", ".d/part-0"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    got = {(r.filename, r.extension, r.rel_path, r.file_size) for r in archives.places(spark, str(tmp_path)).collect()}
+    assert got == {("a.parquet", "parquet", "", 5), ("b.parquet", "parquet", "", 10), ("c.PARQUET", "parquet", "", 5)}
+
+
+def test_folder_scan_over_tables_in_parts(spark, tmp_path):
+    from catalume.plans import queries as catalogue
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("labels", "documents"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(2).write.parquet(str(tmp_path / f"{name}.parquet"))
+    spark.read.parquet(f"{sf}/region.parquet").toPandas().to_parquet(tmp_path / "region.parquet")
+    got = sorted((r.filename, r.extension, r.rel_path, r.has_bytes) for r in catalogue.queries()["folder_scan"](spark, str(tmp_path)).collect())
+    assert got == [(f"{n}.parquet", "parquet", "", True) for n in ("documents", "labels", "region")]
+
+
 def test_entries_and_reads(spark, folder):
     contents = archives.read_archives(spark, str(folder))
     errors = archives.entries(contents).where("error is not null").collect()
