@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark import TaskContext
@@ -66,30 +67,38 @@ FLUSH_ROWS, FLUSH_EVERY = 64, "100 milliseconds"
 
 
 def write_slices(rows: DataFrame, key: str, write: Callable[[pd.DataFrame, str], None], name: str, size: int = FLUSH_ROWS) -> DataFrame:
-    """(key, error) of rows handed to `write` in slices of at most `size`; a slice that fails is repeated row by row, so a bad row fails alone.
+    """(key, error) of rows handed to `write` in slices of at most `size`; a slice that fails is halved again and again, so a bad row fails alone.
 
     `write` runs in tasks and gets a slice and its name, which is the same when a task or a
     micro-batch is repeated (for equal input), so that it can put the slice in place of an earlier attempt. A slice
     that has failed has stored nothing that counts: `write` is all or nothing.
+
+    If `write` has a method `opened`, a task calls it with its own name and gives its slices
+    to what the context holds; the context ends when the task's rows have, and then stores
+    them, so that a task can make one file of many slices.
     """
     kind = rows.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n = TaskContext.get().partitionId(), 0
-        for frame in frames:
-            for lo in range(0, len(frame), size):
-                own, label = frame.iloc[lo : lo + size], f"{name}-{part}-{n}"
-                n += 1
-                errors: list[str | None] = [None] * len(own)
-                try:
-                    write(own, label)
-                except Exception:
-                    for i in range(len(own)):
+        with write.opened(f"{name}-{part}") if hasattr(write, "opened") else nullcontext(write) as put:
+            for frame in frames:
+                errors: list[str | None] = [None] * len(frame)
+                for lo in range(0, len(frame), size):
+                    label = f"{name}-{part}-{n}"
+                    n += 1
+                    left = [(lo, min(lo + size, len(frame)), label)]
+                    while left:
+                        a, b, own = left.pop()
                         try:
-                            write(own.iloc[i : i + 1], f"{label}-{i}")
-                        except Exception as e:  # the row's own failure
-                            errors[i] = str(e) or type(e).__name__
-                yield pd.DataFrame({key: own[key].to_numpy(), "error": errors})
+                            put(frame.iloc[a:b], own)
+                        except Exception as e:
+                            if b - a == 1:  # the row's own failure
+                                errors[a] = str(e) or type(e).__name__
+                            else:
+                                middle = (a + b) // 2
+                                left += [(middle, b, f"{label}-{middle - lo}-{b - lo}"), (a, middle, f"{label}-{a - lo}-{middle - lo}")]
+                yield pd.DataFrame({key: frame[key].to_numpy(), "error": pd.Series(errors, dtype=object)})
 
     return rows.mapInPandas(run, f"{key} {kind}, error string")
 

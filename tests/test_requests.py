@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 
+from catalume.plans import kept_queries
 from catalume.plans import queries as Q
 from catalume.plans.kept_queries import request_messages
 from catalume.streaming import progress
@@ -72,3 +73,24 @@ def test_a_bad_row_fails_alone(spark, tmp_path):
     assert sorted(k for f in files for k in f["k"]) == [k for k in range(100) if k not in (3, 40, 41)]
     assert max(map(len, files)) == 16
     assert progress.write_slices(rows.limit(0), "k", write, "b1").count() == 0
+
+
+def test_a_bad_row_costs_few_writes_and_a_task_one_file(spark, tmp_path):
+    """Of 64 rows with a bad one, 63 were written one by one before."""
+    tried = spark.sparkContext.accumulator(0)
+
+    def write(frame: pd.DataFrame, name: str) -> None:
+        tried.add(1)
+        if (frame["k"] == 41).any():
+            raise ValueError("bad")
+
+    rows = spark.range(128).withColumnRenamed("id", "k").coalesce(1)
+    assert [r.k for r in progress.write_slices(rows, "k", write, "b").collect() if r.error] == [41]
+    assert tried.value == 2 + 2 * 6
+    sink = kept_queries._Refusing(str(tmp_path / "rows"), most_slices=3)
+    for _ in range(2):  # a repeated attempt stores nothing twice
+        got = progress.write_slices(spark.range(1000).withColumnRenamed("id", "event_id").repartition(3, "event_id"), "event_id", sink, "b").collect()
+    bad = set(range(7, 1000, 101))
+    assert {r.event_id for r in got if r.error == "refused"} == bad and len(got) == 1000
+    assert sorted(f.name for f in (tmp_path / "rows").iterdir()) == ["b-0.parquet", "b-1.parquet", "b-2.parquet"]
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == [k for k in range(1000) if k not in bad]
