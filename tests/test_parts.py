@@ -126,3 +126,18 @@ def test_medians(spark, monkeypatch):
     want = {r.key: r for r in df.groupBy("key").agg(F.count("*").alias("n"), F.median("v").alias("median")).collect()}
     assert {k: (r.n, repr(r.median)) for k, r in got.items()} == {k: (r.n, repr(r.median)) for k, r in want.items()}
     assert work.medians(df.limit(0), "key", "v").count() == 0
+
+
+def test_pivots_that_prune_nothing_are_left_out(spark, monkeypatch):
+    """Random vectors at a low threshold were copied into half of all cells; clustered ones keep their cells."""
+    monkeypatch.setattr(J, "PIVOT_ROWS", 10)
+    draw = np.random.default_rng(4)
+    rows = [(k, v, 0) for k, v in enumerate(draw.normal(size=(600, 64)).tolist())]
+    base = J.distinct_vectors(spark.createDataFrame(rows, "asset_id long, embedding array<double>, t int"), "t").cache()
+    pivots = J._pivots(base, 1024)
+    assert J.placed(base, 0.25, pivots).count() > 5 * len(rows)
+    assert J.placed(base, 0.25, J._worthwhile(base, 0.25, pivots)).count() == len(rows)
+    near = [(i, v, 0) for i, v, _ in vectors(spark, draw, 30, 20, dim=32)]
+    base = J.distinct_vectors(spark.createDataFrame(near, "asset_id long, embedding array<double>, t int"), "t").cache()
+    pivots = J._pivots(base, 1024)
+    assert sum(len(n) for n, _ in J._worthwhile(base, 0.95, pivots).values()) > 10
