@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.functions.scalars import hamming_similarity
-from catalume.functions.vectors import cosine
+from catalume.operators.vector import block_cosines, packed, unpacked
 
 
 def hamming_pairs(hashes: DataFrame, below: int = 10, bits: int = 64) -> DataFrame:
@@ -41,10 +46,27 @@ def average_hash(values: F.Column) -> F.Column:
 
 
 def same_type_pairs(items: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
-    """(probe_id, asset_id, similarity) of items of the probe's type, itself left out, over a cosine threshold; probes are a stated set."""
-    asked = probes.select(F.col("asset_id").alias("probe_id"), F.col("label").alias("__label"), F.col("embedding").alias("__probe"))
-    joined = items.join(asked, (F.col("label") == F.col("__label")) & (F.col("asset_id") != F.col("probe_id")))
-    return joined.select("probe_id", "asset_id", cosine(F.col("embedding"), F.col("__probe")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(probe_id, asset_id, similarity) of items of the probe's type, itself left out, over a cosine threshold; probes are a stated set.
+
+    Blocks of items meet blocks of probes, which are broadcast, and a type's vectors are multiplied as matrices.
+    """
+    columns = ["asset_id", "label", "embedding"]
+    own, asked = items.where("label is not null").select(columns), probes.where("label is not null").select(columns)
+    each = packed(own, "items").crossJoin(F.broadcast(packed(asked, "probes")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                x, y = map(unpacked, row)
+                for label in set(pc.unique(x.column(1)).to_pylist()) & set(pc.unique(y.column(1)).to_pylist()):
+                    a, b = (t.filter(pc.equal(t.column(1), pa.scalar(label, t.schema.field(1).type))).combine_chunks() for t in (x, y))
+                    for lo, near, known in block_cosines(a.column(2), b.column(2)):
+                        i, j = np.nonzero(known & ((near >= threshold) | np.isnan(near)))  # NaN is over all numbers, as in SQL
+                        out = pa.table([b.column(0).take(pa.array(j)), a.column(0).take(pa.array(i + lo)), pa.array(near[i, j])], ["probe_id", "asset_id", "similarity"])
+                        yield from out.filter(pc.not_equal(out.column(0), out.column(1))).combine_chunks().to_batches()
+
+    kinds = [df.schema["asset_id"].dataType.simpleString() for df in (probes, items)]
+    return each.mapInArrow(run, f"probe_id {kinds[0]}, asset_id {kinds[1]}, similarity double")
 
 
 def exact_groups(items: DataFrame, fingerprint: str, id_column: str = "id") -> DataFrame:

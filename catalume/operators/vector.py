@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +45,83 @@ def post_filter(ranked: DataFrame, text: str) -> DataFrame:
     return ranked.where(F.contains(F.lower("filename"), F.lit(text.lower())))
 
 
-def similarity_matrix(items: DataFrame, queries: DataFrame, metric=cosine, most: int = 10_000) -> DataFrame:
-    """(asset_id, query_id, similarity) of every item and every query. The queries are one broadcast array, of at most `most`, which is checked."""
-    asked = _one_array(queries.select(F.col("query_id").alias("name"), "embedding"), most)
-    each = items.crossJoin(F.broadcast(asked)).select("asset_id", "embedding", F.explode("__all").alias("__q"))
-    return each.select("asset_id", F.col("__q.name").alias("query_id"), metric(F.col("embedding"), F.col("__q.embedding")).alias("similarity"))
+#: Vectors of a packed block, and results that are made at once.
+BLOCK_ROWS, STRIP = 4096, 1 << 18
+
+
+def packed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows in blocks: the one column `name` holds up to BLOCK_ROWS of them as Arrow bytes, in the order in which tasks read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(lo, BLOCK_ROWS))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+    return rows.mapInArrow(run, f"{name} binary")
+
+
+def unpacked(data: pa.Scalar) -> pa.Table:
+    with pa.ipc.open_stream(data.as_buffer()) as block:
+        return block.read_all()
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, norms, known) of a column of arrays in double precision: shorter vectors end in zeros; a null vector or component makes a row unknown."""
+    lists = column.combine_chunks()
+    lists = lists.cast(pa.list_(pa.float64()))
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    known = lists.is_valid().to_numpy(zero_copy_only=False).copy()
+    if flat.null_count:
+        known[np.repeat(np.arange(len(size)), size)[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    out = np.zeros((len(size), int(size.max(initial=0))))
+    out[np.arange(out.shape[1]) < size[:, None]] = pc.fill_null(flat, 0.0).to_numpy(zero_copy_only=False)
+    return out, np.linalg.norm(out, axis=1), known
+
+
+def block_cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, cosines, known) of all of a's vectors and all of b's, a strip of a at a time: a matrix product in double precision, over the shorter length, as `cosine`."""
+    (x, x_norm, x_known), (y, y_norm, y_known) = _matrix(a), _matrix(b)
+    w = min(x.shape[1], y.shape[1])
+    step = max(1, STRIP // max(1, len(y)))
+    for lo in range(0, len(x), step):
+        scale = x_norm[lo : lo + step, None] * y_norm
+        known = (scale != 0) & x_known[lo : lo + step, None] & y_known
+        with np.errstate(divide="ignore", invalid="ignore"):
+            yield lo, x[lo : lo + step, :w] @ y[:, :w].T / scale, known
+
+
+def similarity_matrix(items: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(asset_id, query_id, similarity) of every item and every query by their cosine: blocks of items meet blocks of queries, which are broadcast; nothing is shuffled. With `most`, more queries are an error."""
+    if most is not None:
+        _at_most(queries, most)
+    each = packed(items.select("asset_id", "embedding"), "items").crossJoin(F.broadcast(packed(queries.select("query_id", "embedding"), "queries")))
+    names = ["asset_id", "query_id", "similarity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, asked in zip(*batch.columns):
+                own, asked = unpacked(own), unpacked(asked)
+                ids, others = (t.column(0).combine_chunks() for t in (own, asked))
+                for lo, near, known in block_cosines(own.column(1), asked.column(1)):
+                    i, j = np.divmod(np.arange(near.size), len(others))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + lo)), others.take(pa.array(j)), pa.array(near.ravel(), mask=~known.ravel())], names)
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((items, "asset_id"), (queries, "query_id"))]
+    return each.mapInArrow(run, f"asset_id {kinds[0]}, query_id {kinds[1]}, similarity double")
+
+
+def _at_most(rows: DataFrame, most: int) -> None:
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} vectors to hold against all rows")
 
 
 def _one_array(rows: DataFrame, most: int) -> DataFrame:
     """One row that holds all (name, embedding) rows as an array; more than `most` are an error."""
-    n = rows.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} vectors to hold against all rows")
+    _at_most(rows, most)
     return rows.agg(F.sort_array(F.collect_list(F.struct("name", "embedding"))).alias("__all"))
 
 

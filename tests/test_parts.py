@@ -141,3 +141,26 @@ def test_pivots_that_prune_nothing_are_left_out(spark, monkeypatch):
     base = J.distinct_vectors(spark.createDataFrame(near, "asset_id long, embedding array<double>, t int"), "t").cache()
     pivots = J._pivots(base, 1024)
     assert sum(len(n) for n, _ in J._worthwhile(base, 0.95, pivots).values()) > 10
+
+
+def test_matrices_by_blocks_equal_the_column_expression(spark, monkeypatch):
+    """More queries than one array could hold before; odd vectors as `cosine` has them."""
+    from catalume.functions.vectors import cosine
+    from catalume.operators import duplicates, vector
+
+    draw = np.random.default_rng(8)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 0.0], [float("inf"), 1.0, 0.0], [1.0], [1.0, 2.0, 3.0, 4.0]]
+    rows = [(k, v, k % 2) for k, v in enumerate([*odd, *draw.normal(size=(30, 3)).tolist()])] + [(90, [1.0, 2.0, 3.0], None), (91, [1.0, 2.0, 3.0], None)]
+    items = spark.createDataFrame(rows, "asset_id long, embedding array<float>, label int").repartition(3)
+    asked = items.where("asset_id % 3 <> 1").select(F.col("asset_id").alias("query_id"), F.col("embedding").alias("e2"), F.col("label").alias("l2"))
+    plain = items.crossJoin(asked).withColumn("similarity", cosine(F.col("embedding"), F.col("e2"))).cache()
+    shown = lambda v: "null" if v is None else "nan" if np.isnan(v) else round(v, 9)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 4)
+    got = {(r.asset_id, r.query_id): shown(r.similarity) for r in vector.similarity_matrix(items, asked.withColumnRenamed("e2", "embedding")).collect()}
+    assert got == {(r.asset_id, r.query_id): shown(r.similarity) for r in plain.collect()}
+    want = plain.where("label = l2 and asset_id <> query_id and similarity >= 0.2")
+    pairs = duplicates.same_type_pairs(items, items.where("asset_id % 3 <> 1"), 0.2)
+    assert sorted((r.probe_id, r.asset_id, shown(r.similarity)) for r in pairs.collect()) == sorted((r.query_id, r.asset_id, shown(r.similarity)) for r in want.collect())
+    many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    assert vector.similarity_matrix(items.limit(2), many).count() == 20_002
+    assert vector.similarity_matrix(items, many.limit(0)).count() == 0 and vector.similarity_matrix(items.limit(0), many).count() == 0
