@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,11 +81,29 @@ def _scored(counted: DataFrame, terms: int, k1: float, b: float) -> DataFrame:
 
 
 def _index_rows(texts: DataFrame, column: str, id_column: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (token, id, length, places) and lengths (id, length) of the texts."""
+    """Postings (token, id, length, places) and lengths (id, length) of the texts. A text's postings are made where it is read, without a shuffle."""
     tokens = texts.select(F.col(id_column).alias("id"), F.explode(F.array(word_tokens(F.col(column)))).alias("t"))
-    counted = tokens.select("id", F.size("t").alias("length"), F.posexplode("t").alias("pos", "token"))
-    postings = counted.groupBy("token", "id", "length").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    return postings.select("token", "id", "length", "places"), tokens.select("id", F.size("t").alias("length"))
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not size.sum():
+                continue
+            words = lists.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            entry = row * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(entry, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], np.diff(entry[order]) > 0)))
+            first = order[start]
+            places = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+            own = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(words.indices.take(pa.array(first))), batch.column(0).take(own), pa.array(size[row[first]].astype(np.int32)), places], ["token", "id", "length", "places"])
+
+    kind = tokens.schema["id"].dataType.simpleString()
+    postings = tokens.mapInArrow(invert, f"token string, id {kind}, length int, places array<int>")
+    return postings, tokens.select("id", F.size("t").alias("length"))
 
 
 def _write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int) -> None:

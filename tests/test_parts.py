@@ -164,3 +164,18 @@ def test_matrices_by_blocks_equal_the_column_expression(spark, monkeypatch):
     many = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     assert vector.similarity_matrix(items.limit(2), many).count() == 20_002
     assert vector.similarity_matrix(items, many.limit(0)).count() == 0 and vector.similarity_matrix(items.limit(0), many).count() == 0
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    from catalume.functions.text import word_tokens
+    from catalume.operators import fulltext
+
+    texts = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "b Ä-a b b"), (5, "c")], "id long, text string").repartition(2)
+    postings, lengths = fulltext._index_rows(texts, "text", "id")
+    assert "Aggregate" not in postings._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for r in texts.select("id", word_tokens(F.col("text")).alias("t")).collect():
+        for k, w in enumerate(r.t or []):
+            want.setdefault((w, r.id, len(r.t)), []).append(k)
+    assert {(r.token, r.id, r.length): r.places for r in postings.collect()} == want
+    assert postings.count() == len(want) and lengths.count() == texts.select(F.explode(F.array(word_tokens(F.col("text"))))).count()
