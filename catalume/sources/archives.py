@@ -17,6 +17,7 @@ from functools import partial
 from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +94,16 @@ def entries(archives: DataFrame) -> DataFrame:
     """ENTRY_SCHEMA rows of archives given by path, or as (path, content); a broken archive, outer or inner, is one row with its error."""
     held = "content" in archives.columns
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("zip_path", pa.string()), ("zip_entry", pa.string()), ("file_size", pa.int64()), ("method", pa.int32()), ("error", pa.string())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for i, path in enumerate(batch["path"]) for r in _entry_rows(path, bytes(batch["content"].iloc[i]) if held else None)]
-            yield pd.DataFrame(rows, columns=["zip_path", "zip_entry", "file_size", "method", "error"]).astype({"file_size": "Int64", "method": "Int32"})
+            for row in range(batch.num_rows):  # one archive at a time leaves Arrow's memory
+                content = (batch.column(1)[row].as_py() or b"") if held else None
+                rows = _entry_rows(batch.column(0)[row].as_py(), content)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return archives.select("path", *["content"] * held).mapInPandas(scan, ENTRY_SCHEMA)
+    return archives.select("path", *["content"] * held).mapInArrow(scan, ENTRY_SCHEMA)
 
 
 def archive_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -249,20 +254,27 @@ def read_entries(contents: DataFrame | None, wanted: DataFrame) -> DataFrame:
     held = contents is not None
     joined = contents.select(F.col("path").alias("zip_path"), "content").join(lists, "zip_path") if held else lists.withColumn("content", F.lit(None).cast("binary"))
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("zip_path", pa.string()), ("zip_entry", pa.string()), ("data", pa.binary()), ("error", pa.string())])
+
+    def one(path: str, name: str, data: bytes | None, error: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((path, name, data, error), schema)], schema=schema)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content, names in zip(batch["zip_path"], batch["content"], batch["entries"]):
+            for path, names, content in zip(batch.column("zip_path"), batch.column("entries"), batch.column("content")):
+                path, names = path.as_py(), names.as_py()
                 try:
-                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)) if held else opened(path))
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_py() or b"") if held else opened(path))
                 except Exception as e:  # a broken archive fails for each of its wanted entries
-                    yield pd.DataFrame({"zip_path": path, "zip_entry": list(names), "data": None, "error": str(e)})
+                    yield from (one(path, name, None, str(e)) for name in names)
                     continue
                 cache, own = (ArchiveCache(), "held") if held else (worker_cache(), _version(path))
-                for name in sorted(names):
-                    try:
-                        row = {"data": [_read(archive, name, cache, own)], "error": [None]}
-                    except Exception as e:  # the entry's own failure
-                        row = {"data": [None], "error": [str(e)]}
-                    yield pd.DataFrame({"zip_path": [path], "zip_entry": [name]} | row)
-
-    return joined.mapInPandas(load, "zip_path string, zip_entry string, data binary, error string")
+                with archive:
+                    for name in sorted(names):
+                        try:
+                            data, error = _read(archive, name, cache, own), None
+                        except Exception as e:  # the entry's own failure
+                            data, error = None, str(e)
+                        yield one(path, name, data, error)
+
+    return joined.select("zip_path", "entries", "content").mapInArrow(load, "zip_path string, zip_entry string, data binary, error string")

@@ -451,3 +451,18 @@ def test_nested_entries_through_the_workers_cache(spark, tmp_path):
     assert {len(r.data) for r in archives.read_entries(None, wanted).collect()} == {100}
     cloudpickle.loads(cloudpickle.dumps(archives.worker_cache))  # by name: tasks take their own process's cache
     assert cloudpickle.loads(cloudpickle.dumps(archives.worker_cache))() is archives.worker_cache()
+
+
+def test_archives_leave_arrow_one_at_a_time(spark):
+    """No batch of archives becomes pandas objects as a whole; an archive without content is a row with its error."""
+    data = zipped({"a.txt": b"1", "in.zip": zipped({"b.txt": b"22"}), "empty.txt": b""})
+    contents = spark.createDataFrame([("x", bytearray(data)), ("none", None), ("bad", bytearray(b"no"))], "path string, content binary")
+    found = archives.entries(contents)
+    rows = {(r.zip_path, r.zip_entry): (r.file_size, r.error is None) for r in found.collect()}
+    assert rows == {("x", "a.txt"): (1, True), ("x", "in.zip/b.txt"): (2, True), ("x", "empty.txt"): (0, True), ("none", None): (None, False), ("bad", None): (None, False)}
+    wanted = found.where("zip_path = 'x'").select("zip_path", "zip_entry").union(spark.createDataFrame([("x", "gone"), ("none", "a"), ("bad", "a")], "p string, e string"))
+    read = archives.read_entries(contents, wanted)
+    got = {(r.zip_path, r.zip_entry): (None if r.data is None else bytes(r.data), r.error is None) for r in read.collect()}
+    assert got == {("x", "a.txt"): (b"1", True), ("x", "in.zip/b.txt"): (b"22", True), ("x", "empty.txt"): (b"", True), ("x", "gone"): (None, False), ("none", "a"): (None, False), ("bad", "a"): (None, False)}
+    for df in (found, read):
+        assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
