@@ -18,6 +18,8 @@ from catalume.llm import kernels as K
 
 #: Distinct chunks that a worker remembers; beyond that it starts anew.
 CACHE_CHUNKS = 900_000
+#: Bytes of text whose chunks are looked up at once, which bounds a worker's memory; longer texts come in parts.
+TEXT_BYTES = 512 << 10
 #: Characters that go to the tokeniser in one call.
 CALL_BYTES = 256 << 10
 
@@ -42,7 +44,7 @@ class ChunkTokenizer:
         self.reset()
 
     def reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot = K.Memo()
         self.count = np.zeros(1024, np.int32)
         self.begin = np.zeros(1024, np.int64)
         self.ids = np.zeros(8192, self.kind)
@@ -71,12 +73,12 @@ class ChunkTokenizer:
         if not len(starts):
             return starts, first
         unique, at, inverse = np.unique(K.span_hashes(K.prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
-        known = np.fromiter(map(self.slot.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
+        known = self.slot.get(unique)
         new = np.flatnonzero(known < 0)
         if len(new):
             known[new] = np.arange(len(self.slot), len(self.slot) + len(new))
             self.learn(data, starts[at[new]], ends[at[new]])
-            self.slot.update(zip(unique[new].tolist(), known[new].tolist()))
+            self.slot.add(unique[new])
         return known[inverse], first
 
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
@@ -138,7 +140,7 @@ def tokenizer(path: str) -> ChunkTokenizer:
     return _LOADED[path]
 
 
-def safe_parts(data: np.ndarray, offsets: np.ndarray, limit: int = K.SLICE_BYTES) -> list[tuple[int, int]]:
+def safe_parts(data: np.ndarray, offsets: np.ndarray, limit: int = TEXT_BYTES) -> list[tuple[int, int]]:
     """[start, end) parts of one long text of about `limit` bytes, cut where chunks start."""
     starts = ChunkTokenizer.chunks(data, offsets)[0]
     cuts = [0]

@@ -99,6 +99,33 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
+class Memo:
+    """Numbers, in order of arrival, of the hashes that a worker remembers.
+
+    Two sorted arrays of 12 bytes a hash together: a dict of as many Python integers takes
+    about 100, in small objects whose memory a worker that Spark uses again hardly gives back.
+    """
+
+    def __init__(self) -> None:
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each of the sorted hashes; -1 where it is not known."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.number[at], -1).astype(np.int64)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Gives the next numbers to sorted hashes that are not known."""
+        at, n = np.searchsorted(self.known, hashes), len(self.known)
+        self.known = np.insert(self.known, at, hashes)
+        self.number = np.insert(self.number, at, np.arange(n, n + len(hashes), dtype=np.int32))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each document its first word's index (one more at the end)."""
     inside = kind[data]

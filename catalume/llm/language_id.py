@@ -57,7 +57,7 @@ class Model:
     probability: np.ndarray
     lengths: list[int]
     hit: np.ndarray = field(init=False)
-    cache: dict[int, int] = field(init=False, default_factory=dict)
+    cache: K.Memo = field(init=False, default_factory=K.Memo)
     scores: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -66,7 +66,7 @@ class Model:
         self.scores = np.zeros((1024, len(self.languages)))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "scores": np.zeros((1024, len(self.languages)))}
+        return self.__dict__ | {"cache": K.Memo(), "scores": np.zeros((1024, len(self.languages)))}
 
     def edges(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(end positions, piece lengths, pieces) of all pieces in the words, by the place of the end in its word (from 1)."""
@@ -181,16 +181,16 @@ class Model:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log-probability of each whole text in each language; each distinct word is scored once for as long as it is remembered."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.cache = K.Memo()
         starts, ends, first = solid_words(data, offsets)
         if not len(starts):
             return np.zeros((len(offsets) - 1, len(self.languages)))
         unique, at, inverse = np.unique(K.span_hashes(K.prefix_hashes(data), starts, ends), return_index=True, return_inverse=True)
-        slot = np.fromiter(map(self.cache.get, unique.tolist(), [-1] * len(unique)), np.int64, len(unique))
+        slot = self.cache.get(unique)
         new = np.flatnonzero(slot < 0)
         if len(new):
             slot[new] = np.arange(len(self.cache), len(self.cache) + len(new))
-            self.cache.update(zip(unique[new].tolist(), slot[new].tolist()))
+            self.cache.add(unique[new])
             while len(self.scores) < len(self.cache):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
             self.scores[slot[new]] = self.log_probability(*with_mark(data, starts[at[new]], ends[at[new]]))

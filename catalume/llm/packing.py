@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalume.llm import kernels as K
-from catalume.llm.chunk_tokens import safe_parts, tokenizer
+from catalume.llm.chunk_tokens import TEXT_BYTES, safe_parts, tokenizer
 from catalume.llm.common import shared_path
 
 
@@ -25,8 +25,8 @@ def tokenized(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = tokenizer(tokenizer_file), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi, data, offsets in K.slices(batch.column(1)):
-                if hi - lo == 1 and len(data) > K.SLICE_BYTES:
+            for lo, hi, data, offsets in K.slices(batch.column(1), TEXT_BYTES):
+                if hi - lo == 1 and len(data) > TEXT_BYTES:
                     parts = [enc.encode(data[a:b], np.array([0, b - a]))[0] for a, b in safe_parts(data, offsets)]
                     ids = np.concatenate(parts)
                     n = np.array([len(ids)])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from catalume.llm import kernels as K
-from catalume.llm.chunk_tokens import safe_parts, tokenizer
+from catalume.llm.chunk_tokens import TEXT_BYTES, safe_parts, tokenizer
 
 
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -24,8 +24,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 512, id_colu
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         enc = tokenizer(tokenizer_file)
-        for lo, hi, data, offsets in K.slices(batch.column(1)):
-            if hi - lo == 1 and len(data) > K.SLICE_BYTES:
+        for lo, hi, data, offsets in K.slices(batch.column(1), TEXT_BYTES):
+            if hi - lo == 1 and len(data) > TEXT_BYTES:
                 n = np.array([sum(int(enc.lengths(data[a:b], np.array([0, b - a]))[0]) for a, b in safe_parts(data, offsets))])
             else:
                 n = enc.lengths(data, offsets)

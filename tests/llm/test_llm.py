@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -479,6 +480,32 @@ def test_chunks_do_not_change_ids(reference_tokenizer):
         assert ids.tolist() == [i for w in want[lo : lo + 250] for i in w] and n.tolist() == [len(w) for w in want[lo : lo + 250]]
 
 
+def test_what_a_worker_remembers():
+    """Hashes keep their numbers, and a remembered chunk or word takes few bytes: workers run stage after stage."""
+    draw, memo, plain = np.random.default_rng(3), K.Memo(), {}
+    for _ in range(20):
+        own = np.unique(draw.integers(0, 900, 100).astype(np.uint64) << np.uint64(54))
+        known = memo.get(own)
+        assert known.tolist() == [plain.get(h, -1) for h in own.tolist()]
+        memo.add(own[known < 0])
+        plain |= {h: len(plain) + k for k, h in enumerate(own[known < 0].tolist())}
+    assert len(memo) == len(plain) > 600 and memo.get(np.sort(np.array(list(plain), np.uint64))).tolist() == [plain[h] for h in sorted(plain)]
+    enc = chunk_tokens.ChunkTokenizer(Q.BYTE_BPE)
+    pieces = np.unique(K.span_hashes(K.prefix_hashes(np.frombuffer(b"abc", np.uint8)), np.arange(3), np.arange(1, 4)))
+    model = language_id.Model(["a"], np.zeros(1), pieces, np.ones((3, 1)) / 3, [1])
+    n = 60_000
+    data, at = K.flat(pa.array([" ".join(f"w{k}" for k in range(n))]))
+    K.powers(len(data) + 1)
+    for step in (enc.encode, model.score):
+        step(data[:5], np.array([0, 5]))
+        tracemalloc.start()
+        step(data, at)
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        assert held < 80 * n
+    assert len(enc.slot) >= n and len(model.cache) >= n
+
+
 def test_token_counts(docs, none, rows, reference_tokenizer, monkeypatch, long_text):
     want = sorted((r[0], len((r[1] or "").encode()), n := len(reference_tokenizer.encode(r[1] or "", add_special_tokens=False).ids), n > 512) for r in rows)
     assert sorted(map(tuple, token_counts.token_counts(docs, Q.BYTE_BPE).collect())) == want
