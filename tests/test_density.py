@@ -112,3 +112,28 @@ def test_map(spark, points):
     far = [np.linalg.norm(at[a] - at[b]) for a in of for b in of if a < b and of[a] != of[b]]
     assert np.mean(near) < np.mean(far)
     assert D.item_map(spark.createDataFrame([], "asset_id long, embedding array<float>")).count() == 0
+
+
+def test_places_and_least_entries(spark, points, monkeypatch):
+    """Places follow the formula without a lambda for each pair of item and sample; least entries are those of a stable sort."""
+    draw = np.random.default_rng(5)
+    edges = [(a, b) for a in sorted(points)[:-5] for b in sorted(points)[:-5] if a < b and draw.random() < 0.05]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in points.items()], "asset_id long, embedding array<float>").repartition(3)
+    near = spark.createDataFrame(edges, "a long, b long")
+    at = {r.asset_id: np.array([r.x, r.y]) for r in D.coordinates(df, near, rounds=0).collect()}
+
+    def refuse(*_):
+        raise AssertionError("a lambda for each pair")
+
+    monkeypatch.setattr(D.F, "transform", refuse)
+    got = {r.asset_id: np.array([r.x, r.y]) for r in D.coordinates(df, near, rounds=1, sample=len(points), step=0.3).collect()}
+    for i, own in at.items():
+        others = [at[b if a == i else a] for a, b in edges if i in (a, b)]
+        push = np.mean([(own - s) / (0.1 + ((own - s) ** 2).sum()) for s in at.values()], axis=0)
+        assert np.allclose(got[i], own + 0.3 * ((np.mean(others, axis=0) - own if others else 0) + push), atol=1e-9)
+    for k in (1, 4, 40):
+        d = draw.integers(0, 6, (30, 25)).astype(float)
+        d[draw.random(d.shape) < 0.2] = np.inf
+        row, column = D._least(d, k)
+        want = np.argsort(d, axis=1, kind="stable")[:, :k]
+        assert row.tolist() == np.repeat(np.arange(30), want.shape[1]).tolist() and column.tolist() == want.ravel().tolist()
