@@ -137,3 +137,53 @@ def test_places_and_least_entries(spark, points, monkeypatch):
         row, column = D._least(d, k)
         want = np.argsort(d, axis=1, kind="stable")[:, :k]
         assert row.tolist() == np.repeat(np.arange(30), want.shape[1]).tolist() and column.tolist() == want.ravel().tolist()
+
+
+def test_neighbours_are_exact_beyond_a_few_cells(spark, monkeypatch):
+    """With many more cells than a vector could look into one by one, and with more copies of a vector than it has neighbours."""
+    draw = np.random.default_rng(21)
+    rows = list(draw.normal(size=(260, 16)))
+    rows += [rows[3]] * 9 + [rows[7]] * 2
+    points = {int(i): np.float32(v) for i, v in zip(draw.permutation(1000), rows)}
+    monkeypatch.setattr(J, "PIVOT_ROWS", 8)
+    monkeypatch.setattr(D, "LEAST_ROWS", 50)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in points.items()], "asset_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in D.neighbours(df, 4).collect():
+        got.setdefault(r.a, []).append((r.d, r.b))
+    # Equal vectors are 0 apart.
+    exact = {a: sorted((0.0 if (points[a] == points[b]).all() else d, b) for d, b in near) for a, near in brute_neighbours(points, len(points)).items()}
+    for a, near in got.items():
+        want = exact[a][:4]
+        assert [b for _, b in sorted(near)] == [b for _, b in want] and np.allclose([d for d, _ in sorted(near)], [d for d, _ in want], atol=1e-8)
+    assert set(got) == set(points)
+
+
+def test_blocks_of_chunks_meet(monkeypatch):
+    """Two blocks by themselves: bounds hold, nothing below them is lost, and few neighbours wait at a time."""
+    draw = np.random.default_rng(22)
+    monkeypatch.setattr(D, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(D, "BOUND_CHUNKS", 2)
+    centres = draw.normal(size=(6, 5))
+    v = np.concatenate([c + 0.1 * draw.normal(size=(12, 5)) for c in centres])
+    v = np.concatenate((v, v[[4, 4, 4, 4, 4, 40]])).astype(np.float32)
+    ids, v = draw.permutation(500)[: len(v)].astype(np.int64), D._unit(v.ravel(), len(v))
+    d = D._distances(v @ v.T)
+    np.fill_diagonal(d, np.inf)
+    for most in (1 << 20, 30):
+        monkeypatch.setattr(D, "MOST_HITS", most)
+        sides = []
+        for rows in (np.arange(len(v))[: 40], np.arange(len(v))[40:]):
+            order = rows[D._ordered(ids[rows], rows)]
+            bounds = D._bounds(v[order], 3)
+            assert all(b >= np.sort(d[r][order])[2] - 1e-7 for r, b in zip(order, bounds))
+            sides.append((ids[order], v[order], bounds))
+        found = {}
+        for x, y, same in ((0, 0, True), (0, 1, False), (1, 1, True)):
+            for own, other, far in D._met(sides[x], sides[y], same, 3):
+                for a, b, e in zip(own.tolist(), other.tolist(), far.tolist()):
+                    found.setdefault(a, []).append((e, b))
+        assert {a: [b for _, b in sorted(f)[:3]] for a, f in found.items()} == {int(i): ids[np.lexsort((ids, d[r]))[:3]].tolist() for r, i in enumerate(ids)}
+    first, parts, place, n = D._blocked(D._unit(draw.normal(size=30), 10), {0: 5, 1: 30, 2: 4, 5: 8, 9: 1}, 10)
+    assert parts[1] == 3 and sorted(place) == list(range(10)) and n == len({int(first[c]) + k for c in range(10) for k in range(parts[c])})
+    assert D._unit(draw.normal(size=6), 2).shape == (2, 3)
